@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, toxicity
+from . import ann, mixing, packing, simhash, topk, toxicity
 from .common import table
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -30,8 +38,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
+    "op7_topk": op7_topk,
+    "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_topk": topk.SQL,
     "op9_mixing": mixing.SQL,
 }

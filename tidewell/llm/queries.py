@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, packing, simhash, topk, toxicity
+from . import ann, mixing, packing, simhash, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_topk": op7_topk,
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
+    "op10_urls": op10_urls,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": topk.SQL,

@@ -36,10 +36,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, so that
-    a lost executor costs no more than the tasks that it ran."""
+    a lost executor costs no more than the tasks that it ran. narrow: a table of few small
+    columns, written by a task for each core, not in one small file for each partition."""
     spark = df.sparkSession
+    df = df.coalesce(spark.sparkContext.defaultParallelism) if narrow else df
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _made:

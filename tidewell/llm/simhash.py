@@ -145,7 +145,7 @@ def links(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: in
     pairs, done = _roots(distinct, bits, blocks), []
     while True:
         sizes = pairs.groupBy("node").agg(F.count("*").alias("rows")).filter(F.col("rows") > group)
-        large = materialize(sizes.select("node"), "large")
+        large = materialize(sizes.select("node"), "large", True)
         if large.isEmpty():
             done.append(pairs)
             break
@@ -270,7 +270,7 @@ def groups(edges: DataFrame) -> DataFrame:
     its root. Every link hangs from its least neighbour, by turns over all neighbours and over
     the lesser ones, until nothing changes; each turn is written to the shared folder."""
     a, b = F.greatest("a", "b"), F.least("a", "b")
-    state = materialize(edges.select(a.alias("u"), b.alias("v")).filter("u <> v").distinct(), "links")
+    state = materialize(edges.select(a.alias("u"), b.alias("v")).filter("u <> v").distinct(), "links", True)
     mark = None
     while True:
         total = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
@@ -281,17 +281,17 @@ def groups(edges: DataFrame) -> DataFrame:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         wide = join_hot(both.filter("v > u"), least, "u", "n", 2 * now[0])
-        state = materialize(wide.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        state = materialize(wide.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links", True)
         least = state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         near = join_hot(state, least, "u", "n", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         top = least.select("u", F.col("m").alias("v"))
-        state = materialize(near.unionByName(top).filter("u <> v").distinct(), "links")
+        state = materialize(near.unionByName(top).filter("u <> v").distinct(), "links", True)
 
 
 def components(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
     """prints: a stored table with __fp and __key, what a group is named by (null comes
     last). Adds __group, the least key of each row's group."""
-    distinct = materialize(prints.groupBy("__fp").agg(F.min("__key").alias("least"), F.count("*").alias("n")), "prints")
+    distinct = materialize(prints.groupBy("__fp").agg(F.min("__key").alias("least"), F.count("*").alias("n")), "prints", True)
     total = distinct.agg(F.sum("n")).first()[0] or 0
     roots = groups(links(distinct.select("__fp"), bits, blocks, group))
     own = roots.select(F.col("root").alias("fp"), "root").distinct()

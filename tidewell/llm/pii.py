@@ -211,12 +211,14 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), m.end(), kind, plain))
         else:
             found.append((m.start(), m.end(), kind, value.replace("-", "")))
-    for m in _NAME.finditer(text):
-        kept = []
+    at = 0
+    while m := _NAME.search(text, at):
+        kept, at = [], m.end("title")
         for w in re.finditer(_WORD, m.group("name")):
             if not w.group()[0].isupper():
                 break
             kept.append(w)
+            at = m.start("name") + w.end()
         gender, base = _GENDER[m.group("title").casefold()], m.start("name")
         for i, w in enumerate(kept):
             last = i == len(kept) - 1

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, packing, pii, simhash, topk, toxicity, urlfilter
+from . import ann, langid, mixing, packing, pii, simhash, topk, toxicity, urlfilter
 from .common import table
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
+    "op6_language": op6_language,
     "op7_topk": op7_topk,
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, mixing, packing, pii, simhash, topk, toxicity, urlfilter
+from . import ann, langid, mixing, packing, pii, simhash, tokencounts, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,

@@ -9,7 +9,8 @@ import pyarrow as pa
 
 #: Bytes of a text that are split into words at once.
 BLOCK = 1 << 21
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+# where white space begins; the last bytes of white space beyond ASCII can't be before it
+_SPACE = re.compile(rb"(?<=[^\x20\x09-\x0D\x80-\x8a\x9f\xa0\xa8\xa9\xaf])[\x20\x09-\x0D]")
 
 
 def rows(array: pa.Array, some: int = 256) -> Iterator[bytes]:
@@ -20,7 +21,8 @@ def rows(array: pa.Array, some: int = 256) -> Iterator[bytes]:
 
 
 def pieces(data: bytes, limit: int = BLOCK) -> Iterator[bytes]:
-    """data cut at white space into pieces of about limit bytes; a longer word stays whole."""
+    """data cut where white space begins into pieces of about limit bytes; a longer word
+    stays whole."""
     at = 0
     while len(data) - at > limit:
         found = _SPACE.search(data, at + limit)

@@ -16,6 +16,8 @@ an empty result; other columns are left alone. Texts are encoded whole, in block
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -34,11 +36,14 @@ from .text import pieces, rows
 LENGTH, END, SALTS = 4096, 2, 64
 VOCABULARY = "word_bpe_49k.json"
 #: Encoded words that a Python worker keeps, and the longest of them in bytes.
-KEEP, WORD = 400_000, 64
+KEEP, WORD = 1_000_000, 64
+#: Between a letter and punctuation after it the vocabulary always starts a new token.
+_JOINT = re.compile(rb"(?<=[a-z])(?=[.,!%&*$#])")
 
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -63,7 +68,8 @@ def encode(text: bytes, name: str = VOCABULARY) -> Iterator[bytes]:
     path = vocabulary(name)
     known = _known(path)
     for piece in pieces(text):
-        words = piece.split()
+        # fewer distinct words: the vocabulary is in lower case but for its special tokens
+        words = (piece if b"<|" in piece else _JOINT.sub(b" ", piece.lower())).split()
         new = list(set(words).difference(known))
         if new:
             if len(known) > KEEP:

@@ -94,7 +94,7 @@ def build_index(vectors: DataFrame, count: int = TABLES, seed: int = SEED) -> Da
     """vec_id, vector and its buckets, for every row that takes part."""
     some = F.exists("embedding", lambda x: x != 0)
     rows = vectors.filter(F.col("vec_id").isNotNull() & finite()).filter(some)
-    rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables(batches, SHARD):

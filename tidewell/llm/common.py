@@ -74,6 +74,17 @@ def _clean() -> None:
             return
 
 
+def wrapped(docs: DataFrame, *needed: str) -> DataFrame:
+    """Each row as a struct beside the columns that an operator works on, so that no name of
+    the operator's can clash with one of the table's; select("row.*") gives the rows back."""
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
+    return docs.select(row, *[F.col(quoted(c)) for c in needed])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def word_count(text: Column) -> Column:
     """Number of words, runs of anything but ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

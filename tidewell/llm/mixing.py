@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, word_count
+from .common import materialize, word_count, wrapped
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -92,10 +92,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     """The mix itself: every row of docs, with all its columns, as often as it is taken."""
     sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
     per_source = targets(sizes, weights, cap).withColumnRenamed("source", "__source")
-    joined = docs.join(per_source, docs["source"].eqNullSafe(F.col("__source")))
-    times = F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))
-    taken = joined.withColumn("__n", copies(seed)).filter(F.col("__n") > 0)
-    return taken.withColumn("__k", times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = wrapped(docs, "doc_id", "source").join(per_source, F.col("source").eqNullSafe(F.col("__source")))
+    taken = joined.withColumn("copies", copies(seed).cast("int")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, wrapped
 
 KEY = b"tidewell-surrogates"
 BROADCAST, VARIANTS = 50_000, 16
@@ -343,7 +343,8 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, most: int = BROADCAST) ->
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with text replaced, and n_chars, where it is there, made anew."""
-    done = with_surrogates(docs, key)
+    done = with_surrogates(wrapped(docs, "text"), key)
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(row.alias("row")).select("row.*")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_hot, materialize
+from .common import join_hot, materialize, wrapped
 from .text import pieces, rows
 
 SHINGLE, SEED = 3, 42
@@ -316,8 +316,9 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def deduplicate(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """docs with one row of each group, that of the least doc_id (of equal ones, any one)."""
     row = F.monotonically_increasing_id()
-    stored = materialize(with_fingerprints(docs).withColumn("__row", row), "documents")
+    marked = with_fingerprints(wrapped(docs, "doc_id", "text")).withColumn("__row", row).drop("text")
+    stored = materialize(marked, "documents")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     grouped = components(stored.select("__fp", "__row", key.alias("__key")), bits)
     kept = grouped.filter(F.col("__row") == F.col("__group.row")).select("__row")
-    return stored.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stored.join(kept, "__row", "left_semi").select("row.*")

@@ -32,7 +32,7 @@ def integers(vectors: DataFrame) -> DataFrame:
     """vec_id and the integer vector of each row that takes part."""
     component = lambda x: F.floor(x.cast("double") * SCALE)
     return vectors.filter(F.col("vec_id").isNotNull() & finite()).select(
-        "vec_id", F.transform("embedding", component).alias("vector")
+        F.col("vec_id").cast("long"), F.transform("embedding", component).alias("vector")
     )
 
 

@@ -296,7 +296,7 @@ def components(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group:
     roots = groups(links(distinct.select("__fp"), bits, blocks, group))
     own = roots.select(F.col("root").alias("fp"), "root").distinct()
     tied = materialize(
-        roots.unionByName(own).join(distinct, F.col("fp") == F.col("__fp")).select("__fp", "root", "least"), "tied"
+        roots.unionByName(own).join(distinct, F.col("fp") == F.col("__fp")).select("__fp", "root", "least"), "tied", True
     )
     least = tied.groupBy("root").agg(F.min("least").alias("__group"), F.count("*").alias("n"))
     named = join_hot(tied.select("__fp", "root"), least, "root", "n", total).select("__fp", "__group")

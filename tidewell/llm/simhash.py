@@ -116,10 +116,9 @@ def _roots(distinct: DataFrame, bits: int, blocks: int) -> DataFrame:
 def _descend(pairs: DataFrame, bits: int) -> DataFrame:
     """The children of large node pairs, STRIDE levels down. A pair of a node with itself
     (own) has one side; of others, side 0 meets side 1."""
-    width = F.least(F.col("left"), F.lit(STRIDE))
-    under = F.col("left") - width
-    value = F.shiftrightunsigned("rest", under.cast("int")).bitwiseAND(F.shiftleft(F.lit(1).cast("long"), width.cast("int")) - 1)
-    split = pairs.withColumn("value", value).withColumn("left", under)
+    under = F.greatest(F.col("left") - STRIDE, F.lit(0))
+    split = pairs.withColumn("left", under).withColumn("value", F.expr("shiftrightunsigned(rest, `left`)"))
+    split = split.withColumn("rest", F.expr("rest & (shiftleft(1L, `left`) - 1)"))
     there = split.groupBy("node", F.col("side").alias("met")).agg(F.collect_set("value").alias("values"))
     met = split.withColumn("met", F.when(F.col("own"), F.lit(0)).otherwise(1 - F.col("side"))).join(there, ["node", "met"])
     errors = lambda v: F.bit_count(F.col("value").bitwiseXOR(v))
@@ -133,8 +132,8 @@ def _descend(pairs: DataFrame, bits: int) -> DataFrame:
         F.when(mine_first, 0).otherwise(1).alias("side"),
         (F.col("own") & (F.col("value") == F.col("other"))).alias("own"),
         (F.col("diff") + errors(F.col("other"))).cast("int").alias("diff"),
-        F.col("rest").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), F.col("left").cast("int")) - 1).alias("rest"),
-        F.col("left").cast("int").alias("left"),
+        "rest",
+        "left",
         "__fp",
     )
 

@@ -1,0 +1,112 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell.llm import pii as op
+
+TEXT = """Dear Mr. Adam Keller, call +1 (212) 555-0187 or write to Adam.Keller@mail.example.com.
+Frau Müller-Lüdenscheid pays with 4111 1111 1111 1111 (DE89370400440532013000), г-жа Анна Петрова from 10.20.30.40.
+token = "5d190bd7c06284de91015a36974748794293dd8a" SSN 123-45-6789. Mr. Keller again: adam.keller@MAIL.example.com, 4111111111111111."""
+
+
+def found(text):
+    return [(text[a:b], k.split(":")[0].rstrip("0123456789")) for a, b, k, _ in op.entities(text)]
+
+
+def test_kinds():
+    assert found(TEXT) == [
+        ("Adam", "given"), ("Keller", "surname"), ("+1 (212) 555-0187", "phone"), ("Adam.Keller@mail.example.com", "email"),
+        ("Müller-Lüdenscheid", "surname"), ("4111 1111 1111 1111", "card"), ("DE89370400440532013000", "iban"), ("Анна", "given"),
+        ("Петрова", "surname"), ("10.20.30.40", "ip"), ("5d190bd7c06284de91015a36974748794293dd8a", "secret"), ("123-45-6789", "ssn"),
+        ("Keller", "surname"), ("adam.keller@MAIL.example.com", "email"), ("4111111111111111", "card"),
+    ]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["4111111111111112", "9807915762804490", "version 1.2.3", "300.1.2.3", "1.2.3.4.5", "Apache License, Version 2.0", "in 1999-2004", "a @ b", "deadbeefdeadbeef", "x" * 40, "Mr. and mrs. nobody", "", "DE00370400440532013000"],
+)
+def test_clean_text_is_left_alone(text):
+    assert op.replace(text, {}) == (text, 0)
+
+
+def test_surrogates_keep_kind_and_format():
+    new, n = op.replace(TEXT, {("given:cyrillic:f", "анна"): 1})  # whose first surrogate is her own name
+    assert n == 15
+    assert [k for _, k in found(new)] == [k for _, k in found(TEXT)]
+    for (old, kind), (surrogate, _) in zip(found(TEXT), found(new)):
+        assert old != surrogate
+        if kind in ("phone", "card", "ssn"):
+            assert re.sub(r"\d", "0", old) == re.sub(r"\d", "0", surrogate)
+        if kind == "email":
+            assert surrogate.endswith(".com") and [c.isupper() for c in old] == [c.isupper() for c in surrogate]
+    assert "+1 (" in new and re.search("[А-я]", found(new)[7][0])
+
+
+def test_coreference():
+    new = found(op.replace(TEXT, {})[0])
+    assert new[1][0] == new[12][0]  # Keller
+    assert new[3][0].lower() == new[13][0].lower()  # the address, in another case
+    assert new[5][0].replace(" ", "") == new[14][0]  # the card, in another format
+
+
+def test_genders():
+    male = op.replace("Mr. John Smith", {})[0].split()[1]
+    female = op.replace("Mrs. Joan Smith", {})[0].split()[1]
+    assert male in op.GIVEN["latin", "m"] and female in op.GIVEN["latin", "f"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100, 257, 1000])
+def test_permutation(size):
+    for tweak in ("a", "b"):
+        assert sorted(op.permute(i, size, tweak) for i in range(size)) == list(range(size))
+
+
+def test_permutation_of_large_ranges():
+    for size in (16**40, 26**30 + 1, (1 << 64) - 3):
+        values = random.Random(1).sample(range(10**9), 200)
+        new = {op.permute(v, size, "t") for v in values}
+        assert len(new) == 200 and max(new) < size
+
+
+def test_distinct_surrogates():
+    rng = random.Random(2)
+    cards = set()
+    while len(cards) < 2000:
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        cards.add(body + str(op.luhn(body)))
+    new = {op.surrogate("card", c) for c in cards}
+    assert len(new) == 2000 and all(op.luhn(c[:-1]) == int(c[-1]) and c[0] == "4" for c in new)
+    ssns = {f"{a:03d}{b:02d}{c:04d}" for a in (1, 665, 667, 899) for b in (1, 99) for c in (1, 9999)}
+    assert len({op.surrogate("ssn", s) for s in ssns}) == len(ssns)
+    assert all(op.entities(f"{s[:3]}-{s[3:5]}-{s[5:]}") for s in (op.surrogate("ssn", x) for x in ssns))
+
+
+def test_collisions_are_resolved(spark, documents):
+    """Many given names share few plain ones, and one real name is another's surrogate."""
+    names = ["".join(random.Random(i).choices("abcdefghijklmno", k=6)).capitalize() for i in range(60)]
+    taken = op.surrogate("surname:latin:m", names[0].lower())
+    docs = documents(*[f"Mr. {n} Smith" for n in names], f"Mr. {names[0]}", f"Mr. {taken.capitalize()}")
+    odd = op.exceptions(docs)
+    assert odd.filter(F.col("canonical") == names[0].lower()).filter(F.col("kind").startswith("surname")).count() == 1
+    for most in (op.BROADCAST, 0):
+        texts = [r["text"] for r in op.with_surrogates(docs, most=most).orderBy("doc_id").collect()]
+        given = [t.split()[1] for t in texts[:60]]
+        assert len(set(given)) == 60 and not set(given) & set(names)
+        assert len({t.split()[2] for t in texts[:60]}) == 1
+        assert texts[60].split()[1].lower() != taken
+
+
+def test_odd_rows(spark, documents):
+    docs = documents((1, None, None, None), (2, "", "en", "s"), (None, "mail a.b@c.org", "en", "s"), (3, "mail a.b@c.org", "en", "s"), (3, "mail a.b@c.org", "en", "s"), (4, "clean", "en", "s"), (5, "w " * 300_000 + "x@y.org", "en", "s"))
+    docs = docs.selectExpr("*", "7 AS entities", "8 AS __new", "9 AS `row`")
+    new = op.pseudonymize(docs)
+    assert new.columns == docs.columns and new.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    rows = new.collect()
+    assert all((r["entities"], r["__new"], r["row"]) == (7, 8, 9) and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert texts[1] is None and texts[2] == "" and texts[4] == "clean" and texts[3] == texts[None] != "mail a.b@c.org"
+    assert not texts[5].endswith("x@y.org") and texts[5].endswith(".org")
+    assert op.pseudonymize(docs.limit(0)).count() == 0

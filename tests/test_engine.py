@@ -16,7 +16,7 @@ from tidewell.model import (
     GuardRefused, Hold, Intent, ListOf, Mapping, PositionExpired, Range, Relationship,
 )
 from tidewell.operators import metrics, scd2, verify, writers
-from tidewell.plans import passes, segments
+from tidewell.plans import passes, provision, segments
 from tidewell.plans.store import Positions, ReadState, VersionedTable
 from tidewell.sources import changelog, connectors, readers
 
@@ -388,3 +388,32 @@ def test_holds(spark, tmp_path):
     passes.resume(job, Intent.INITIAL_LOAD)
     passes.pause(job)
     assert positions.get(job.key).hold is Hold.PAUSED
+
+
+# provisioning
+
+
+def test_create_plans(spark):
+    source = spark.createDataFrame([], "k int, v string, a array<int>")
+    mapping = Mapping((ColumnMapping("k", "id"), ColumnMapping("v"), ColumnMapping("a")), ("id",))
+    plan = provision.create_plan(source, mapping, {"v": "guid"})
+    assert plan.schema.names == ["id", "v"] and not plan.schema["id"].nullable and plan.keys == ("id",)
+    assert set(plan.fidelity) == {"v"} and set(plan.unsupported) == {"a"}
+    with pytest.raises(types.UnmappableType):
+        provision.create(spark, plan)
+    history = provision.create_plan(source, Mapping(mapping.columns[:2], ("id",)), history="scd2")
+    assert history.schema.names == [VERSION_KEY, "id", "v", VALID_FROM, VALID_TO, IS_CURRENT] and history.keys == (VERSION_KEY,)
+    assert provision.create(spark, history).count() == 0
+
+
+def test_alter_plans(spark):
+    target = spark.createDataFrame([(1, "7")], "id int, a string")
+    wanted = T.StructType([T.StructField("id", T.LongType()), T.StructField("b", T.StringType()), T.StructField("c", T.DateType())])
+    plan = provision.alter_plan(target, wanted, {"a": "b"})
+    assert plan.renames == {"a": "b"} and set(plan.added) == {"c"} and set(plan.changed) == {"id"}
+    changed = provision.alter(target, plan)
+    assert changed.schema.simpleString() == "struct<id:bigint,b:string,c:date>" and rows(changed) == [(1, "7", None)]
+    assert provision.alter_plan(changed, wanted).empty
+    for bad in ({"a": "id"}, {"a": "x", "id": "x"}):
+        with pytest.raises(ValueError):
+            provision.alter_plan(target, wanted, bad)

@@ -15,7 +15,7 @@ from .functions.expressions import operation_code
 from .functions.project import auto_map, join_relationships
 from .model import CHANGED_AT, OPERATION, ORDERING, Auto, ColumnMapping, Intent, ListOf, Mapping, Range, Relationship
 from .operators import metrics, scd2, verify, writers
-from .plans import passes, segments
+from .plans import passes, provision, segments
 from .plans.store import Positions, VersionedTable
 from .sources import changelog, readers
 from .streaming import continuous
@@ -515,6 +515,27 @@ def rows_by_operation(spark, d):
     return _op(writers.written(_staged_orders(spark, d)))
 
 
+@query(
+    """SELECT CAST(i AS INTEGER) AS place, name, kind, is_key FROM (VALUES (0, 'id', 'bigint', true), (1, 'customer', 'bigint', false),
+      (2, 'status', 'string', false), (3, 'total', 'decimal(12,2)', false)) t(i, name, kind, is_key)"""
+)
+def provision_create(spark, d):
+    plan = provision.create_plan(_orders(spark, d), ORDERS, {"total": "decimal(12,2)"})
+    table = provision.create(spark, plan)
+    rows = [(i, f.name, f.dataType.simpleString(), f.name in plan.keys) for i, f in enumerate(table.schema)]
+    return spark.createDataFrame(rows, "place int, name string, kind string, is_key boolean")
+
+
+@query(
+    """SELECT o_orderkey AS id, o_custkey AS customer, lower(o_orderstatus) AS state, CAST(round(o_totalprice) AS DECIMAL(12,0)) AS total,
+      CAST(NULL AS VARCHAR) AS note FROM orders"""
+)
+def provision_alter(spark, d):
+    target = readers.reload(_orders(spark, d), ORDERS).rows.drop(OPERATION).withColumn("total", F.round("total"))
+    wanted = provision.create_plan(target.withColumnRenamed("status", "state").withColumn("note", F.lit("")), Mapping(), {"total": "decimal(12,0)"}).schema
+    return provision.alter(target, provision.alter_plan(target, wanted, {"status": "state"}))
+
+
 # slowly changing dimensions
 
 _VERSIONS = "version_key, k, v, valid_from, valid_to, is_current"

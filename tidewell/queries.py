@@ -247,7 +247,7 @@ def trigger_audit_window(spark, d):
 def changes_from_earliest(spark, d):
     log = X.feed(spark, d).filter("seq > 17")
     first = changelog.earliest(log, "seq")
-    return changelog.window(log, "seq", first, None).agg(F.count("*").alias("row_count"), F.lit(first).alias("position"))
+    return changelog.window(log, "seq", first, None).agg(F.count("*").alias("row_count"), F.lit(first).cast("long").alias("position"))
 
 
 @query(f"SELECT seq, k, op FROM {X.FEED} f WHERE seq > 250")

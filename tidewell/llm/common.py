@@ -47,7 +47,7 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     if not _made:
         atexit.register(_clean)
     _made.append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:

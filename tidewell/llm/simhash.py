@@ -144,10 +144,10 @@ def links(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: in
     pairs, done = _roots(distinct, bits, blocks), []
     while True:
         sizes = pairs.groupBy("node").agg(F.count("*").alias("rows")).filter(F.col("rows") > group)
-        large = materialize(sizes.select("node"), "large", True)
-        if large.isEmpty():
+        if sizes.isEmpty():
             done.append(pairs)
             break
+        large = materialize(sizes.select("node"), "large", True)
         done.append(pairs.join(large, "node", "left_anti"))
         pairs = materialize(_descend(pairs.join(large, "node", "left_semi"), bits), "pairs")
     found = None

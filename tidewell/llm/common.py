@@ -39,9 +39,10 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, so that
     a lost executor costs no more than the tasks that it ran. narrow: a table of few small
-    columns, written by a task for each core, not in one small file for each partition."""
+    columns, dealt out to a file for each core. (To coalesce instead would run many
+    partitions' joins in one task, whose memory is only freed when the task ends.)"""
     spark = df.sparkSession
-    df = df.coalesce(spark.sparkContext.defaultParallelism) if narrow else df
+    df = df.repartition(spark.sparkContext.defaultParallelism) if narrow else df
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _made:
@@ -50,13 +51,6 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table from materialize() that nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
-        _made[:] = [p for p in _made if not path.endswith(p.rpartition("/")[2])]
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

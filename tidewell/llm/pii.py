@@ -284,30 +284,27 @@ def exceptions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, canonical, variant of the entities whose first surrogate collides with an entity
     of the corpus or with the surrogate of a lesser one."""
     found = docs.select(F.explode(_entities("text")).alias("e")).select("e.kind", "e.canonical").distinct()
-    known = materialize(found.withColumn("variant", F.lit(0)), "entities")
+    known = found.withColumn("variant", F.lit(0))
     group = F.regexp_replace("kind", "^phone.*", "phone")
-    odd = None
     while True:
         new = _surrogates("kind", "canonical", "variant", F.lit(key))
-        named = materialize(known.select("kind", "canonical", "variant", group.alias("group"), new.alias("new")), "named")
+        named = materialize(known.select("kind", "canonical", "variant", group.alias("group"), new.alias("new")), "entities", True)
         real = named.select("group", F.col("canonical").alias("new")).distinct()
         taken = named.join(real, ["group", "new"], "left_semi").select("kind", "canonical")
         shared = named.groupBy("group", "new").agg(F.count("*").alias("n"), F.min(F.struct("canonical", "kind")).alias("first"))
         shared = named.join(shared.filter("n > 1"), ["group", "new"]).filter("struct(canonical, kind) <> first")
-        bad = materialize(taken.union(shared.select("kind", "canonical")).distinct(), "collisions")
-        top = named.agg(F.max("variant")).first()[0] or 0
+        bad = taken.union(shared.select("kind", "canonical")).distinct()
         if bad.isEmpty():
             return named.filter("variant > 0").select("kind", "canonical", "variant")
-        if top >= VARIANTS:
+        if named.agg(F.max("variant")).first()[0] >= VARIANTS:
             raise ValueError("surrogates still collide; is the domain of a kind exhausted?")
-        odd = bad.withColumn("more", F.lit(1))
-        joined = named.join(odd, ["kind", "canonical"], "left")
+        joined = named.join(bad.withColumn("more", F.lit(1)), ["kind", "canonical"], "left")
         known = joined.select("kind", "canonical", (F.col("variant") + F.coalesce("more", F.lit(0))).alias("variant"))
 
 
 def with_surrogates(docs: DataFrame, key: bytes = KEY, most: int = BROADCAST) -> DataFrame:
     """docs with text replaced and a new column entities, how many each text had."""
-    odd = materialize(exceptions(docs, key), "exceptions", True)
+    odd = exceptions(docs, key)
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("entities", T.IntegerType())])
 
     def changed(texts: pa.Array, each: Iterator[dict]) -> pa.Array:

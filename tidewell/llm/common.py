@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A key with more than this fraction of all rows is joined by broadcasting it, so
 #: at most 1 / HOT_SHARE keys are ever broadcast.
@@ -84,6 +85,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def first_rows(df: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
+    """The first rows of each group. Spark cuts each partition's groups to that many before it
+    moves them, so no group meets whole."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return df.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join on key, which is unique in right, whose column weight tells how many rows
     of left each key has, of total. Heavy keys are broadcast (1 / HOT_SHARE at most), the

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_hot, materialize
+from .common import first_rows, join_hot, materialize
 from .text import pieces, rows
 from .urlfilter import host
 
@@ -73,14 +73,14 @@ def fit_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[
     """The languages with documents (64 at most, the most frequent) and their word model."""
     tally = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
     names = sorted(r["lang"] for r in tally.orderBy(F.desc("n"), "lang").limit(64).collect())
-    parts = None
-    for name in names:
-        short = docs.filter((F.col("lang") == name) & (F.length("text") <= LONGEST))
-        some = short.orderBy(F.xxhash64("doc_id", "text")).limit(per_language).select("lang", "text")
-        parts = some if parts is None else parts.unionByName(some)
-    if parts is None:
+    if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
-    sample = parts.toPandas()
+    # ids first: only the texts of the sample are moved
+    short = docs.filter(F.col("lang").isin(names) & (F.length("text") <= LONGEST)).select("doc_id", "lang", "text")
+    place = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = first_rows(short.filter("doc_id IS NOT NULL").select("doc_id", "lang"), "lang", place, per_language).distinct()
+    chosen = short.join(F.broadcast(ids), ["doc_id", "lang"])  # 64 x per_language rows at most
+    sample = first_rows(chosen, "lang", [*place, F.xxhash64("text")], per_language).select("lang", "text").toPandas()
     return names, fit(list(sample["text"]), list(sample["lang"]), names)
 
 

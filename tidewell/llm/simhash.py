@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import nearcopies
 from .common import join_hot, materialize, wrapped
 from .text import pieces, rows
 
@@ -287,12 +288,13 @@ def groups(edges: DataFrame) -> DataFrame:
         state = materialize(near.unionByName(top).filter("u <> v").distinct(), "links", True)
 
 
-def components(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
+def components(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: int = GROUP, edges: DataFrame | None = None) -> DataFrame:
     """prints: a stored table with __fp and __key, what a group is named by (null comes
-    last). Adds __group, the least key of each row's group."""
+    last). Adds __group, the least key of each row's group. edges: links other than those
+    within the budget of bits."""
     distinct = materialize(prints.groupBy("__fp").agg(F.min("__key").alias("least"), F.count("*").alias("n")), "prints", True)
     total = distinct.agg(F.sum("n")).first()[0] or 0
-    roots = groups(links(distinct.select("__fp"), bits, blocks, group))
+    roots = groups(links(distinct.select("__fp"), bits, blocks, group) if edges is None else edges)
     own = roots.select(F.col("root").alias("fp"), "root").distinct()
     tied = materialize(
         roots.unionByName(own).join(distinct, F.col("fp") == F.col("__fp")).select("__fp", "root", "least"), "tied", True
@@ -312,12 +314,19 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("__fp")).alias("fingerprint"), F.col("__group").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs with one row of each group, that of the least doc_id (of equal ones, any one)."""
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group, that of the least doc_id (of equal ones, any one).
+    Groups are those of nearcopies: five-word shingles with a similarity of 0.8 or more."""
     row = F.monotonically_increasing_id()
-    marked = with_fingerprints(wrapped(docs, "doc_id", "text")).withColumn("__row", row).drop("text")
-    stored = materialize(marked, "documents")
+    marked = wrapped(docs, "doc_id", "text").withColumn("__sketch", nearcopies.sketch("text")).withColumn("__row", row)
+    parts = [F.col(f"__sketch.{c}").alias(f"__{c}") for c in ("fp", "n", "bands")]
+    stored = materialize(marked.select("row", "doc_id", "__row", *parts), "documents")
+    one = materialize(stored.groupBy("__fp").agg(F.min("__row").alias("__row")).select("__row"), "one", True)
+    sketches = stored.select("__row", F.col("__fp").alias("fp"), F.col("__n").alias("n"), F.col("__bands").alias("bands"))
+    sketches = materialize(sketches.join(one, "__row", "left_semi").drop("__row"), "sketches")
+    texts = stored.select("__row", F.col("__fp").alias("fp"), F.col("row.text").alias("text")).join(one, "__row", "left_semi")
+    edges = nearcopies.links(sketches, texts, groups)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
-    grouped = components(stored.select("__fp", "__row", key.alias("__key")), bits)
+    grouped = components(stored.select("__fp", "__row", key.alias("__key")), edges=edges)
     kept = grouped.filter(F.col("__row") == F.col("__group.row")).select("__row")
     return stored.join(kept, "__row", "left_semi").select("row.*")

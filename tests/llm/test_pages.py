@@ -61,6 +61,20 @@ def test_odd_pages(spark):
     assert {r["verdict"] for r in urlfilter.judge(clean).collect()} == {"allow"}
 
 
+def test_every_page_counts(spark):
+    """Grams and threshold are those of all rows, not of distinct forms."""
+    df = pages(spark).select(urlfilter.host("url").alias("host"), urlfilter.path("url").alias("path"))
+    forms = spark.createDataFrame([("ab", 0, 1, 1000), ("ab", 0, 1, 5), ("b", 0, 1, 2)], "form string, rejected long, fold long, pages long")
+    found = {r["gram"] % urlfilter.SYMBOLS: r["n"] for r in urlfilter.count_grams(forms.coalesce(1)).filter(f"gram >= {urlfilter.BEFORE * (32**3 + 32**2 + 32)}").collect()}
+    assert found == {0: 1005, 1: 2}
+    hot = df.filter("host LIKE '%casino%'")
+    for _ in range(5):
+        hot = hot.unionByName(hot)
+    plain, _ = urlfilter.fit(df)
+    more, _ = urlfilter.fit(df.unionByName(hot))
+    assert np.abs(plain - more).max() > 0.1
+
+
 def test_model_is_a_distribution():
     """Probabilities after any context sum to one, known or not."""
     counts = np.zeros((urlfilter.SYMBOLS,) * urlfilter.ORDER)

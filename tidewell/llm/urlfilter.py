@@ -8,10 +8,10 @@ how much the longer context is known. A URL is blocked when the difference of it
 log-likelihoods per character is over a threshold.
 
 URLs to learn from are rejected where a part of the host is one of ``SEEDS`` and accepted
-otherwise. Each distinct form (host and path, digits alike) counts once, so that a host with
-many pages doesn't outweigh the rest. Counts cover all URLs; the table of counts has at most
-FOLDS x 2 x SYMBOLS ** ORDER rows however many URLs there are. The threshold is calibrated on
-scores by models that didn't see the URL's fold of hosts.
+otherwise. Every row counts, in the models and in the calibration: URLs of one form (host and
+path, digits alike) are scored once and weigh as many as they are. The table of counts has at
+most FOLDS x 2 x SYMBOLS ** ORDER rows however many URLs there are. The threshold is calibrated
+on scores by models that didn't see the URL's fold of hosts.
 
 Defined results: a null URL or one without "://" has an empty host and path, fits no rule and
 is allowed; without both accepted and rejected forms all that no rule blocks is allowed;
@@ -94,17 +94,21 @@ def symbols(texts: pa.Array, block: int = 4096) -> Iterator[tuple[np.ndarray, np
 
 
 def count_grams(forms: DataFrame) -> DataFrame:
-    """forms: form, rejected, fold. Returns fold, rejected, gram, n."""
+    """forms: form, rejected, fold, pages. Returns fold, rejected, gram, n."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch["fold"].to_numpy() * 2 + batch["rejected"].to_numpy()
-            grams, at = [], 0
+            pages = batch["pages"].to_numpy()
+            grams, weights, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
             for index, starts in symbols(batch["form"]):
                 sizes = np.diff(np.r_[starts, len(index)])
                 grams.append(np.repeat(keys[at : at + len(starts)], sizes) * SYMBOLS**ORDER + index)
+                weights.append(np.repeat(pages[at : at + len(starts)], sizes))
                 at += len(starts)
-            unique, n = np.unique(np.concatenate(grams), return_counts=True)
+            unique, place = np.unique(np.concatenate(grams), return_inverse=True)
+            n = np.zeros(len(unique), np.int64)
+            np.add.at(n, place, np.concatenate(weights))
             key, gram = np.divmod(unique, SYMBOLS**ORDER)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key // 2, key % 2, gram, n)], ["fold", "rejected", "gram", "n"])
 
@@ -153,7 +157,8 @@ def fit(urls: DataFrame, seeds=SEEDS) -> tuple[np.ndarray, float]:
     rejected = F.arrays_overlap(parts, F.array(*[F.lit(s) for s in seeds])).cast("long")
     fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS))
     form = F.regexp_replace(F.concat("host", "path"), "[0-9]", "0")
-    forms = urls.filter("host <> ''").select(form.alias("form"), rejected.alias("rejected"), fold.alias("fold")).distinct()
+    forms = urls.filter("host <> ''").groupBy(form.alias("form"), rejected.alias("rejected"), fold.alias("fold"))
+    forms = forms.agg(F.count("*").alias("pages"))
     found = count_grams(forms).toPandas()  # FOLDS x 2 x SYMBOLS ** ORDER rows at most
     shape = (SYMBOLS,) * ORDER
     by = {}
@@ -183,7 +188,7 @@ def fit(urls: DataFrame, seeds=SEEDS) -> tuple[np.ndarray, float]:
             out[mine] = ratios(forms.take(pa.array(mine)), held.value[f])
         return pa.array(np.clip(np.rint(out * BINS / 8), -BINS, BINS).astype(np.int64))
 
-    scored = forms.withColumn("bin", bins("form", "fold")).groupBy("bin", "rejected").agg(F.count("*").alias("n"))
+    scored = forms.withColumn("bin", bins("form", "fold")).groupBy("bin", "rejected").agg(F.sum("pages").alias("n"))
     tally = scored.toPandas()  # 4 x BINS rows at most
     at = calibrate(tally["bin"].to_numpy() * 8.0 / BINS, tally["rejected"].to_numpy(), tally["n"].to_numpy())
     return last, at

@@ -72,15 +72,16 @@ def run_pass(job: Job) -> ReadState:
 
 
 def run_until_idle(job: Job, most: int = 1000) -> list[ReadState]:
-    """Passes until the position stays: micro-batches of a source with capped reads."""
+    """Passes until the position stays: micro-batches of a source with capped reads. Raises
+    an error where it doesn't after most passes; what they applied stays."""
     found = []
     for _ in range(most):
         before = job.positions.get(job.key)
         after = run_pass(job)
         if after.hold is not Hold.NONE or (before.intent is Intent.CHANGES and after.position == before.position):
-            break
+            return found
         found.append(after)
-    return found
+    raise RuntimeError(f"not idle after {most} passes")
 
 
 def bulk_load(job: Job, segments: list[Segment], load: Callable[[Segment], DataFrame], write: Callable[[DataFrame, DataFrame, Segment], DataFrame]) -> ReadState:

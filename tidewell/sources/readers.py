@@ -71,12 +71,16 @@ def capture(source: DataFrame, mapping: Mapping, column: str, relationship: str
     return joined.agg(F.max(position_column(mapping, column, relationship))).first()[0]
 
 
-def with_ties(rows: DataFrame, position: Column, most: int) -> tuple[DataFrame, Any]:
+def with_ties(rows: DataFrame, position: Column, most: int, nulls: bool = False) -> tuple[DataFrame, Any]:
     """The first rows by position, at most as many but for ties on the last one; and that
-    position. The last one is found by a top-n without sorting the rest, and then filters."""
+    position. The last one is found by a top-n without sorting the rest, and then filters.
+    nulls: rows without a position come with them, beyond the cap; else they don't come."""
     firsts = rows.select(position.alias("p")).filter("p IS NOT NULL").orderBy("p").limit(most)
     last = firsts.agg(F.max("p")).first()[0]
-    return (rows.filter(position <= F.lit(last)) if last is not None else rows.limit(0)), last
+    if last is None:
+        return (rows if nulls else rows.limit(0)), last
+    first = position <= F.lit(last)
+    return rows.filter(first | position.isNull() if nulls else first), last
 
 
 def watermark(
@@ -93,8 +97,9 @@ def watermark(
 
     Unbounded, the new position is the largest before the read, so that a row which arrives
     meanwhile may be read twice and never lost. Bounded, it is that of the last row read, and
-    rows that tie with it are read too. The column may belong to a relationship: then a
-    change there emits all base rows that refer to it."""
+    rows that tie with it are read too. A first read, without a previous position, has the
+    rows whose position is null, too, bounded or not; later ones don't. The column may belong
+    to a relationship: then a change there emits all base rows that refer to it."""
     joined = joined_source(source, mapping, [relationship] if relationship else None)
     at = position_column(mapping, column, relationship)
     if intent is Intent.FROM_LATEST:
@@ -107,7 +112,7 @@ def watermark(
         reached = joined.agg(F.max(at)).first()[0]
         reached = previous if reached is None else reached
     else:
-        rows, reached = with_ties(rows, at, most)
+        rows, reached = with_ties(rows, at, most, nulls=previous is None)
         reached = previous if reached is None else reached
     rows = rows.orderBy(at) if ordered else rows
     return Read(project(rows, mapping).withColumn(OPERATION, F.lit(INSERT)), reached)

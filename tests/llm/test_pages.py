@@ -154,3 +154,15 @@ def test_posteriors_by_hand(spark):
     for r in docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) <= 20000").collect():
         np.add.at(counts[names.index(r["lang"])], langid.features(r["text"]), 1.0)
     assert np.allclose(model, np.log(counts / counts.sum(axis=1, keepdims=True)), atol=1e-5)
+
+
+def test_more_languages_than_64(spark):
+    """The rarest of 70 languages is a class and its pages and documents get it."""
+    langs = [f"{a}{b}" for a in "abcdefg" for b in "qrstuvwxyz"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = lambda i: " ".join(letters[(i * 7 + k) % 26] * 2 + letters[i % 26] + letters[i // 26] * 3 + letters[k] for k in range(12))
+    docs = [(100 * i + k, words(i), lang, "s") for i, lang in enumerate(langs) for k in range(1 if i == 69 else 3)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    page = spark.createDataFrame([(1, f"https://a.example/{langs[69]}/1", f"<html lang='{langs[69]}'><p>{words(69)}</p>")], "page_id long, url string, html string")
+    found = {r["page_id"] or -r["doc_id"]: r["language"] for r in langid.identify(page, docs).collect()}
+    assert found[1] == found[-6900] == langs[69] and len(set(found.values())) == 70

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,27 +61,41 @@ def features(text: str) -> np.ndarray:
     return np.array(found, np.int64)
 
 
-def fit(texts: list[str], languages: list[str], names: list[str]) -> np.ndarray:
-    """Log-probabilities of the buckets, a row for each language."""
-    counts = np.full((len(names), BUCKETS), ALPHA / 8)
-    for text, language in zip(texts, languages):
-        np.add.at(counts[names.index(language)], features(text), 1.0)
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+def count_features(sample: DataFrame) -> DataFrame:
+    """sample: lang, text. Returns lang, bucket, n."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part, by = batch.slice(at, 256), {}
+                for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist()):
+                    by.setdefault(lang, []).append(features(text))
+                for lang, found in by.items():
+                    bucket, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(bucket), pa.array(n)], ["lang", "bucket", "n"])
+
+    each = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
+    return each.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """The languages with documents (64 at most, the most frequent) and their word model."""
-    tally = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
-    names = sorted(r["lang"] for r in tally.orderBy(F.desc("n"), "lang").limit(64).collect())
+    """All languages with documents and their word model, log-probabilities of the buckets in
+    a row for each language. Only counts reach the driver, BUCKETS for each language at most."""
+    names = sorted(r["lang"] for r in docs.filter("lang IS NOT NULL").select("lang").distinct().collect())
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
     # ids first: only the texts of the sample are moved
-    short = docs.filter(F.col("lang").isin(names) & (F.length("text") <= LONGEST)).select("doc_id", "lang", "text")
+    short = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "lang", "text")
     place = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = first_rows(short.filter("doc_id IS NOT NULL").select("doc_id", "lang"), "lang", place, per_language).distinct()
-    chosen = short.join(F.broadcast(ids), ["doc_id", "lang"])  # 64 x per_language rows at most
-    sample = first_rows(chosen, "lang", [*place, F.xxhash64("text")], per_language).select("lang", "text").toPandas()
-    return names, fit(list(sample["text"]), list(sample["lang"]), names)
+    # the broadcast has 64 x per_language rows at most; of more languages AQE decides
+    chosen = short.join(F.broadcast(ids) if len(names) <= 64 else ids, ["doc_id", "lang"])
+    sample = first_rows(chosen, "lang", [*place, F.xxhash64("text")], per_language)
+    tally = count_features(sample).toPandas()
+    counts = np.full((len(names), BUCKETS), ALPHA / 8)
+    row = {name: i for i, name in enumerate(names)}
+    counts[tally["lang"].map(row).to_numpy(np.int64), tally["bucket"].to_numpy(np.int64)] += tally["n"].to_numpy(np.float64)
+    return names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def declared(html: Column) -> Column:

@@ -3,14 +3,25 @@
 A surrogate is a keyed permutation of the entity's canonical form, so equal entities get equal
 surrogates in every document (coreference, whatever their format or case) and different
 ones of a kind different surrogates, with no table of what was seen. Only what varies is
-permuted: separators, letter case, country codes and top-level domains stay, check digits are made
-anew, names keep gender and script. Surnames and given names are replaced on their own, so that
-"Mr. Adam Keller" and "Mr. Keller" stay one person.
+permuted: separators, letter case, country codes and top-level domains stay, a private address
+stays private, addresses of one domain keep one domain, check digits are made anew, names keep
+gender and script. Long forms are permuted in chained blocks, forwards and backwards, so an
+entity of any length takes linear time.
+
+Names are found by a title ("Mr. Adam Keller"); given names and surnames are replaced on their
+own, at all their mentions in that document that don't begin in lower case ("Keller left"), so no
+mention stays that would tell who is meant. Initials stay. A title without gender ("Dr.") takes
+the gender that another title gives the same name in the document, or else a neutral name.
+
+Permutations can be undone by who has the key, so it comes from the caller or the configuration
+(see session_key); tasks get it as a broadcast, and no plan shows it.
 
 What a permutation can't promise is checked over the whole corpus: that a surrogate is no
 entity that really occurs, and that no two names share one. Entities that fail get the
-next variant until none does. These exceptions are few; up to ``BROADCAST`` of them go to the
-tasks as a map, more reach their documents by a join on the text's hash.
+next variant until none does; if a domain is so full that ROUNDS variants in turn don't help, the
+last one stays and a warning says how many there are. These exceptions are few; up to
+``BROADCAST`` of them go to the tasks as a map, more reach their documents by a join on the
+text's hash.
 
 Defined results: a null text stays null, an empty one empty; texts without entities are
 unchanged; repeated rows are treated alike; an empty table gives an empty result; other columns
@@ -20,53 +31,100 @@ are left alone. Whole texts are searched.
 from __future__ import annotations
 
 import hashlib
-import hmac
+import ipaddress
+import math
+import os
 import re
-from collections.abc import Callable, Iterator
+import secrets
+import unicodedata
+import warnings
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, wrapped
 
-KEY = b"tidewell-surrogates"
-BROADCAST, VARIANTS = 50_000, 16
+BROADCAST, ROUNDS = 50_000, 48
+#: Symbols of a form that are permuted as one number.
+CHUNK = 64
+#: Where a session's key comes from (Spark hides settings that are called secret).
+SETTING, VARIABLE = "spark.tidewell.pii.secret", "TIDEWELL_PII_SECRET"
 
-# Titles by gender, and names by script and gender.
+# Titles by gender (n: they tell none), and names by script and gender.
 TITLES = {
-    "m": ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н"],
-    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "госпожа", "г-жа"],
+    "m": ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н", "κύριος", "κ"],
+    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "госпожа", "г-жа", "κυρία", "κα"],
+    "n": ["Dr", "Prof", "Professor", "Doctor"],
 }
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leon"],
     ("latin", "f"): ["Alma", "Berta", "Clara", "Dora", "Emma", "Flora", "Greta", "Helen", "Irma", "Julia", "Karla", "Lena"],
+    ("latin", "n"): ["Alex", "Charlie", "Jean", "Kim", "Luca", "Nico", "Noa", "Quinn", "Robin", "Sam", "Toni", "Yael"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Илья", "Кирилл", "Лев", "Максим", "Олег", "Павел"],
     ("cyrillic", "f"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Ирина", "Ксения", "Лариса", "Мария", "Ольга", "Полина"],
+    ("cyrillic", "n"): ["Валя", "Женя", "Саша", "Слава"],
+    ("greek", "m"): ["Αντώνης", "Γιώργος", "Ηλίας", "Κώστας", "Μάριος", "Νίκος", "Πέτρος", "Στέφανος"],
+    ("greek", "f"): ["Άννα", "Ειρήνη", "Ελένη", "Ζωή", "Κατερίνα", "Μαρία", "Σοφία", "Χρύσα"],
+    ("greek", "n"): ["Άρτεμις", "Μίκα", "Φώτη", "Χαρά"],
 }
 SYLLABLES = {
     "latin": ["ba", "den", "fal", "gor", "hel", "kan", "lin", "mor", "nes", "pol", "ran", "sel", "tor", "vin", "wal", "zim"],
     "cyrillic": ["ба", "вал", "гор", "дан", "зел", "кор", "лин", "мор", "нов", "пол", "ран", "сав", "тор", "фил", "чер", "шум"],
+    "greek": ["βα", "γαλ", "δαν", "ζαρ", "καλ", "λιν", "μαρ", "νικ", "παλ", "ραν", "σαβ", "ταρ", "φιλ", "χαρ"],
 }
-SURNAME_ENDS = {"latin": {"m": "er", "f": "er"}, "cyrillic": {"m": "ов", "f": "ова"}}
+SURNAME_ENDS = {
+    "latin": {"m": "er", "f": "er", "n": "er"},
+    "cyrillic": {"m": "ов", "f": "ова", "n": "енко"},
+    "greek": {"m": "ίδης", "f": "ίδου", "n": "άκη"},
+}
+# Country calling codes of one and two digits (the others have three), and
+# address ranges that are not public.
+CALLING = {*"1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+PRIVATE = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "240.0.0.0/4"]
 
+_RANGES = [(int(n.network_address), 32 - n.prefixlen) for n in map(ipaddress.ip_network, PRIVATE)]
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
-_AT = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
+_AT = re.compile(r"(?<![\w.+%-])\w[\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
 _NUMBERS = re.compile(
-    r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w]))"
+    r"(?P<phone>(?<![\w+])(?:\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}"
+    r"|(?<!\d )[2-9]\d\d [2-9]\d\d \d{4}(?! ?\d)|(?<!\d )0[1-9]\d{0,3}[ /]\d{5,8}(?! ?\d))(?![\w]))"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9]))"
+    r"|(?P<token>(?<![\w-])(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![\w-]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)|(?<=:):){2,7}[0-9A-Fa-f]{1,4}(?![\w:]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|3[47]\d\d(?P<gap2>[ -])\d{6}(?P=gap2)\d{5})(?![\w]))"
 )
+_KINDS = ("phone", "secret", "token", "iban", "ip6", "ip", "ssn", "card")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = r"[^\W\d_]+(?:-[^\W\d_]+)*"
-_NAME = re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.? (?P<name>{_WORD}(?: {_WORD}){{0,2}})")
+_PART = rf"(?:[^\W\d_]\.(?!\w)|{_WORD})"
+_NAME = re.compile(rf"(?<!\w)(?P<title>(?:(?:{_TITLE})\.? )+)(?P<name>{_PART}(?: {_PART}){{0,3}})")
 _ISSUER = re.compile(r"4(?:.{12}|.{15}|.{18})|(?:5[1-5]|2[2-7]).{14}|3[47].{13}|3[068].{12}|35.{14}|6(?:011|5..|4[4-9].).{12}")
-_QUICK = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLE})\.? ")
+_QUICK = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLE})\.? |eyJ|::")
+
+
+def session_key(spark: SparkSession, _drawn: list[str] = []) -> bytes:  # noqa: B006
+    """The key of the setting or the environment; without either, one drawn at random for this
+    driver, so that surrogates agree within the session and nobody can undo them later."""
+    found = spark.conf.get(SETTING, None) or os.environ.get(VARIABLE)
+    if not found:
+        if not _drawn:
+            _drawn.append(secrets.token_hex(32))
+        found = _drawn[0]
+    return found.encode()
+
+
+def fixed_length(key: bytes) -> bytes:
+    if not key:
+        raise ValueError("surrogates need a key")
+    return hashlib.blake2b(key, digest_size=32).digest()
 
 
 def luhn(digits: str) -> int:
@@ -82,73 +140,132 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
-def permute(value: int, size: int, tweak: str, key: bytes = KEY) -> int:
-    """A keyed permutation of 0 .. size - 1: a Feistel network over pairs below a square,
-    walked until it falls into the range."""
+def noise(message: str, key: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(message.encode(), key=key, digest_size=64).digest(), "big")
+
+
+def permute(value: int, size: int, tweak: str, key: bytes) -> int:
+    """A keyed permutation of 0 .. size - 1, which must be far below 2 ** 512: a Feistel network
+    over pairs below a square, walked until it falls into the range."""
     if size < 2:
         return value
-    side = int(size**0.5) if size < 1 << 52 else _root(size)
-    while side * side < size:
-        side += 1
-    width = (side.bit_length() + 135) // 8
+    side = math.isqrt(size - 1) + 1
     while True:
         a, b = divmod(value, side)
         for turn in range(6):
-            message = f"{tweak}/{size}/{turn}/{b}".encode()
-            noise = int.from_bytes(hashlib.shake_256(key + hmac.digest(key, message, "sha256")).digest(width), "big")
-            a, b = b, (a + noise) % side
+            a, b = b, (a + noise(f"{tweak}/{size}/{turn}/{b}", key)) % side
         value = a * side + b
         if value < size:
             return value
 
 
-def _root(n: int) -> int:
-    x = 1 << (n.bit_length() + 1) // 2
-    while (y := (x + n // x) // 2) < x:
-        x = y
-    return x
-
-
-def _radix(text: str, tweak: str, key: bytes, keep: Callable[[int], bool] = lambda i: False) -> str:
-    """Permutes letters (as a to z) and digits of a canonical form, at their places."""
-    kinds = [10 if c.isascii() and c.isdigit() else 26 if "a" <= c <= "z" and not keep(i) else 0 for i, c in enumerate(text)]
-    kinds = [0 if keep(i) else k for i, k in enumerate(kinds)]
-    value, size = 0, 1
-    for c, k in zip(text, kinds):
-        if k:
-            value = value * k + (ord(c) - 48 if k == 10 else ord(c) - 97)
-            size *= k
-    shape = "".join("d" if k == 10 else "l" if k else c for c, k in zip(text, kinds))
-    value, out = permute(value, size, f"{tweak}/{shape}", key), []
-    for c, k in zip(reversed(text), reversed(kinds)):
-        if k:
-            value, x = divmod(value, k)
-            c = chr(x + (48 if k == 10 else 97))
-        out.append(c)
-    return "".join(reversed(out))
+def permute_digits(digits: list[int], bases: list[int], tweak: str, key: bytes, chunk: int = CHUNK) -> list[int]:
+    """A keyed permutation of lists of digits, each below its base, of any length. Blocks of
+    them are permuted as numbers; each depends on the block that was done before it, and with
+    a second turn from the end every block depends on all."""
+    out = list(digits)
+    blocks = range(0, len(out), chunk)
+    for turn, order in enumerate([blocks, reversed(blocks)] if len(blocks) > 1 else [blocks]):
+        before = ""
+        for at in order:
+            value, size = 0, 1
+            for x, base in zip(out[at : at + chunk], bases[at : at + chunk]):
+                value, size = value * base + x, size * base
+            value = permute(value, size, f"{tweak}/{turn}/{at}/{before}", key)
+            before = str(value)
+            for i in reversed(range(at, min(at + chunk, len(out)))):
+                value, out[i] = divmod(value, bases[i])
+    return out
+
+
+def _radix(text: str, tweak: str, key: bytes, kept: int = 0) -> str:
+    """Permutes letters (small and large ones among themselves) and digits of a form at their
+    places, but for the first so many characters."""
+    zero = [0 if i < kept or not c.isascii() or not c.isalnum() else 48 if c.isdigit() else 97 if c >= "a" else 65 for i, c in enumerate(text)]
+    spots = [i for i, z in enumerate(zero) if z]
+    shape = "".join("d" if z == 48 else "l" if z == 97 else "L" if z else c for c, z in zip(text, zero))
+    if len(shape) > 64:
+        shape = hashlib.blake2b(shape.encode(), digest_size=16).hexdigest()
+    new = permute_digits([ord(text[i]) - zero[i] for i in spots], [10 if zero[i] == 48 else 26 for i in spots], f"{tweak}/{shape}", key)
+    out = list(text)
+    for i, x in zip(spots, new):
+        out[i] = chr(x + zero[i])
+    for i, c in enumerate(text):  # other scripts' letters: drawn, and checked like names
+        if i >= kept and not c.isascii() and c.isalpha() and (of := letters(script(c))):
+            out[i] = of[noise(f"{tweak}/{i}/{text}", key) % len(of)]
+    return "".join(out)
+
+
+@lru_cache(4096)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "latin").split()[0].lower()
 
 
 def script(text: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "latin"
+    """The script of the first letter, as Unicode calls it."""
+    return next((_script(c) for c in text if c.isalpha()), "latin")
+
+
+@lru_cache(64)
+def letters(form: str) -> str:
+    """The small or caseless letters of a script."""
+    start = form.upper() + " "
+    plain = (c for c in map(chr, range(0x80 if form != "latin" else 97, 0xFFFF)) if c.isalpha() and not c.isupper())
+    return "".join(c for c in plain if unicodedata.name(c, "").startswith(start) and unicodedata.normalize("NFKC", c) == c)
+
+
+def _name(kind: str, canonical: str, variant: int, key: bytes) -> str:
+    what, form, gender = kind.split(":")
+    drawn = noise(f"{kind}/{variant}/{canonical}", key)
+    if form not in SYLLABLES:  # a name of its own script's letters
+        of = letters(form) or letters("latin")
+        return "".join(of[(drawn >> 16 * i) % len(of)] for i in range(min(max(len(canonical), 2), 8) + min(variant, 20)))
+    parts = SYLLABLES[form]
+    pick = lambda i: parts[(drawn >> 8 * (i + 2)) % len(parts)]
+    if what == "given":
+        names = GIVEN[form, gender]
+        # beyond the plain names, longer ones
+        return "".join(pick(i) for i in range(min(variant, 50))) + names[drawn % len(names)].lower()
+    return "".join(pick(i) for i in range(3 + min(variant, 50))) + SURNAME_ENDS[form][gender]
+
+
+def _address(value: int, tweak: str, key: bytes) -> int:
+    """Another of the same private range, or another public one."""
+    held = next((r for r in _RANGES if value >> r[1] == r[0] >> r[1]), None)
+    if held:
+        return held[0] + permute(value - held[0], 1 << held[1], f"{tweak}/{held[0]}", key)
+    while True:
+        value = permute(value, 1 << 32, tweak, key)
+        if not any(value >> bits == start >> bits for start, bits in _RANGES):
+            return value
 
 
 @lru_cache(100_000)
-def surrogate(kind: str, canonical: str, variant: int = 0, key: bytes = KEY) -> str:
+def surrogate(kind: str, canonical: str, variant: int, key: bytes) -> str:
     """The canonical form that stands for this one."""
     tweak = f"{kind}/{variant}"
     if kind == "email":
-        return _radix(canonical, tweak, key, lambda i, end=canonical.rindex("."): i > end)
+        local, _, domain = canonical.rpartition("@")
+        head, _, top = domain.rpartition(".")
+        return f"{_radix(local, tweak, key)}@{_radix(head, f'domain/{variant}', key)}.{top}"
     if kind == "ip":
-        value = 0
-        for part in canonical.split("."):
-            value = value * 256 + int(part)
-        value = permute(value, 1 << 32, tweak, key)
-        return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+        value = _address(int(ipaddress.IPv4Address(canonical)), tweak, key)
+        return str(ipaddress.IPv4Address(value))
+    if kind == "ip6":  # groups that are zero stay so, and the first stays for its scope
+        groups = [int(g, 16) for g in canonical.split(":")]
+        some = [i for i, g in enumerate(groups) if g and i]
+        new = permute_digits([groups[i] - 1 for i in some], [65535] * len(some), f"{tweak}/{groups[0]}/{some}", key)
+        for i, g in zip(some, new):
+            groups[i] = g + 1
+        return ":".join(f"{g:04x}" for g in groups)
     if kind == "secret":
-        return f"{permute(int(canonical, 16), 16 ** len(canonical), f'{tweak}/{len(canonical)}', key):0{len(canonical)}x}"
+        digits = permute_digits([int(c, 16) for c in canonical], [16] * len(canonical), f"{tweak}/{len(canonical)}", key)
+        return "".join(f"{d:x}" for d in digits)
+    if kind == "token":
+        start = re.match(r"AKIA|AIza|gh._|sk-|xox.-|eyJ", canonical).end()
+        return _radix(canonical, tweak, key, start)
     if kind.startswith("phone"):
-        kept = int(kind[5:])
-        return _radix(canonical, tweak, key, lambda i: i < kept)
+        return _radix(canonical, tweak, key, int(kind[5:]))
     if kind == "ssn":
         a, b, c = int(canonical[:3]) - 1, int(canonical[3:5]) - 1, int(canonical[5:]) - 1
         a -= a >= 666  # 001 to 899 without 666
@@ -158,74 +275,107 @@ def surrogate(kind: str, canonical: str, variant: int = 0, key: bytes = KEY) ->
         return f"{a + 1 + (a >= 665):03d}{b + 1:02d}{c + 1:04d}"
     if kind == "card":
         kept = 1 if canonical[0] == "4" else 4 if canonical[0] == "6" else 2
-        body = _radix(canonical[:-1], tweak, key, lambda i: i < kept)
+        body = _radix(canonical[:-1], tweak, key, kept)
         return body + str(luhn(body))
     if kind == "iban":
-        body = _radix(canonical[4:].lower(), tweak, key).upper()
+        body = _radix(canonical[4:], tweak, key)
         return canonical[:2] + iban_check(canonical[:2], body) + body
-    form, gender = kind.split(":")[1:]
-    noise = int.from_bytes(hmac.digest(key, f"{tweak}/{canonical}".encode(), "sha256"), "big")
-    parts = SYLLABLES[form]
-    if kind.startswith("given"):
-        names = GIVEN[form, gender]
-        name = names[noise % len(names)].lower()
-        for i in range(variant):  # beyond the plain names, longer ones
-            name = parts[(noise >> 16 * (i + 1)) % len(parts)] + name
-        return name
-    name = "".join(parts[(noise >> 8 * (i + 1)) % len(parts)] for i in range(3 + variant))
-    return name + SURNAME_ENDS[form][gender]
+    return _name(kind, canonical, variant, key)
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of all entities, in order, without overlaps."""
-    if not _QUICK.search(text):
-        return []
-    found = []
-    if "@" in text:
-        found += [(m.start(), m.end(), "email", m.group().lower()) for m in _AT.finditer(text)]
+def _phone(value: str) -> tuple[str, int]:
+    """Digits of a number, and how many at the start stay: a country's code or a leading 0."""
+    digits = re.sub(r"\D", "", value)
+    if value[0] != "+":
+        return digits, int(digits[0] == "0")
+    return digits, next((n for n in (1, 2) if digits[:n] in CALLING), 3)
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
     at = 0
     while m := _NUMBERS.search(text, at):
-        kind = next(k for k in ("phone", "secret", "iban", "ip", "ssn", "card") if m.group(k))
+        kind = next(k for k in _KINDS if m.group(k))
         value, at = m.group(), m.end()
         if kind == "phone":
-            code = len(re.match(r"\+?(\d*)", value).group(1)) if value[0] == "+" else 0
-            while len(digits := re.sub(r"\D", "", value)) > 15:  # numbers may follow each other
+            while len(re.sub(r"\D", "", value)) > 15:  # numbers may follow each other
                 value = value[: max(value.rfind(c) for c in " .-")]
             at = m.start() + len(value)
+            digits, kept = _phone(value)
             if len(digits) >= 7:
-                found.append((m.start(), at, f"phone{code}", digits))
+                yield m.start(), at, f"phone{kept}", digits
         elif kind == "card":
             digits = re.sub(r"\D", "", value)
             if _ISSUER.fullmatch(digits) and luhn(digits[:-1]) == int(digits[-1]):
-                found.append((m.start(), m.end(), kind, digits))
+                yield m.start(), at, kind, digits
         elif kind == "ip":
-            parts = value.split(".")
-            if all(int(p) < 256 and (p == "0" or p[0] != "0") for p in parts):
-                found.append((m.start(), m.end(), kind, value))
+            if all(int(p) < 256 and (p == "0" or p[0] != "0") for p in value.split(".")):
+                yield m.start(), at, kind, value
+        elif kind == "ip6":
+            try:
+                plain = ipaddress.IPv6Address(value).exploded
+            except ValueError:
+                continue
+            if sum(g != "0000" for g in plain.split(":")[1:]) and len(re.findall("[0-9A-Fa-f]+", value)) > 2:
+                yield m.start(), at, kind, plain
         elif kind == "secret":
             if re.search("[0-9]", value) and re.search("[A-Fa-f]", value):
-                found.append((m.start(), m.end(), kind, value.lower()))
+                yield m.start(), at, kind, value.lower()
         elif kind == "iban":
             plain = value.replace(" ", "")
             if 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]:
-                found.append((m.start(), m.end(), kind, plain))
+                yield m.start(), at, kind, plain
+        elif kind == "token":
+            yield m.start(), at, kind, value
         else:
-            found.append((m.start(), m.end(), kind, value.replace("-", "")))
+            yield m.start(), at, kind, value.replace("-", "")
+
+
+def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Titled names, and all mentions of their parts."""
+    known: dict[str, tuple[str, str, str]] = {}
     at = 0
     while m := _NAME.search(text, at):
         kept, at = [], m.end("title")
-        for w in re.finditer(_WORD, m.group("name")):
-            if not w.group()[0].isupper():
+        for w in re.finditer(_PART, m.group("name")):
+            if w.group()[0].islower():
                 break
-            kept.append(w)
+            if not w.group().endswith("."):
+                kept.append(w.group())
             at = m.start("name") + w.end()
-        gender, base = _GENDER[m.group("title").casefold()], m.start("name")
+        genders = [_GENDER[t.casefold()] for t in re.findall(rf"(?:{_TITLE})(?=\.? )", m.group("title"))]
+        gender = next((g for g in genders if g != "n"), "n")
         for i, w in enumerate(kept):
-            last = i == len(kept) - 1
-            form = script(w.group())
-            kind = f"surname:{form}:{gender if form == 'cyrillic' else 'm'}" if last else f"given:{form}:{gender}"
-            found.append((base + w.start(), base + w.end(), kind, w.group().lower()))
-    found.sort()
+            what, word = "surname" if i == len(kept) - 1 else "given", w.lower()
+            if len(word) > 1 and known.get(word, ("", "", "n"))[2] == "n":
+                known[word] = (known.get(word, (what,))[0], script(w), gender)
+    if not known:
+        return
+
+    def kind(word: str) -> str:
+        what, form, gender = known[word]
+        # a surname of a script whose surnames have one form is one person's or a couple's
+        ends = SURNAME_ENDS.get(form, {})
+        return f"{what}:{form}:{gender if what == 'given' or len(set(ends.values())) > 1 else 'm'}"
+
+    for w in re.finditer(_WORD, text):
+        whole = w.group().lower()
+        if whole in known:
+            if not w.group()[0].islower():
+                yield w.start(), w.end(), kind(whole), whole
+        elif "-" in whole:
+            for p in _LETTERS.finditer(w.group()):
+                if p.group().lower() in known and not p.group()[0].islower():
+                    yield w.start() + p.start(), w.start() + p.end(), kind(p.group().lower()), p.group().lower()
+
+
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, canonical form) of all entities, in order, without overlaps."""
+    if not _QUICK.search(text):
+        return []
+    found = [*_numbers(text), *_names(text)]
+    if "@" in text:
+        found += [(m.start(), m.end(), "email", m.group().lower()) for m in _AT.finditer(text)]
+    found.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], 0
     for e in found:
         if e[0] >= end:
@@ -238,7 +388,12 @@ def render(original: str, kind: str, new: str) -> str:
     """new in the format of the original: its separators and its case."""
     if kind.startswith(("given", "surname")):
         return new.upper() if original.isupper() and len(original) > 1 else new.capitalize()
-    if kind == "ip":
+    if kind == "ip6":
+        padded = re.search("(?:^|:)0[0-9A-Fa-f]{3}(?::|$)", original)
+        groups = new if padded else ":".join(f"{int(g, 16):x}" for g in new.split(":"))
+        new = ipaddress.IPv6Address(new).compressed if "::" in original else groups
+        return new.upper() if original.upper() == original else new
+    if kind in ("ip", "token"):
         return new
     if kind in ("email", "secret"):
         return new.upper() if original.isupper() else "".join(n.upper() if o.isupper() and n.isalpha() else n for o, n in zip(original, new))
@@ -246,8 +401,8 @@ def render(original: str, kind: str, new: str) -> str:
     return "".join(next(left) if c.isalnum() else c for c in original)
 
 
-def replace(text: str, variants: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
-    """The text with surrogates, and how many entities it had."""
+def replace(text: str, variants: dict[tuple[str, str], int], key: bytes) -> tuple[str, int]:
+    """The text with surrogates, and how many entities it had. key: of fixed_length()."""
     found = entities(text)
     if not found:
         return text, 0
@@ -274,48 +429,54 @@ def _entities(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("canonical", pa.string())])))
 
 
-@F.arrow_udf(T.StringType())
-def _surrogates(kinds: pa.Array, canonical: pa.Array, variants: pa.Array, keys: pa.Array) -> pa.Array:
-    rows = zip(kinds.to_pylist(), canonical.to_pylist(), variants.to_pylist(), keys.to_pylist())
-    return pa.array([surrogate(*row) for row in rows], pa.string())
-
-
-def exceptions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def exceptions(docs: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     """kind, canonical, variant of the entities whose first surrogate collides with an entity
     of the corpus or with the surrogate of a lesser one."""
+    held = docs.sparkSession.sparkContext.broadcast(fixed_length(key))
+
+    @F.arrow_udf(T.StringType())
+    def surrogates(kinds: pa.Array, canonical: pa.Array, variants: pa.Array) -> pa.Array:
+        rows = zip(kinds.to_pylist(), canonical.to_pylist(), variants.to_pylist())
+        return pa.array([surrogate(*row, held.value) for row in rows], pa.string())
+
     found = docs.select(F.explode(_entities("text")).alias("e")).select("e.kind", "e.canonical").distinct()
     known = found.withColumn("variant", F.lit(0))
     group = F.regexp_replace("kind", "^phone.*", "phone")
-    while True:
-        new = _surrogates("kind", "canonical", "variant", F.lit(key))
+    for turn in range(rounds):
+        new = surrogates("kind", "canonical", "variant")
         named = materialize(known.select("kind", "canonical", "variant", group.alias("group"), new.alias("new")), "entities", True)
         real = named.select("group", F.col("canonical").alias("new")).distinct()
         taken = named.join(real, ["group", "new"], "left_semi").select("kind", "canonical")
         shared = named.groupBy("group", "new").agg(F.count("*").alias("n"), F.min(F.struct("canonical", "kind")).alias("first"))
         shared = named.join(shared.filter("n > 1"), ["group", "new"]).filter("struct(canonical, kind) <> first")
         bad = taken.union(shared.select("kind", "canonical")).distinct()
-        if bad.isEmpty():
-            return named.filter("variant > 0").select("kind", "canonical", "variant")
-        if named.agg(F.max("variant")).first()[0] >= VARIANTS:
-            raise ValueError("surrogates still collide; is the domain of a kind exhausted?")
+        left = bad.count()
+        if not left:
+            break
+        if turn == rounds - 1:
+            warnings.warn(f"{left} surrogates are real entities or shared: their domains are full", stacklevel=2)
+            break
         joined = named.join(bad.withColumn("more", F.lit(1)), ["kind", "canonical"], "left")
         known = joined.select("kind", "canonical", (F.col("variant") + F.coalesce("more", F.lit(0))).alias("variant"))
+    return named.filter("variant > 0").select("kind", "canonical", "variant")
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY, most: int = BROADCAST) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes, most: int = BROADCAST, rounds: int = ROUNDS) -> DataFrame:
     """docs with text replaced and a new column entities, how many each text had."""
-    odd = exceptions(docs, key)
+    odd = exceptions(docs, key, rounds)
+    context = docs.sparkSession.sparkContext
+    own = context.broadcast(fixed_length(key))
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("entities", T.IntegerType())])
 
     def changed(texts: pa.Array, each: Iterator[dict]) -> pa.Array:
-        rows = [replace(t, v, key) for t, v in zip(_values(texts), each)]
+        rows = [replace(t, v, own.value) for t, v in zip(_values(texts), each)]
         new = pa.array([r[0] for r in rows], pa.string())
         new = pa.compute.if_else(texts.is_null(), pa.scalar(None, pa.string()), new)
         return pa.StructArray.from_arrays([new, pa.array([r[1] for r in rows], pa.int32())], ["text", "entities"])
 
     if odd.count() <= most:
         variants = {(r["kind"], r["canonical"]): r["variant"] for r in odd.collect()}
-        held = docs.sparkSession.sparkContext.broadcast(variants)
+        held = context.broadcast(variants)
 
         @F.arrow_udf(schema)
         def apply(texts: pa.Array) -> pa.Array:
@@ -328,8 +489,8 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, most: int = BROADCAST) ->
         lists = each.groupBy("__hash").agg(F.collect_list(F.struct("kind", "canonical", "variant")).alias("__odd"))
 
         @F.arrow_udf(schema)
-        def apply_own(texts: pa.Array, own: pa.Array) -> pa.Array:
-            maps = ({(x["kind"], x["canonical"]): x["variant"] for x in row or ()} for row in own.to_pylist())
+        def apply_own(texts: pa.Array, rare: pa.Array) -> pa.Array:
+            maps = ({(x["kind"], x["canonical"]): x["variant"] for x in row or ()} for row in rare.to_pylist())
             return changed(texts, maps)
 
         keyed = docs.withColumn("__hash", F.xxhash64("text")).join(lists, "__hash", "left")
@@ -338,7 +499,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, most: int = BROADCAST) ->
     return done.select(*columns, F.col("__new.entities").alias("entities"))
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with text replaced, and n_chars, where it is there, made anew."""
     done = with_surrogates(wrapped(docs, "text"), key)
     row = F.col("row").withField("text", F.col("text"))

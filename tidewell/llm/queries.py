@@ -39,7 +39,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

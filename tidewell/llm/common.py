@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: A key with more than this fraction of all rows is joined by broadcasting it, so
 #: at most 1 / HOT_SHARE keys are ever broadcast.
@@ -85,11 +84,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def first_rows(df: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
-    """The first rows of each group. Spark cuts each partition's groups to that many before it
-    moves them, so no group meets whole."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
+def draw_limits(df: DataFrame, by: str, counts: dict, most: int) -> DataFrame:
+    """For each class (a value of column by, of which there are so many rows) the limit of the
+    hash below which about most of its rows lie, most and a few deviations; for drawn()."""
+    enough = most + 4 * most**0.5
+    kind = df.schema[by].dataType.simpleString()
+    rows = [(value, min(int(enough / max(n, 1) * 2**62), 2**62)) for value, n in counts.items()]
+    return df.sparkSession.createDataFrame(rows, f"`{by}` {kind}, __limit long")
+
+
+def drawn(key: str) -> Column:
+    """Whether a row is of its class's sample, which its key's hash decides: no group meets
+    anywhere, and a repeated key is in with all its rows or with none."""
+    return F.pmod(F.xxhash64(F.lit("drawn"), F.col(key)), F.lit(2**62)) < F.col("__limit")
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:

@@ -9,7 +9,8 @@ A page's log-posterior of each language is the sum of
   - the prior of its host, smoothed towards that of the host's domain, that towards the
     suffix's, and that towards all pages' (Dirichlet smoothing, level by level).
 
-The word model is fitted on a bounded sample of documents of known language. The tables and
+The word model is fitted on a bounded sample of documents of known language, about
+``PER_LANGUAGE`` of each, of at most ``LONGEST`` characters, drawn by the hash of their id. The tables and
 priors are grouped aggregations over all pages, weighted by the text's own posteriors,
 so they need no labels; the priors reach their pages by a join on the host. A document
 has no markup and no address; its source stands for the host.
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_rows, join_hot, materialize
+from .common import draw_limits, drawn, join_hot, materialize
 from .text import pieces, rows
 from .urlfilter import host
 
@@ -81,20 +82,18 @@ def count_features(sample: DataFrame) -> DataFrame:
 def fit_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """All languages with documents and their word model, log-probabilities of the buckets in
     a row for each language. Only counts reach the driver, BUCKETS for each language at most."""
-    names = sorted(r["lang"] for r in docs.filter("lang IS NOT NULL").select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    names = sorted(sizes)
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
-    # ids first: only the texts of the sample are moved
-    short = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "lang", "text")
-    place = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = first_rows(short.filter("doc_id IS NOT NULL").select("doc_id", "lang"), "lang", place, per_language).distinct()
-    # the broadcast has 64 x per_language rows at most; of more languages AQE decides
-    chosen = short.join(F.broadcast(ids) if len(names) <= 64 else ids, ["doc_id", "lang"])
-    sample = first_rows(chosen, "lang", [*place, F.xxhash64("text")], per_language)
-    tally = count_features(sample).toPandas()
+    short = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.length("text") <= LONGEST)
+    # a row for each language: AQE measures it
+    chosen = short.select("doc_id", "lang", "text").join(draw_limits(docs, "lang", sizes, per_language), "lang").filter(drawn("doc_id"))
+    sample = chosen.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    tally = count_features(sample).toArrow()
     counts = np.full((len(names), BUCKETS), ALPHA / 8)
-    row = {name: i for i, name in enumerate(names)}
-    counts[tally["lang"].map(row).to_numpy(np.int64), tally["bucket"].to_numpy(np.int64)] += tally["n"].to_numpy(np.float64)
+    row = pa.compute.index_in(tally["lang"], pa.array(names, pa.string())).to_numpy()
+    counts[row, tally["bucket"].to_numpy()] += tally["n"].to_numpy()
     return names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

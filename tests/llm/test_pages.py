@@ -1,7 +1,11 @@
+import math
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import langid, urlfilter
 
@@ -63,18 +67,82 @@ def test_odd_pages(spark):
 
 def test_every_page_counts(spark):
     """Grams and threshold are those of all rows, not of distinct forms."""
-    df = pages(spark).select(urlfilter.host("url").alias("host"), urlfilter.path("url").alias("path"))
+    df = urlfilter.parts(pages(spark))
     forms = spark.createDataFrame([("ab", 0, 1, 1000), ("ab", 0, 1, 5), ("b", 0, 1, 2)], "form string, rejected long, fold long, pages long")
     found = {r["gram"] % urlfilter.SYMBOLS: r["n"] for r in urlfilter.count_grams(forms.coalesce(1)).filter(f"gram >= {urlfilter.BEFORE * (32**3 + 32**2 + 32)}").collect()}
     assert found == {0: 1005, 1: 2}
     hot = df.filter("host LIKE '%casino%'")
     for _ in range(5):
         hot = hot.unionByName(hot)
-    plain, _ = urlfilter.fit(df)
-    more, _ = urlfilter.fit(df.unionByName(hot))
+    plain, more = (urlfilter.fit(urlfilter.evidence(x)).ratios for x in (df, df.unionByName(hot)))
     assert np.abs(plain - more).max() > 0.1
 
 
+def symbol(c):
+    """a to z, any digit, - . / and the rest."""
+    c = c.lower() if c.isascii() else "?"
+    return c if c in "abcdefghijklmnopqrstuvwxyz-./" else "0" if c.isdigit() else "?"
+
+
+def plain_counts(rows):
+    """How often each symbol follows each context of 0 to 3 symbols; ^ is before a URL."""
+    counts = defaultdict(Counter)
+    for text, n in rows:
+        chain = "^^^" + "".join(symbol(chr(b)) if b < 128 else "?" for b in text.encode())
+        for i in range(3, len(chain)):
+            for k in range(4):
+                counts[chain[i - k : i]][chain[i]] += n
+    return counts
+
+
+def plain_log(counts, context, c):
+    """Witten-Bell from the empty context up."""
+    p = 1 / urlfilter.SYMBOLS
+    for k in range(4):
+        seen = counts.get(context[3 - k :], {})
+        if seen:
+            p = (seen.get(c, 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+    return math.log(p)
+
+
+def test_models_by_brute_force(spark):
+    """Evidence, counts, smoothing and the held-out threshold against plain Python."""
+    df = pages(spark).unionByName(spark.createDataFrame([(9000 + i, f"https://junk{i % 3}.example.org/fr/x", "<p>!!! ### ***") for i in range(40)], "page_id long, url string, html string"))
+    rows = defaultdict(int)
+    for r in df.collect():
+        host, path, rule, verdict = plain_rule(r["url"])
+        if host:
+            seeded = set(re.split("[.-]", host)) & set(urlfilter.SEEDS)
+            runs = len(re.findall(r"[!*#$%]{2,}", r["html"] or ""))
+            junk = runs > 0 and runs * 50 >= len(r["html"])
+            rows[re.sub("[0-9]", "0", host + path), int(verdict == "block" if verdict else bool(seeded) or junk)] += 1
+    forms = urlfilter.evidence(urlfilter.parts(df))
+    assert {(r["form"], r["rejected"]): r["n"] for r in forms.groupBy("form", "rejected").agg(F.sum("pages").alias("n")).collect()} == dict(rows)
+    fitted = urlfilter.fit(forms)
+    models = [plain_counts([(t, n) for (t, bad), n in rows.items() if bad == b]) for b in (0, 1)]
+
+    def plain_ratio(models, text):
+        chain = "^^^" + "".join(symbol(chr(b)) if b < 128 else "?" for b in text.encode())
+        each = [plain_log(models[1], chain[i - 3 : i], chain[i]) - plain_log(models[0], chain[i - 3 : i], chain[i]) for i in range(3, len(chain))]
+        return sum(each) / len(each)
+
+    some = sorted({t for t, _ in rows})[::7] + ["never.seen/ça"]
+    assert np.allclose(urlfilter.ratios(pa.array(some), fitted.ratios), [plain_ratio(models, t) for t in some], atol=1e-4)
+    # what models without a form's fold say, and the cut of the least sum of error rates
+    scored = []
+    for fold in range(urlfilter.FOLDS):
+        mine = forms.filter(F.col("fold") == fold).collect()
+        rest = forms.filter(F.col("fold") != fold).collect()
+        own = [plain_counts([(r["form"], r["pages"]) for r in rest if r["rejected"] == b]) for b in (0, 1)]
+        scored += [(plain_ratio(own, r["form"]), r["rejected"], r["pages"]) for r in mine]
+    x, bad, n = (np.array(v) for v in zip(*scored))
+    rate = lambda cut: (n[(x <= cut) & (bad == 1)].sum() / n[bad == 1].sum(), n[(x > cut) & (bad == 0)].sum() / n[bad == 0].sum())
+    best = min(sum(rate(cut)) for cut in [x.min() - 1, *x])
+    missed, lost = rate(fitted.threshold)
+    assert missed + lost == pytest.approx(best, abs=0.02)  # scores are binned
+    assert fitted.held_out == pytest.approx((1 - missed, lost), abs=0.02)
+
+
 def test_model_is_a_distribution():
     """Probabilities after any context sum to one, known or not."""
     counts = np.zeros((urlfilter.SYMBOLS,) * urlfilter.ORDER)
@@ -145,9 +213,10 @@ def test_odd_tables(spark):
     assert more.columns == ["doc_id", "page_id", "host", "declared", "language", "confidence"] and more.count() > 0
 
 
-def test_posteriors_by_hand(spark):
-    """Host priors: each level smoothed towards the one above."""
+def test_posteriors_by_brute_force(spark):
+    """The whole fusion in plain Python: word model, tables of declarations, host priors."""
     pages_, docs = corpora(spark)
+    pages_, docs = pages_.filter("page_id <> 503"), docs.filter("doc_id IS NULL OR doc_id <> 502")
     names, model = langid.fit_sample(docs)
     assert names == ["de", "en", "fr"]
     counts = np.full((3, langid.BUCKETS), langid.ALPHA / 8)
@@ -155,6 +224,53 @@ def test_posteriors_by_hand(spark):
         np.add.at(counts[names.index(r["lang"])], langid.features(r["text"]), 1.0)
     assert np.allclose(model, np.log(counts / counts.sum(axis=1, keepdims=True)), atol=1e-5)
 
+    rows = []
+    for r in pages_.collect():
+        url, html = r["url"] or "", r["html"] or ""
+        host = url.split("://", 1)[1].split("/")[0].lower() if "://" in url else ""
+        mark = re.search(r"<html lang='(..)'", html)
+        part = re.search(r"://[^/]*/(?:.*/)?([a-z]{2})(?:/|$)", url)
+        address = part[1] if part and part[1] in names else langid.SUFFIXES.get(host.rpartition(".")[2], "")
+        text = re.sub("<script>.*?<|<[^>]*>", " ", html.replace("</script>", "<"))
+        rows.append((r["page_id"], host, ".".join(host.split(".")[-2:]), host.rpartition(".")[2], mark[1] if mark else "", address, text))
+    for r in docs.collect():
+        rows.append((-999 if r["doc_id"] is None else -1000 - r["doc_id"], "source:" + (r["source"] or ""), "source:", "source:", None, None, r["text"] or ""))
+    logs = []
+    for row in rows:
+        ids = langid.features(row[6])
+        l = model[:, ids].astype(float).mean(axis=1) * langid.TEMPER * min(len(ids) / 3, langid.WORDS) if len(ids) else np.zeros(3)  # noqa: E741
+        logs.append(l - l.max())
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    own = [soft(v) for v in logs]
+    for column in (4, 5):
+        value = lambda r: r[column] if r[column] in (*names, "") else "?"  # noqa: B023, E731
+        table = {v: np.full(3, langid.ALPHA) for v in (*names, "", "?")}
+        for r, p in zip(rows, own):
+            if r[column] is not None:
+                table[value(r)] = table[value(r)] + p
+        total = sum(table.values())
+        logs = [v if r[column] is None else v + np.log(table[value(r)] / total) for r, v in zip(rows, logs)]
+    prior = (sum(own) + 1) / (len(rows) + 3)
+    priors = {}
+    for level in (3, 2, 1):  # suffix, domain, host
+        sums = defaultdict(lambda: np.zeros(4))
+        for r, p in zip(rows, own):
+            sums[r[level]] += np.r_[p, 1]
+        up = {r[level]: prior if level == 3 else priors[level + 1, r[level + 1]] for r in rows}
+        priors |= {(level, k): (v[:3] + langid.STRENGTH * up[k]) / (v[3] + langid.STRENGTH) for k, v in sums.items()}
+    want = {r[0]: soft(v + np.log(priors[1, r[1]])) for r, v in zip(rows, logs)}
+    found = langid.identify(pages_, docs).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        p = want[r["page_id"] if r["page_id"] is not None else -999 if r["doc_id"] is None else -1000 - r["doc_id"]]
+        assert r["confidence"] == pytest.approx(p.max(), abs=1e-6) and p[names.index(r["language"])] == pytest.approx(p.max(), abs=1e-9)
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "zz", "fr", "s"), (2, "zz", "de", "s")], "doc_id long, text string, lang string, source string")
+    page = spark.createDataFrame([(1, "https://a.example/", "<p>zz")], "page_id long, url string, html string")
+    assert {r["language"] for r in langid.identify(page, docs).collect()} == {"de"}
+
 
 def test_more_languages_than_64(spark):
     """The rarest of 70 languages is a class and its pages and documents get it."""

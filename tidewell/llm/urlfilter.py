@@ -7,21 +7,25 @@ the ``ORDER`` - 1 before it is mixed with that after fewer of them, by the Witte
 how much the longer context is known. A URL is blocked when the difference of its
 log-likelihoods per character is over a threshold.
 
-URLs to learn from are rejected where a part of the host is one of ``SEEDS`` and accepted
-otherwise. Every row counts, in the models and in the calibration: URLs of one form (host and
-path, digits alike) are scored once and weigh as many as they are. The table of counts has at
-most FOLDS x 2 x SYMBOLS ** ORDER rows however many URLs there are. The threshold is calibrated
-on scores by models that didn't see the URL's fold of hosts.
+What the models learn from is weak evidence, page by page: a page is rejected if the rule that
+decides on it blocks it, and accepted if that allows it; of the others those are rejected that
+have a host part of ``SEEDS`` or a page full of symbols (see ``junk``). So the models carry the
+rules over to URLs like those they block, and the seeds to hosts like theirs. Every row counts,
+in the models and in the calibration: URLs of one form (host and path, digits alike) are scored
+once and weigh as many as they are. The table of counts has at most FOLDS x 2 x SYMBOLS ** ORDER
+rows however many URLs there are. The threshold is calibrated on scores by models that didn't
+see the URL's fold of hosts; ``held_out`` tells how well these agree with the evidence.
 
 Defined results: a null URL or one without "://" has an empty host and path, fits no rule and
-is allowed; without both accepted and rejected forms all that no rule blocks is allowed;
-repeated rows are judged each; an empty table gives an empty result; other columns are left
-alone. Whole URLs are scored.
+is allowed; without both accepted and rejected forms all that no rule blocks is allowed; a null
+page is no evidence; repeated rows are judged each; an empty table gives an empty result; other
+columns are left alone. Whole URLs are scored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 #: (verdict, host suffix, path prefix)
 RULES = (
     ("block", "com", "/en/"),
@@ -37,7 +43,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Host parts of pages that nobody wants, to learn rejected URLs from.
+#: Host parts of pages that nobody wants, one kind of evidence.
 SEEDS = ("ads", "adult", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
 ORDER, FOLDS, BINS = 4, 5, 4000
 #: Symbols: a to z, a digit, - . / and two for any other byte and for what is before a URL.
@@ -77,6 +83,24 @@ def deciding_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.filter(every, fits))
 
 
+def junk(html: Column) -> Column:
+    """Whether a page has a run of symbols for each 50 of its characters; null is no junk."""
+    runs = F.regexp_count(html, F.lit(r"[!*#$%]{2,}"))
+    return F.coalesce((runs > 0) & (runs * 50 >= F.length(html)), F.lit(False))
+
+
+def evidence(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
+    """pages: host, path, junk. Returns form, fold (of its host), rejected (0 or 1), pages."""
+    parts = F.split("host", "[.-]")
+    seeded = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in seeds]).cast("array<string>"))
+    ruled = deciding_rule(F.col("host"), F.col("path"), rules).verdict == "block"
+    rejected = F.coalesce(ruled, seeded | F.col("junk")).cast("long")
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS))
+    form = F.regexp_replace(F.concat("host", "path"), "[0-9]", "0")
+    forms = pages.filter("host <> ''").groupBy(form.alias("form"), rejected.alias("rejected"), fold.alias("fold"))
+    return forms.agg(F.count("*").alias("pages"))
+
+
 def symbols(texts: pa.Array, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index into the table of ORDER-grams of each character, first character of each
     text), for blocks of texts."""
@@ -138,46 +162,50 @@ def ratios(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0)
 
 
-def calibrate(scores: np.ndarray, rejected: np.ndarray, n: np.ndarray) -> float:
+def calibrate(scores: np.ndarray, rejected: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
     """The threshold of the least sum of both classes' error rates, in the middle of the
-    widest range that has it."""
+    widest range that has it; the shares of rejected and of accepted ones that are beyond it."""
     order = np.argsort(scores, kind="stable")
     x, bad, good = scores[order], (rejected * n)[order], ((1 - rejected) * n)[order]
-    error = np.r_[0, np.cumsum(bad)] / max(bad.sum(), 1) + (good.sum() - np.r_[0, np.cumsum(good)]) / max(good.sum(), 1)
+    caught = 1 - np.r_[0, np.cumsum(bad)] / max(bad.sum(), 1)
+    lost = 1 - np.r_[0, np.cumsum(good)] / max(good.sum(), 1)
+    error = 1 - caught + lost
     edges = np.r_[x[0] - 1, (x[1:] + x[:-1]) / 2, x[-1] + 1]
     gaps = np.r_[0, x[1:] - x[:-1], 0]
     error[1:-1][gaps[1:-1] <= 0] = np.inf
     least = np.flatnonzero(error <= error.min() + 1e-12)
-    return float(edges[least[np.argmax(gaps[least])]])
+    best = least[np.argmax(gaps[least])]
+    return float(edges[best]), float(caught[best]), float(lost[best])
 
 
-def fit(urls: DataFrame, seeds=SEEDS) -> tuple[np.ndarray, float]:
-    """urls: host, path. Returns the table of log-ratios and the threshold."""
-    parts = F.split("host", "[.-]")
-    rejected = F.arrays_overlap(parts, F.array(*[F.lit(s) for s in seeds])).cast("long")
-    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS))
-    form = F.regexp_replace(F.concat("host", "path"), "[0-9]", "0")
-    forms = urls.filter("host <> ''").groupBy(form.alias("form"), rejected.alias("rejected"), fold.alias("fold"))
-    forms = forms.agg(F.count("*").alias("pages"))
-    found = count_grams(forms).toPandas()  # FOLDS x 2 x SYMBOLS ** ORDER rows at most
-    shape = (SYMBOLS,) * ORDER
-    by = {}
-    for (f, bad), rows in found.groupby(["fold", "rejected"]):
-        counts = np.zeros(SYMBOLS**ORDER)
-        counts[rows["gram"].to_numpy()] = rows["n"].to_numpy()
-        by[f, bad] = counts
-    zero = np.zeros(SYMBOLS**ORDER)
+@dataclass(frozen=True)
+class Filter:
+    """ratios: log-probability ratio of each gram. held_out: the shares of rejected and of
+    accepted pages that models which never saw their hosts' fold would block."""
+
+    ratios: np.ndarray
+    threshold: float
+    held_out: tuple[float, float]
+
+
+def fit(forms: DataFrame) -> Filter:
+    """forms: of evidence()."""
+    found = count_grams(forms).toArrow()  # FOLDS x 2 x SYMBOLS ** ORDER rows at most
+    fold, bad, gram, n = (found[c].to_numpy() for c in ("fold", "rejected", "gram", "n"))
+    counts = np.zeros((FOLDS, 2, SYMBOLS**ORDER))
+    counts[fold, bad, gram] = n
 
     def table(without: int | None) -> np.ndarray:
-        both = [sum((c for (f, b), c in by.items() if b == bad and f != without), zero) for bad in (0, 1)]
+        both = [counts[[f for f in range(FOLDS) if f != without], c].sum(axis=0) for c in (0, 1)]
         if not both[0].any() or not both[1].any():
             return np.zeros(SYMBOLS**ORDER, np.float32)
+        shape = (SYMBOLS,) * ORDER
         return model(both[1].reshape(shape)) - model(both[0].reshape(shape))
 
     last = table(None)
     if not last.any():
-        return last, np.inf
-    held = urls.sparkSession.sparkContext.broadcast([table(f) for f in range(FOLDS)])
+        return Filter(last, np.inf, (0.0, 0.0))
+    held = forms.sparkSession.sparkContext.broadcast([table(f) for f in range(FOLDS)])
 
     @F.arrow_udf(T.LongType())
     def bins(forms: pa.Array, folds: pa.Array) -> pa.Array:
@@ -189,24 +217,29 @@ def fit(urls: DataFrame, seeds=SEEDS) -> tuple[np.ndarray, float]:
         return pa.array(np.clip(np.rint(out * BINS / 8), -BINS, BINS).astype(np.int64))
 
     scored = forms.withColumn("bin", bins("form", "fold")).groupBy("bin", "rejected").agg(F.sum("pages").alias("n"))
-    tally = scored.toPandas()  # 4 x BINS rows at most
-    at = calibrate(tally["bin"].to_numpy() * 8.0 / BINS, tally["rejected"].to_numpy(), tally["n"].to_numpy())
-    return last, at
+    tally = scored.toArrow()  # 4 x BINS rows at most
+    at, caught, lost = calibrate(tally["bin"].to_numpy() * 8.0 / BINS, tally["rejected"].to_numpy(), tally["n"].to_numpy())
+    return Filter(last, at, (caught, lost))
+
+
+def parts(pages: DataFrame) -> DataFrame:
+    """page_id, host, path and whether the page is junk."""
+    return pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), junk(F.col("html")).alias("junk"))
 
 
 def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict; ratio is what the models say."""
-    split = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    log_ratio, threshold = fit(split.select("host", "path"), seeds)
-    held = pages.sparkSession.sparkContext.broadcast(log_ratio)
+    forms = materialize(evidence(parts(pages), rules, seeds), "forms")
+    fitted = fit(forms)
+    held = pages.sparkSession.sparkContext.broadcast(fitted.ratios)
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(ratios(texts, held.value))
 
-    ruled = split.withColumn("__rule", deciding_rule(F.col("host"), F.col("path"), rules))
+    ruled = parts(pages).drop("junk").withColumn("__rule", deciding_rule(F.col("host"), F.col("path"), rules))
     scored = ruled.withColumn("ratio", score(F.concat("host", "path")))
-    own = F.when((F.col("ratio") > threshold) & (F.col("host") != ""), "block").otherwise("allow")
+    own = F.when((F.col("ratio") > fitted.threshold) & (F.col("host") != ""), "block").otherwise("allow")
     return scored.select(
         "page_id", "host", "path", F.col("__rule.rule").alias("rule"),
         F.coalesce("__rule.verdict", own).alias("verdict"), "ratio",

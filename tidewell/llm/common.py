@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: at most 1 / HOT_SHARE keys are ever broadcast.
 HOT_SHARE = 1e-3
 
+#: Rows of a table of keys that is broadcast after it was counted.
+FEW_KEYS = 1 << 20
+
 _made: list[str] = []
 
 
@@ -99,6 +102,12 @@ def drawn(key: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("drawn"), F.col(key)), F.lit(2**62)) < F.col("__limit")
 
 
+def join_keys(df: DataFrame, keys: DataFrame, key: str, how: str, most: int = FEW_KEYS) -> DataFrame:
+    """df joined with a stored table of distinct keys (how: inner, left_semi or left_anti). It is
+    counted, and broadcast if it has few rows, so that df isn't moved; else both are shuffled."""
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, key, how)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join on key, which is unique in right, whose column weight tells how many rows
     of left each key has, of total. Heavy keys are broadcast (1 / HOT_SHARE at most), the

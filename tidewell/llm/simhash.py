@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import nearcopies
-from .common import join_hot, materialize, wrapped
+from .common import join_hot, join_keys, materialize, wrapped
 from .text import pieces, rows
 
 SHINGLE, SEED = 3, 42
@@ -319,14 +319,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Groups are those of nearcopies: five-word shingles with a similarity of 0.8 or more."""
     row = F.monotonically_increasing_id()
     marked = wrapped(docs, "doc_id", "text").withColumn("__sketch", nearcopies.sketch("text")).withColumn("__row", row)
-    parts = [F.col(f"__sketch.{c}").alias(f"__{c}") for c in ("fp", "n", "bands")]
+    parts = [F.col(f"__sketch.{c}").alias(f"__{c}") for c in ("fp", "n", "least")]
     stored = materialize(marked.select("row", "doc_id", "__row", *parts), "documents")
-    one = materialize(stored.groupBy("__fp").agg(F.min("__row").alias("__row")).select("__row"), "one", True)
-    sketches = stored.select("__row", F.col("__fp").alias("fp"), F.col("__n").alias("n"), F.col("__bands").alias("bands"))
-    sketches = materialize(sketches.join(one, "__row", "left_semi").drop("__row"), "sketches")
-    texts = stored.select("__row", F.col("__fp").alias("fp"), F.col("row.text").alias("text")).join(one, "__row", "left_semi")
-    edges = nearcopies.links(sketches, texts, groups)
+    # one row for each set
+    first = F.min(F.struct("__row", F.col("__n").alias("n"), F.col("__least").alias("least"))).alias("one")
+    sets = stored.groupBy(F.col("__fp").alias("fp")).agg(first).select("fp", "one.n", "one.least", F.col("one.__row").alias("__row"))
+    edges = nearcopies.links(materialize(sets, "sets"), stored.select("__row", F.col("row.text").alias("text")), groups)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     grouped = components(stored.select("__fp", "__row", key.alias("__key")), edges=edges)
-    kept = grouped.filter(F.col("__row") == F.col("__group.row")).select("__row")
-    return stored.join(kept, "__row", "left_semi").select("row.*")
+    dropped = materialize(grouped.filter(F.col("__row") != F.col("__group.row")).select("__row"), "dropped", True)
+    return join_keys(stored, dropped, "__row", "left_anti").select("row.*")

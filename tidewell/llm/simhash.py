@@ -319,11 +319,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Groups are those of nearcopies: five-word shingles with a similarity of 0.8 or more."""
     row = F.monotonically_increasing_id()
     marked = wrapped(docs, "doc_id", "text").withColumn("__sketch", nearcopies.sketch("text")).withColumn("__row", row)
-    parts = [F.col(f"__sketch.{c}").alias(f"__{c}") for c in ("fp", "n", "least")]
+    parts = [F.col(f"__sketch.{c}").alias(f"__{c}") for c in ("fp", "n", "least", "bands")]
     stored = materialize(marked.select("row", "doc_id", "__row", *parts), "documents")
     # one row for each set
-    first = F.min(F.struct("__row", F.col("__n").alias("n"), F.col("__least").alias("least"))).alias("one")
-    sets = stored.groupBy(F.col("__fp").alias("fp")).agg(first).select("fp", "one.n", "one.least", F.col("one.__row").alias("__row"))
+    one = materialize(stored.groupBy("__fp").agg(F.min("__row").alias("__row")).select("__row"), "one", True)
+    sets = join_keys(stored, one, "__row", "left_semi").select(F.col("__fp").alias("fp"), F.col("__n").alias("n"), F.col("__least").alias("least"), F.col("__bands").alias("bands"), "__row")
     edges = nearcopies.links(materialize(sets, "sets"), stored.select("__row", F.col("row.text").alias("text")), groups)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     grouped = components(stored.select("__fp", "__row", key.alias("__key")), edges=edges)

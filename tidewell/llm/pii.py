@@ -240,7 +240,7 @@ def _address(value: int, tweak: str, key: bytes) -> int:
             return value
 
 
-@lru_cache(100_000)
+@lru_cache(1 << 14)
 def surrogate(kind: str, canonical: str, variant: int, key: bytes) -> str:
     """The canonical form that stands for this one."""
     tweak = f"{kind}/{variant}"

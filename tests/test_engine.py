@@ -93,7 +93,7 @@ def test_unused_relationships_are_not_joined(spark):
 def test_watermark_positions(spark):
     df = spark.createDataFrame([(1, 10), (2, 20), (3, 20), (4, 30), (5, None)], "id int, v int")
     first = readers.watermark(df, Mapping(), "v", None, 2)
-    assert [r[0] for r in rows(first.rows, "id")] == [1, 2, 3] and first.position == 20
+    assert [r[0] for r in rows(first.rows, "id")] == [1, 2, 3, 5] and first.position == 20
     then = readers.watermark(df, Mapping(), "v", first.position, 2)
     assert [r[0] for r in rows(then.rows, "id")] == [4] and then.position == 30
     last = readers.watermark(df, Mapping(), "v", 30, 2)
@@ -123,10 +123,16 @@ def test_poll_gate():
 
 
 def test_expired_position(spark):
-    log = spark.createDataFrame([(10,), (11,)], "seq long")
-    changelog.check_retained(log, "seq", 9)
-    with pytest.raises(PositionExpired):
-        changelog.check_retained(log, "seq", 8)
+    log = spark.createDataFrame([(10, 1, "U"), (14, 2, "D")], "seq long, k long, op string")
+    for read in (
+        lambda at: changelog.captured_net(log, ["k"], [], "seq", "op", at, reaches=9),
+        lambda at: changelog.net_changes(log, log.select("k"), ["k"], "seq", "op", at, reaches=9),
+        lambda at: changelog.versions(log, ["k"], "seq", "op", at, None, reaches=9),
+        lambda at: changelog.all_changes(log, ["k"], "seq", "seq", F.col("op"), "seq", at, reaches=9),
+    ):
+        assert read(9).rows.count() == 2 and read(None).rows.count() == 2
+        with pytest.raises(PositionExpired):
+            read(8)
 
 
 def test_before_images_are_refused(spark):

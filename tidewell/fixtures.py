@@ -97,7 +97,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "Failed").otherwise("Succeeded").alias("status"),
         F.col("ts").alias("enqueued_at"), F.col("ts").alias("started_at"),
         F.when(F.col("event_id") % 97 != 0, end).alias("ended_at"),
-        F.col("ms").alias("rows_read"), F.expr("event_id div 50").alias("batch_id"),
+        F.col("ms").alias("rows_read"), F.expr("ms div 2").alias("rows_written"), F.expr("event_id div 50").alias("batch_id"),
     )
 
 
@@ -107,7 +107,8 @@ RUNS = """(
          ts AS enqueued_at, ts AS started_at,
          CASE WHEN event_id % 97 <> 0
               THEN ts + to_milliseconds(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT)) END AS ended_at,
-         CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS rows_read, event_id // 50 AS batch_id
+         CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS rows_read,
+         CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) // 2 AS rows_written, event_id // 50 AS batch_id
   FROM events)"""
 
 
@@ -116,13 +117,13 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("event_type") == "error", "Running").when(F.col("event_type") == "click", "Done").otherwise("Pending")
     return load(spark, sf_dir, "events").select(
         F.col("event_id").alias("item_id"), F.lit("main").alias("task"), F.lit("sync").alias("kind"),
-        (F.col("user_id") * 1000 + F.col("event_id") % 1000).alias("mapping"), state.alias("state"),
+        F.col("user_id").alias("mapping"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("s"), F.col("event_id") % 2)).alias("segment"), state.alias("state"),
         (F.col("event_id") % 3).alias("priority"), F.col("ts").alias("enqueued_at"), F.col("ts").alias("available_at"),
     )
 
 
 QUEUE = """(
-  SELECT event_id AS item_id, 'main' AS task, 'sync' AS kind, user_id * 1000 + event_id % 1000 AS mapping,
+  SELECT event_id AS item_id, 'main' AS task, 'sync' AS kind, user_id AS mapping, CASE WHEN event_id % 4 <> 0 THEN 's' || (event_id % 2) END AS segment,
          CASE event_type WHEN 'error' THEN 'Running' WHEN 'click' THEN 'Done' ELSE 'Pending' END AS state,
          event_id % 3 AS priority, ts AS enqueued_at, ts AS available_at
   FROM events)"""

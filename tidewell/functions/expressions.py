@@ -46,12 +46,3 @@ def ordering(*parts: Column, width: int = 20) -> Column:
     """Numbers as one text of fixed width per number, whose order is theirs."""
     return F.concat(*[F.lpad(F.hex(p), width, "0") for p in parts])
 
-
-def collided(df: DataFrame) -> list[str]:
-    """Names that occur more than once, without regard to case."""
-    seen, found = set(), []
-    for name in df.columns:
-        if name.lower() in seen:
-            found.append(name)
-        seen.add(name.lower())
-    return found

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,32 @@ def generated(mapping: Mapping, build: Callable[[ColumnMapping], str | None]) ->
     return replace(mapping, columns=tuple(columns))
 
 
+#: Where hooks of a pass run: around the staging of its rows and around their loading.
+POINTS = ("before_stage", "after_stage", "before_load", "after_load")
+
+
+@dataclass(frozen=True)
+class Hook:
+    """A step of the user's at a point of a pass; on_error is fail, or warn to go on."""
+
+    run: Callable[[], Any]
+    on_error: str = "fail"
+
+
+def run_hooks(hooks: dict[str, list[Hook]], point: str) -> None:
+    """Runs a point's hooks in their order."""
+    unknown = set(hooks) - set(POINTS)
+    if unknown:
+        raise ValueError(f"unknown hook points: {sorted(unknown)}")
+    for hook in hooks.get(point, []):
+        try:
+            hook.run()
+        except Exception as error:
+            if hook.on_error != "warn":
+                raise
+            warnings.warn(f"hook at {point} failed: {error}", stacklevel=2)
+
+
 def render_hook(text: str, tables: dict[str, str]) -> str:
     """{{target}}, {{staging}}, {{source}} and the like as names; an unknown one is an error."""
 
@@ -63,7 +91,5 @@ def run_hook(spark: SparkSession, text: str, tables: dict[str, str], arguments:
     except Exception as error:
         if on_error != "warn":
             raise
-        import warnings
-
         warnings.warn(f"hook failed: {error}", stacklevel=2)
         return None

@@ -6,12 +6,28 @@ A run has run_id, task, mapping, status, enqueued_at, started_at, ended_at, rows
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SUCCEEDED, FAILED = "Succeeded", "Failed"
+#: What a run read and wrote; runs that don't tell have no such totals.
+ROWS = ("rows_read", "rows_written")
+#: An item in flight keeps others of its key out of the queue.
+QUEUE_KEY = ("task", "kind", "mapping", "segment")
+#: Ranges that a column of numbers is cut into where an order over all of them is needed.
+BLOCKS = 4096
+
+
+def block_of(df: DataFrame, column: str) -> Callable[[str], Column]:
+    """The number of the range that a value lies in, of BLOCKS equal ones over what the column
+    holds; values beyond are in the first or the last. One aggregation."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    low, high = (0, 0) if low is None else (low, high)
+    width = max((high - low) / BLOCKS, 1)
+    return lambda c: F.least(F.greatest(F.floor((F.col(c) - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(BLOCKS)).cast("long")
 
 
 def milliseconds(start: Column, end: Column) -> Column:
@@ -25,15 +41,28 @@ def totals(runs: DataFrame, *by: str) -> DataFrame:
         F.count("*").alias("runs"),
         F.count_if(F.col("status") == SUCCEEDED).alias("succeeded"),
         F.count_if(F.col("status") == FAILED).alias("failed"),
-        F.coalesce(F.sum("rows_read"), F.lit(0)).cast("long").alias("rows_read"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ROWS if c in runs.columns],
     )
 
 
 def percentiles(runs: DataFrame, value: str, *by: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Nearest-rank percentiles and the maximum: the value of rank ceil(p * n). Values are
-    counted first, so that the shuffle carries distinct values and not rows."""
-    each = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast("double").alias(f"p{round(p * 100)}") for p in shares]
-    return runs.groupBy(*by).agg(*each, F.max(value).cast("double").alias("max"))
+    """Nearest-rank percentiles and the maximum of a number: the value of rank ceil(p * n). Values
+    are counted, then ranges of values; a running count over a group's ranges, BLOCKS at most,
+    tells the range that a rank lies in, and only that range's values are put in order."""
+    block = block_of(runs, value)
+    counts = runs.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("block", block("v"))
+    ranges = counts.groupBy(*by, "block").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by)
+    ranges = ranges.select(*by, "block", (F.sum("n").over(group.orderBy("block")) - F.col("n")).alias("before"), F.col("n").alias("here"), F.sum("n").over(group).alias("all"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("share"), F.greatest(F.ceil(F.col("all") * p), F.lit(1)).alias("rank")) for p in shares]))
+    ranges = ranges.select("*", wanted.alias("w")).filter("w.rank > before AND w.rank <= before + here")
+    met = counts.join(ranges.drop("here", "all"), [*by, "block"])
+    order = Window.partitionBy(*by, "w.share").orderBy("v")
+    reached = met.withColumn("upto", F.col("before") + F.sum("n").over(order)).filter("upto >= w.rank")
+    found = reached.groupBy(*by).agg(*[F.min(F.when(F.col("w.share") == p, F.col("v"))).cast("double").alias(f"p{round(p * 100)}") for p in shares])
+    most = runs.groupBy(*by).agg(F.max(value).cast("double").alias("max"))
+    return most.join(found, list(by), "left") if by else most.crossJoin(found)  # one row each
 
 
 def histogram(runs: DataFrame, at: str, start: dt.datetime, end: dt.datetime, buckets: int) -> DataFrame:
@@ -43,11 +72,12 @@ def histogram(runs: DataFrame, at: str, start: dt.datetime, end: dt.datetime, bu
     low, high = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
     micros = F.timestamp_diff("MICROSECOND", low, F.col(at))
     number = F.least(F.greatest(F.floor(micros / width), F.lit(0)), F.lit(n - 1)).cast("int")
+    written = [c for c in ROWS[1:] if c in runs.columns]
     inside = runs.filter((F.col(at) >= low) & (F.col(at) < high))
-    counted = inside.groupBy(number.alias("bucket")).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == FAILED).alias("failed"))
+    counted = inside.groupBy(number.alias("bucket")).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == FAILED).alias("failed"), *[F.sum(c).cast("long").alias(c) for c in written])
     every = runs.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return every.join(counted, "bucket", "left").select("bucket", zero("runs"), zero("failed"))
+    return every.join(counted, "bucket", "left").select("bucket", zero("runs"), zero("failed"), *map(zero, written))
 
 
 def last_completed(runs: DataFrame, *by: str) -> DataFrame:
@@ -113,32 +143,46 @@ def feed(rows: DataFrame, key: str, since: int) -> DataFrame:
 def unread(notes: DataFrame, cursors: DataFrame) -> DataFrame:
     """For each user's cursor (user, seen), how many notes (id) are beyond it. Cursors with one
     value are answered together; a value's answer is what follows it in the order of ids:
-    within its block of ids, and in all later blocks."""
-    block = F.floor(F.col("id") / 100_000).alias("block")
+    within its block of ids, and in all later blocks, of which there are BLOCKS at most."""
+    block = block_of(notes, "id")
     marks = notes.select("id", F.lit(1).alias("note")).unionByName(
         cursors.select(F.col("seen").alias("id"), F.lit(0).alias("note")).distinct()
-    ).withColumn("block", block)
-    after = Window.partitionBy("block").orderBy("id").rangeBetween(1, Window.unboundedFollowing)
+    ).withColumn("block", block("id"))
+    after = Window.partitionBy("block").orderBy(F.desc("id")).rangeBetween(Window.unboundedPreceding, -1)
     here = marks.withColumn("here", F.coalesce(F.sum("note").over(after), F.lit(0))).filter("note = 0")
     blocks = marks.groupBy("block").agg(F.sum("note").alias("n"))
-    later = F.sum("n").over(Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing))
+    later = F.sum("n").over(Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("block", F.coalesce(later, F.lit(0)).alias("later"))
     answers = here.join(blocks, "block").select(F.col("id").alias("seen"), (F.col("here") + F.col("later")).alias("unread"))
     return cursors.join(answers, "seen").select("user", "seen", "unread")
 
 
 def claim(queue: DataFrame, now: dt.datetime) -> DataFrame:
-    """The next item to run: pending, available, and no other of its task, kind and mapping
-    is claimed or running; by priority, then age, then id."""
-    busy = queue.filter(F.col("state").isin("Claimed", "Running")).select("task", "kind", "mapping").distinct()
+    """The next item to run: pending, available, and no other of its task, kind, mapping and
+    segment is claimed or running; by priority, then age, then id."""
+    busy = queue.filter(F.col("state").isin("Claimed", "Running")).select(*_key(queue)).distinct()
     free = queue.filter((F.col("state") == "Pending") & (F.col("available_at") <= F.lit(now).cast("timestamp_ntz")))
-    return free.join(busy, ["task", "kind", "mapping"], "left_anti").orderBy(F.desc("priority"), "enqueued_at", "item_id").limit(1)
+    return _without(free, busy).orderBy(F.desc("priority"), "enqueued_at", "item_id").limit(1)
 
 
 def put(queue: DataFrame, items: DataFrame) -> DataFrame:
-    """The queue with items added, but those whose (task, kind, mapping) is in flight."""
-    flying = queue.filter(F.col("state").isin("Pending", "Claimed", "Running")).select("task", "kind", "mapping")
-    return queue.unionByName(items.join(flying, ["task", "kind", "mapping"], "left_anti"))
+    """The queue with items added, but those whose (task, kind, mapping, segment) is in flight.
+    Of several new items of one key the first by id goes in."""
+    flying = queue.filter(F.col("state").isin("Pending", "Claimed", "Running")).select(*_key(queue)).distinct()
+    first = F.min_by(F.struct(*[F.col(c) for c in items.columns]), "item_id").alias("first")
+    once = items.groupBy(*_key(items)).agg(first).select("first.*")
+    return queue.unionByName(_without(once, flying))
+
+
+def _key(rows: DataFrame) -> list[Column]:
+    """The key of items as columns __0 and on; no segment is a value, too."""
+    some = [c for c in QUEUE_KEY if c in rows.columns]
+    return [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c == "segment" else F.col(c)).alias(f"__{i}") for i, c in enumerate(some)]
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    named = rows.select("*", *_key(rows))
+    return named.join(keys, keys.columns, "left_anti").select(*rows.columns)
 
 
 def exact_lag(positions: DataFrame) -> DataFrame:
@@ -146,24 +190,24 @@ def exact_lag(positions: DataFrame) -> DataFrame:
     return positions.withColumn("lag_ms", milliseconds(F.col("applied_at"), F.col("source_at")))
 
 
-def first_crossing(checks: DataFrame, positions: DataFrame, width: int = 1000) -> DataFrame:
+def first_crossing(checks: DataFrame, positions: DataFrame) -> DataFrame:
     """For each target value of positions (id, target): the earliest check (value, at) that
     reached it, null where the oldest check had reached it already or none did. Checks grow
     with time, so the first one is that of the least value at or beyond the target. Values
-    are put in blocks of some width: the block's own answer is found in the block, or else it
-    is the first check of a later block. Two shuffles, no range join."""
+    are put in BLOCKS ranges: the range's own answer is found in it, or else it is the first
+    check of a later one. Two shuffles, no range join."""
     lowest = checks.agg(F.min_by("value", "at").alias("v")).first()["v"]
-    block = lambda c: F.floor(F.col(c) / width)
+    block = block_of(checks, "value")
     marks = checks.select(block("value").alias("b"), "value", F.col("at"), F.lit(None).cast("long").alias("id")).unionByName(
         positions.select(block("target").alias("b"), F.col("target").alias("value"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("id").cast("long").alias("id"))
     )
     # within a block: the next check at or after the target
-    order = Window.partitionBy("b").orderBy("value").rangeBetween(0, Window.unboundedFollowing)
+    order = Window.partitionBy("b").orderBy(F.desc("value")).rangeBetween(Window.unboundedPreceding, 0)
     here = marks.withColumn("crossed", F.min("at").over(order)).filter("id IS NOT NULL")
     heads = checks.groupBy(block("value").alias("b")).agg(F.min("at").alias("head"))
     wanted = here.select("b").distinct().withColumn("head", F.lit(None).cast("timestamp_ntz"))
     both = heads.unionByName(wanted).groupBy("b").agg(F.max("head").alias("head"))
-    later = both.withColumn("next", F.min("head").over(Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)))
+    later = both.withColumn("next", F.min("head").over(Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)))
     found = here.join(later.select("b", "next"), "b").withColumn("at", F.coalesce("crossed", "next"))
     known = F.col("value") > F.lit(lowest) if lowest is not None else F.lit(False)
     return found.select("id", F.col("value").alias("target"), F.when(known, F.col("at")).alias("crossed_at"))

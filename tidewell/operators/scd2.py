@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import differs, quoted, same_keys
 from ..model import CHANGED_AT, DELETE, IS_CURRENT, OPERATION, ORDERING, VALID_FROM, VALID_TO, VERSION_KEY
-from .writers import Guard, has_ordering, in_scope
+from .writers import Guard, has_ordering, in_scope, unique
 
 
 def key_text(keys: list[str]) -> Column:
@@ -35,9 +35,10 @@ def _moment(staged: DataFrame, now: Any, alias: str = "s") -> Column:
 
 
 def close_and_open(target: DataFrame, staged: DataFrame, keys: list[str], values: list[str], now: Any) -> DataFrame:
-    """With one staged row for each key: open versions close where the row is a delete or any
-    value differs, and a version opens for a live row whose key then has no open one. What is
-    unchanged writes nothing."""
+    """With one staged row for each key (two are an error): open versions close where the row is
+    a delete or any value differs, and a version opens for a live row whose key then has no open
+    one. What is unchanged writes nothing."""
+    staged = unique(staged, keys)
     met = target.alias("t").join(staged.alias("s"), same_keys("t", "s", keys), "left")
     hit = F.col(f"s.{OPERATION}").isNotNull() & F.col(f"t.{IS_CURRENT}")
     closing = hit & ((F.col(f"s.{OPERATION}") == DELETE) | differs("t", "s", values))

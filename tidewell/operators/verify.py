@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.expressions import differs, quoted, same_keys
 from ..functions.project import expression, join_relationships, used_relationships
 from ..model import ColumnMapping, Mapping
+from .metrics import block_of
 from .scd2 import current_only
 
 MATCH, DIFFERS, ONLY_SOURCE, ONLY_TARGET = "Match", "Differs", "MissingFromTarget", "MissingFromSource"
@@ -123,13 +124,12 @@ def row_difference(source: DataFrame, target: DataFrame, keys: list[str]) -> Dat
     return met.select(*[F.coalesce(F.col(f"s.{quoted(k)}"), F.col(f"t.{quoted(k)}")).alias(k) for k in keys], kind.alias("kind"))
 
 
-def gaps(df: DataFrame, column: str, width: int = 1_000_000) -> DataFrame:
+def gaps(df: DataFrame, column: str) -> DataFrame:
     """Where whole numbers are missing: the last before a gap and the first after it. Windows
-    run over ranges of ids of some width, and one more over the ranges' ends, so that no
-    task has to sort all ids."""
+    run over ranges of ids, and one more over the ranges' ends, of which there is a bounded
+    number, so that no task has to sort all ids."""
     ids = df.select(F.col(column).alias("id")).filter("id IS NOT NULL").distinct()
-    block = F.floor(F.col("id") / width)
-    inner = ids.withColumn("block", block).withColumn("next", F.lead("id").over(Window.partitionBy("block").orderBy("id")))
+    inner = ids.withColumn("block", block_of(ids, "id")("id")).withColumn("next", F.lead("id").over(Window.partitionBy("block").orderBy("id")))
     ends = inner.groupBy("block").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     across = ends.select(F.col("last").alias("id"), F.lead("first").over(Window.orderBy("block")).alias("next"))
     both = inner.filter("next IS NOT NULL").select("id", "next").unionByName(across.filter("next IS NOT NULL"))

@@ -1,7 +1,7 @@
 """Writers: each takes the target's state and staged changes and gives the target's new state.
 
 Parquet tables know no MERGE, so a writer is a function of two tables, whose result is published
-as the table's next version (see streaming.store). Staged rows carry __operation; the same
+as the table's next version (see plans.store). Staged rows carry __operation; the same
 plan serves a batch and each micro-batch of a stream. Keys match by plain equality (a null key
 never does), values compare null-safely, and a scope that is null for a row doesn't hold it.
 """
@@ -9,6 +9,7 @@ never does), values compare null-safely, and a scope that is null for a row does
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -43,12 +44,22 @@ def one_per_key(staged: DataFrame, keys: list[str]) -> DataFrame:
     return staged
 
 
+def unique(staged: DataFrame, keys: list[str]) -> DataFrame:
+    """staged, in whose plan a key with two rows is an error. A count by the key, whose shuffle
+    and order the join by key that follows reuses; rows with a null key meet nothing and pass."""
+    some_null = reduce(lambda a, b: a | b, [F.col(quoted(k)).isNull() for k in keys])
+    said = F.concat(F.lit("several staged rows of one key: "), F.to_json(F.struct(*[F.col(quoted(k)) for k in keys])))
+    rows = F.count("*").over(Window.partitionBy(*[F.col(quoted(k)) for k in keys]))
+    passes = F.when((F.col("__rows") == 1) | some_null, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
+    return staged.withColumn("__rows", rows).filter(passes).drop("__rows")
+
+
 def upsert(target: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
     """Deletes, updates and inserts by key; rows that nothing is staged for stay. Columns of
-    the target that aren't staged keep their values, and are null in new rows. One full outer
-    join, which shuffles each side once by the key."""
+    the target that aren't staged keep their values, and are null in new rows. Two staged rows
+    of a key are an error. One full outer join, which shuffles each side once by the key."""
     given = [c for c in staged.columns if c not in MARKS]
-    met = target.alias("t").join(staged.alias("s"), same_keys("t", "s", keys), "full")
+    met = target.alias("t").join(unique(staged, keys).alias("s"), same_keys("t", "s", keys), "full")
     staged_here = F.col(f"s.{OPERATION}").isNotNull()
     kept = met.filter(~staged_here | (F.col(f"s.{OPERATION}") != DELETE))
     columns = [
@@ -65,13 +76,15 @@ def in_scope(scope: Column | None) -> Column:
 def merge_reconcile(target: DataFrame, staged: DataFrame, keys: list[str], scope: Column | None = None) -> DataFrame:
     """Like upsert within a scope of the target, whose rows that aren't staged go. Rows out
     of scope are neither matched nor touched, so a staged key among them would be there twice:
-    that is an error when the table is read."""
+    that is an error when the table is read, as are two staged rows of a key."""
     outside = target.filter(~in_scope(scope))
     given = [c for c in staged.columns if c not in MARKS]
-    live = staged.filter(F.col(OPERATION) != DELETE)
+    live = unique(staged.filter(F.col(OPERATION) != DELETE), keys)
     own = [c for c in target.columns if c not in given]
-    inside = target.filter(in_scope(scope)).select(*keys, *own)
-    met = live.alias("s").join(inside.alias("t"), same_keys("s", "t", keys), "left")
+    every = target.select(*keys, *own, in_scope(scope).alias("__inside"))
+    met = live.alias("s").join(every.alias("t"), same_keys("s", "t", keys), "left")
+    said = F.concat(F.lit("a staged key exists out of scope: "), F.to_json(F.struct(*[F.col(f"s.{quoted(k)}").alias(k) for k in keys])))
+    met = met.filter(F.when(F.coalesce(F.col("t.__inside"), F.lit(True)), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
     new = met.select(*[F.col(f"{'t' if c in own else 's'}.{quoted(c)}").alias(c) for c in target.columns])
     return outside.unionByName(new)
 
@@ -141,8 +154,3 @@ def written(staged: DataFrame) -> DataFrame:
 
 def with_operation(rows: DataFrame, operation: str = INSERT) -> DataFrame:
     return rows.withColumn(OPERATION, F.lit(operation))
-
-
-def numbered(staged: DataFrame, keys: list[str], by: str = ORDERING) -> DataFrame:
-    """Changes of each key numbered in their order."""
-    return staged.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))

@@ -9,12 +9,15 @@ append are told by the pass number in the published version that they ran alread
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
+from ..functions.transforms import Hook, run_hooks
 from ..model import Hold, Intent, PositionExpired, Read, Segment
+from ..operators.writers import in_scope
 from ..sources.readers import unchanged
 from .store import Positions, ReadState, VersionedTable
 
@@ -25,7 +28,10 @@ Writer = Callable[[DataFrame, DataFrame], DataFrame]
 @dataclass(frozen=True)
 class Job:
     """key: (task, mapping, source). capture gives the position a pass would reach now, for
-    sources that can tell; acknowledge lets the source forget what is applied."""
+    sources that can tell; acknowledge lets the source forget what is applied. hooks: what runs
+    at each point (see functions.transforms.POINTS). staging: a folder for the staged rows of a
+    pass, which are then written once, however often the writer and its checks read them, and
+    can't change between the reads; without it they are read from the source each time."""
 
     key: tuple[str, str, str]
     read: Reader
@@ -35,8 +41,17 @@ class Job:
     transform: Callable[[DataFrame], DataFrame] = staticmethod(lambda rows: rows)
     capture: Callable[[], Any] | None = None
     acknowledge: Callable[[Any], None] | None = None
-    before: Callable[[], None] | None = None
-    after: Callable[[], None] | None = None
+    hooks: dict[str, list[Hook]] = field(default_factory=dict)
+    staging: str | None = None
+
+
+def staged(job: Job, rows: DataFrame, number: int) -> DataFrame:
+    """The rows of a pass, written once where the job has a place for them."""
+    if job.staging is None:
+        return rows
+    path = f"{job.staging.rstrip('/')}/{'-'.join(job.key)}/{number:012d}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def run_pass(job: Job) -> ReadState:
@@ -47,8 +62,7 @@ def run_pass(job: Job) -> ReadState:
         return state
     if job.capture and state.intent is Intent.CHANGES and unchanged(state.position, job.capture()):
         return state
-    if job.before:
-        job.before()
+    run_hooks(job.hooks, "before_stage")
     try:
         found = job.read(state.position, state.intent)
     except PositionExpired:
@@ -60,14 +74,16 @@ def run_pass(job: Job) -> ReadState:
     done = current.facts.get("pass", {}).get("/".join(job.key), 0) if current else 0
     if done < number:
         passes = (current.facts.get("pass", {}) if current else {}) | {"/".join(job.key): number}
-        new = job.apply(job.target.read(), job.transform(found.rows))
+        rows = staged(job, job.transform(found.rows), number)
+        run_hooks(job.hooks, "after_stage")
+        run_hooks(job.hooks, "before_load")
+        new = job.apply(job.target.read(), rows)
         job.target.publish(new, current.number if current else None, **{"pass": passes})
+        run_hooks(job.hooks, "after_load")
     after = ReadState(Intent.CHANGES, Hold.NONE, found.position, None, number)
     job.positions.put(job.key, after)
     if job.acknowledge:
         job.acknowledge(found.position)
-    if job.after:
-        job.after()
     return after
 
 
@@ -84,18 +100,24 @@ def run_until_idle(job: Job, most: int = 1000) -> list[ReadState]:
     raise RuntimeError(f"not idle after {most} passes")
 
 
-def bulk_load(job: Job, segments: list[Segment], load: Callable[[Segment], DataFrame], write: Callable[[DataFrame, DataFrame, Segment], DataFrame]) -> ReadState:
+def bulk_load(job: Job, segments: list[Segment], load: Callable[[Segment], DataFrame], scope: Callable[[Segment], Column | None]) -> ReadState:
     """Loads a table segment by segment and hands over to incremental passes: the position is
     captured before the first read, kept as pending while the mapping is held, and becomes the
-    live one when every segment is in. Segments become one plan with one write, so that all of
-    them run as tasks of the same job; none is visible before all are."""
+    live one when every segment is in. scope gives a segment's condition on the target, None for
+    all of it; what lies in none of them stays. One filter, one union and one write, so that all
+    segments run as tasks of the same job; none is visible before all are."""
     pending = job.capture() if job.capture else None
     state = job.positions.get(job.key)
     job.positions.put(job.key, replace(state, hold=Hold.LOADING, pending=pending))
     current = job.target.current()
+    scopes = [scope(s) for s in segments]
     table = job.target.read()
+    if None in [s if s is None else 0 for s in scopes]:
+        table = table.limit(0)
+    elif scopes:
+        table = table.filter(~reduce(lambda a, b: a | b, [in_scope(s) for s in scopes]))
     for segment in segments:
-        table = write(table, load(segment), segment)
+        table = table.unionByName(load(segment).select(*[c for c in table.columns]))
     job.target.publish(table, current.number if current else None, **(current.facts if current else {}))
     loaded = ReadState(Intent.CHANGES, Hold.NONE, pending, None, state.pass_id)
     job.positions.put(job.key, loaded)

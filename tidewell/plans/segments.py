@@ -105,11 +105,3 @@ def labelled(segments: list[Segment]) -> dict[str, Segment]:
     """Segments by their description, which is what tells them apart."""
     return {s.describe(): s for s in segments}
 
-
-def bucket_of(column: Column, ranges: list[tuple[Any, Any]]) -> Column:
-    """The number of the range that holds a value, from 0."""
-    found = None
-    for i, (a, b) in enumerate(ranges):
-        test = (column >= F.lit(a)) & (column < F.lit(b))
-        found = F.when(test, F.lit(i)) if found is None else found.when(test, F.lit(i))
-    return found

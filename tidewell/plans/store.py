@@ -1,13 +1,17 @@
 """Versioned tables and stored positions: the only state of the engine.
 
-A table is a folder of complete versions. A version is published by creating a marker file that
-must not exist yet, so readers see a version whole or not at all, and of two writers of the
-same version one fails. Nothing is overwritten in place; old versions serve running readers.
+A table is a folder of complete versions. Each attempt writes its rows to a folder of its own and
+is published by a marker file that names it. A marker is written aside and renamed to a name that
+must not exist yet, so readers see a version whole or not at all, and of two writers of the same
+version one fails and leaves no trace in it. Nothing is overwritten in place; old versions serve
+running readers. The rename must be atomic and refuse an existing name, as on HDFS; local file
+systems check first and then rename; object stores without it need a single writer.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 from typing import Any
 
@@ -31,10 +35,20 @@ class Folder:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
     def create(self, name: str, text: str) -> None:
-        """Writes a new file; fails if it is there."""
-        out = self._fs.create(self._path(f"{self.path}/{name}"), False)
+        """Makes a new file, whole or not at all; fails if it is there."""
+        jvm, aside = self.spark.sparkContext._jvm, self._path(f"{self.path}/_aside/{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
         out.write(bytearray(text.encode()))
         out.close()
+        at = self._fs.makeQualified(self._path(f"{self.path}/{name}"))
+        self._fs.mkdirs(at.getParent())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(self._fs.makeQualified(aside), at, none)
+        except Exception:
+            self._fs.delete(aside, False)
+            raise
 
     def read(self, name: str) -> str:
         at = self._path(f"{self.path}/{name}")
@@ -50,8 +64,11 @@ class Folder:
 
 @dataclass(frozen=True)
 class Version:
+    """facts: what a publisher tells with it. files: the folders that hold its rows."""
+
     number: int
     facts: dict[str, Any]
+    files: tuple[str, ...] = ()
 
 
 class VersionedTable:
@@ -63,39 +80,58 @@ class VersionedTable:
 
     def current(self) -> Version | None:
         found = self.versions()
-        if not found:
-            return None
-        return Version(found[-1], json.loads(self.folder.read(f"_published/{found[-1]:012d}")))
+        return self.version(found[-1]) if found else None
+
+    def version(self, number: int) -> Version:
+        raw = json.loads(self.folder.read(f"_published/{number:012d}"))
+        return Version(number, raw["facts"], tuple(raw["files"]))
 
     def read(self, number: int | None = None) -> DataFrame:
         """A version, pinned: what is published later doesn't change it."""
-        if number is None:
-            version = self.current()
-            if version is None:
-                raise FileNotFoundError(f"{self.folder.path} has no version")
-            number = version.number
-        return self.spark.read.parquet(f"{self.folder.path}/v{number:012d}")
+        version = self.current() if number is None else self.version(number)
+        if version is None:
+            raise FileNotFoundError(f"{self.folder.path} has no version")
+        return self.spark.read.parquet(*[f"{self.folder.path}/{f}" for f in version.files])
 
     def publish(self, state: DataFrame, expected: int | None = None, partition_by: tuple[str, ...] = (), **facts: Any) -> Version:
         """Writes a state as the next version and then makes it the current one. expected: the
         version that the state was made from; if another came meanwhile, this is an error."""
+        return self._publish(state, (), expected, partition_by, facts)
+
+    def append(self, rows: DataFrame, expected: int | None = None, **facts: Any) -> Version:
+        """A version that adds rows to the current one, whose files it keeps: what a snapshot
+        appends, without rewriting the history."""
+        now = self.current()
+        return self._publish(rows, now.files if now else (), expected, (), facts)
+
+    def _publish(self, rows: DataFrame, kept: tuple[str, ...], expected: int | None, partition_by: tuple[str, ...], facts: dict[str, Any]) -> Version:
         now = self.current()
         last = now.number if now else 0
         if expected is not None and expected != last:
             raise RuntimeError(f"{self.folder.path} is at version {last}, not {expected}")
-        number = last + 1
-        writer = state.write.mode("overwrite")  # what an earlier, unpublished attempt left
-        writer = writer.partitionBy(*partition_by) if partition_by else writer
-        writer.parquet(f"{self.folder.path}/v{number:012d}")
-        self.folder.create(f"_published/{number:012d}", json.dumps(facts))
-        return Version(number, facts)
+        if kept and kept != (now.files if now else ()):
+            raise RuntimeError(f"{self.folder.path} moved on while rows were appended")
+        number, name = last + 1, f"data-{uuid.uuid4().hex}"
+        writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
+        writer.parquet(f"{self.folder.path}/{name}")
+        files = (*kept, name)
+        try:
+            self.folder.create(f"_published/{number:012d}", json.dumps({"facts": facts, "files": files}))
+        except Exception as error:
+            self.folder.delete(name)
+            raise RuntimeError(f"{self.folder.path} got a version {number} meanwhile") from error
+        return Version(number, facts, files)
 
     def retire(self, keep: int = 2) -> list[int]:
-        """Deletes all but the last versions; returns those deleted."""
-        old = self.versions()[:-keep] if keep else self.versions()
+        """Deletes all but the last versions, and files that no other has; returns those deleted."""
+        every = self.versions()
+        old = every[:-keep] if keep else every
+        used = {f for n in every if n not in old for f in self.version(n).files}
         for n in old:
+            files = self.version(n).files
             self.folder.delete(f"_published/{n:012d}")
-            self.folder.delete(f"v{n:012d}")
+            for f in set(files) - used:
+                self.folder.delete(f)
         return old
 
 

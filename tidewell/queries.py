@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import transforms
 from .functions.expressions import operation_code
-from .functions.project import auto_map, join_relationships
-from .model import CHANGED_AT, OPERATION, ORDERING, Auto, ColumnMapping, Intent, ListOf, Mapping, Range, Relationship
+from .functions.project import auto_map, join_relationships, split_keys
+from .model import CHANGED_AT, OPERATION, ORDERING, Auto, ColumnMapping, Intent, ListOf, Mapping, PositionExpired, Range, Relationship
 from .operators import metrics, scd2, verify, writers
 from .plans import passes, provision, segments
 from .plans.store import Positions, VersionedTable
@@ -600,7 +600,7 @@ def scd2_history(spark, d):
     return scd2.apply(target, staged, ["k"], ["v"], NOW).select(*_VERSIONS.split(", "))
 
 
-_TAIL = f"(SELECT * FROM {X.FEED_NULLS} f WHERE seq > (SELECT max(event_id) - 300 FROM events))"
+_TAIL = f"(SELECT * FROM {X.FEED_NULLS} f WHERE seq > {X.HALF})"
 
 
 @query(
@@ -619,18 +619,17 @@ _TAIL = f"(SELECT * FROM {X.FEED_NULLS} f WHERE seq > (SELECT max(event_id) - 30
       UNION ALL SELECT {_NEW}, k, v, changed_at, next_at, next_at IS NULL FROM edges WHERE opens"""
 )
 def scd2_mixed_pass(spark, d):
-    last = X.load(spark, d, "events").agg(F.max("event_id")).first()[0]
-    staged = X.staged_feed(X.feed(spark, d, nulls=True).filter(F.col("seq") > last - 300))
-    return scd2.apply(X.open_versions(spark, d), staged, ["k"], ["v"], NOW).select(*_VERSIONS.split(", "))
+    return scd2.apply(X.open_versions(spark, d), _second(spark, d), ["k"], ["v"], NOW).select(*_VERSIONS.split(", "))
 
 
 @query(
-    f"""SELECT version_key, k, v, valid_from, CASE WHEN k % 4 = 1 AND k < 100 THEN {NOW_SQL} ELSE valid_to END AS valid_to,
-      NOT (k % 4 = 1 AND k < 100) AS is_current FROM {X.OPEN} t"""
+    f"""SELECT version_key, k, v, valid_from, CASE WHEN k % 4 = 1 AND k < (SELECT max(user_id) // 2 FROM events) THEN {NOW_SQL} ELSE valid_to END AS valid_to,
+      NOT (k % 4 = 1 AND k < (SELECT max(user_id) // 2 FROM events)) AS is_current FROM {X.OPEN} t"""
 )
 def scd2_reconcile_close(spark, d):
     keys = X.feed(spark, d).filter("k % 4 <> 1").select("k")
-    return scd2.reconcile_close(X.open_versions(spark, d), keys, ["k"], NOW, F.col("k") < 100, writers.Guard("ratio", 0.9))
+    middle = X.feed(spark, d).agg(F.max("k")).first()[0] // 2
+    return scd2.reconcile_close(X.open_versions(spark, d), keys, ["k"], NOW, F.col("k") < middle, writers.Guard("ratio", 0.9))
 
 
 @query(
@@ -693,12 +692,13 @@ def verify_status_full(spark, d):
     return verify.compare(source, target, ["grp"], ["cents"])
 
 
-@query(_compared("o_orderpriority", {"cents": f"max({_SIDES})"}, "s.cents <> t.cents", "o_orderkey < 5000"))
+@query(_compared("o_orderpriority", {"cents": f"max({_SIDES})"}, "s.cents <> t.cents", "o_orderkey < (SELECT max(o_orderkey) // 2 FROM orders)"))
 def verify_sql_check(spark, d):
     _orders(spark, d).createOrReplaceTempView("v_source")
     X.stale_orders(spark, d).createOrReplaceTempView("v_target")
     text = "SELECT o_orderpriority AS grp, max(cast(round(o_totalprice * 100) as bigint)) AS cents FROM {} GROUP BY 1"
-    target = verify.sql_side(spark, text.format("v_target WHERE o_orderkey < 5000"), ["grp"], ["cents"])
+    target = text.format("v_target WHERE o_orderkey < (SELECT max(o_orderkey) div 2 FROM v_source)")
+    target = verify.scripted_side(lambda: spark.sql(target), ["grp"], ["cents"])
     return verify.compare(verify.sql_side(spark, text.format("v_source"), ["grp"], ["cents"]), target, ["grp"], ["cents"])
 
 
@@ -731,7 +731,7 @@ def row_diff(spark, d):
 
 @query(f"SELECT o_orderkey AS gap_after, nxt AS gap_before FROM (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM {X.STALE} t) WHERE nxt > o_orderkey + 1")
 def gap_finder(spark, d):
-    return verify.gaps(X.stale_orders(spark, d), "o_orderkey", 1000)
+    return verify.gaps(X.stale_orders(spark, d), "o_orderkey")
 
 
 @query(f"SELECT {ORDER_COLUMNS} FROM {X.STALE} t")
@@ -744,7 +744,7 @@ def drift_fixture(spark, d):
 
 @query(
     f"""SELECT mapping, count(*) AS runs, count(*) FILTER (WHERE status = 'Succeeded') AS succeeded, count(*) FILTER (WHERE status = 'Failed') AS failed,
-      CAST(coalesce(sum(rows_read), 0) AS BIGINT) AS rows_read FROM {X.RUNS} r GROUP BY mapping"""
+      CAST(coalesce(sum(rows_read), 0) AS BIGINT) AS rows_read, CAST(coalesce(sum(rows_written), 0) AS BIGINT) AS rows_written FROM {X.RUNS} r GROUP BY mapping"""
 )
 def run_totals(spark, d):
     return metrics.totals(X.runs(spark, d), "mapping")
@@ -759,9 +759,9 @@ def run_percentiles(spark, d):
 
 
 @query(
-    f"""SELECT CAST(i AS INTEGER) AS bucket, coalesce(n, 0) AS runs, coalesce(f, 0) AS failed FROM range(30) t(i) LEFT JOIN (
+    f"""SELECT CAST(i AS INTEGER) AS bucket, coalesce(n, 0) AS runs, coalesce(f, 0) AS failed, coalesce(w, 0) AS rows_written FROM range(30) t(i) LEFT JOIN (
       SELECT least(greatest((epoch_us(started_at) - epoch_us(TIMESTAMP '2024-01-02')) // 86400000000, 0), 29) AS b, count(*) AS n,
-        count(*) FILTER (WHERE status = 'Failed') AS f
+        count(*) FILTER (WHERE status = 'Failed') AS f, CAST(sum(rows_written) AS BIGINT) AS w
       FROM {X.RUNS} r WHERE started_at >= TIMESTAMP '2024-01-02' AND started_at < TIMESTAMP '2024-02-01' GROUP BY 1) ON b = i"""
 )
 def run_histogram(spark, d):
@@ -828,15 +828,15 @@ def feed_since(spark, d):
     return metrics.feed(X.runs(spark, d), "run_id", 321).select("run_id", "status")
 
 
-@query("SELECT u AS user, u * 13 AS seen, (SELECT count(*) FROM events WHERE event_id > u * 13) AS unread FROM range(60) t(u)")
+@query("SELECT u AS user, u * 13 AS seen, (SELECT count(*) FROM events WHERE event_id > u * 13) AS unread FROM (SELECT DISTINCT user_id AS u FROM events) t")
 def unread_counts(spark, d):
-    cursors = spark.range(60).select(F.col("id").alias("user"), (F.col("id") * 13).alias("seen"))
+    cursors = X.load(spark, d, "events").select(F.col("user_id").alias("user"), (F.col("user_id") * 13).alias("seen")).distinct()
     return metrics.unread(X.load(spark, d, "events").select(F.col("event_id").alias("id")), cursors)
 
 
 @query(
     f"""SELECT item_id, mapping, priority FROM {X.QUEUE} q WHERE state = 'Pending' AND available_at <= TIMESTAMP '2024-01-20'
-      AND NOT EXISTS (SELECT 1 FROM {X.QUEUE} b WHERE b.mapping = q.mapping AND b.state IN ('Claimed', 'Running'))
+      AND NOT EXISTS (SELECT 1 FROM {X.QUEUE} b WHERE b.mapping = q.mapping AND coalesce(b.segment, '') = coalesce(q.segment, '') AND b.state IN ('Claimed', 'Running'))
       ORDER BY priority DESC, enqueued_at, item_id LIMIT 1"""
 )
 def queue_claim(spark, d):
@@ -844,12 +844,25 @@ def queue_claim(spark, d):
 
 
 @query(
-    f"""SELECT item_id, mapping FROM {X.QUEUE} q WHERE item_id < 200 UNION ALL SELECT item_id, mapping FROM {X.QUEUE} q
-      WHERE item_id >= 200 AND item_id < 400 AND mapping NOT IN (SELECT mapping FROM {X.QUEUE} b WHERE item_id < 200 AND state <> 'Done')"""
+    f"""WITH q AS (SELECT *, coalesce(segment, '') AS part FROM {X.QUEUE} x),
+      flying AS (SELECT mapping, part FROM q WHERE item_id <= {X.HALF} AND state IN ('Pending', 'Claimed', 'Running')),
+      fresh AS (SELECT *, row_number() OVER (PARTITION BY mapping, part ORDER BY item_id) AS r FROM q WHERE item_id > {X.HALF}
+        AND NOT EXISTS (SELECT 1 FROM flying b WHERE b.mapping = q.mapping AND b.part = q.part))
+      SELECT item_id, mapping, segment FROM q WHERE item_id <= {X.HALF} UNION ALL SELECT item_id, mapping, segment FROM fresh WHERE r = 1"""
 )
 def queue_put(spark, d):
-    queue = X.queue(spark, d)
-    return metrics.put(queue.filter("item_id < 200"), queue.filter("item_id >= 200 AND item_id < 400")).select("item_id", "mapping")
+    queue, last = X.queue(spark, d), X.half(spark, d)
+    return metrics.put(queue.filter(F.col("item_id") <= last), queue.filter(F.col("item_id") > last)).select("item_id", "mapping", "segment")
+
+
+@query(
+    f"""SELECT mapping, coalesce(segment, '') AS part, min(item_id) AS item_id FROM {X.QUEUE} q WHERE mapping % 3 = 0 GROUP BY 1, 2"""
+)
+def queue_put_conflicts(spark, d):
+    """An empty queue takes one item of each mapping and segment, however many come."""
+    queue = X.queue(spark, d).filter("mapping % 3 = 0")
+    found = metrics.put(metrics.put(queue.limit(0), queue).withColumn("state", F.lit("Running")), queue)
+    return found.select("mapping", F.coalesce("segment", F.lit("")).alias("part"), "item_id")
 
 
 @query(f"SELECT DISTINCT task, mapping FROM {X.RUNS} r")
@@ -885,7 +898,10 @@ def _place(spark: SparkSession) -> str:
     import uuid
 
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/state-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="tidewell-state-")
+    if not root and spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="tidewell-state-")
+    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root}/state-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM {X.FEED} f) WHERE r = 1 AND op <> 'D'")
@@ -894,13 +910,14 @@ def stream_foreachbatch_merge(spark, d):
     ids = F.conv(F.substring(ORDERING, 1, 20), 16, 10).cast("long")
     size = (feed.agg(F.max(ids)).first()[0] or 0) // 3 + 1
     for part in range(3):
-        feed.filter((ids >= part * size) & (ids < (part + 1) * size)).coalesce(1).write.mode("append").parquet(f"{place}/changes")
+        feed.filter((ids >= part * size) & (ids < (part + 1) * size)).write.mode("append").parquet(f"{place}/changes/part={part}")
     table = VersionedTable(spark, f"{place}/table")
     table.publish(feed.select("k", "v").limit(0))
     apply = lambda target, batch: writers.upsert(target, writers.one_per_key(batch, ["k"]), ["k"])
-    stream = continuous.change_stream(spark, f"{place}/changes", feed.schema, files=1)
-    # one file a batch, in the order in which they were written
-    continuous.start(stream, table, apply, f"{place}/checkpoint").awaitTermination()
+    # the folders one after the other, each in batches of so many files: the writer orders a batch
+    for part in range(3):
+        stream = continuous.change_stream(spark, f"{place}/changes/part={part}", feed.schema, files=1024)
+        continuous.start(stream, table, apply, f"{place}/checkpoint-{part}", name=f"part {part}").awaitTermination()
     return table.read()
 
 
@@ -915,8 +932,8 @@ def passes_until_idle(spark, d):
     def read(position, intent):
         return readers.watermark(orders, ORDERS, "o_orderkey", position, most, intent=intent)
 
-    job = passes.Job(("main", "orders", "orders"), read, lambda t, s: writers.upsert(t, s, ["id"]), table, positions)
-    passes.run_until_idle(job)
+    apply = lambda t, s: writers.upsert(t, s, ["id"])
+    passes.run_until_idle(passes.Job(("main", "orders", "orders"), read, apply, table, positions, staging=f"{place}/staged"))
     return table.read()
 
 
@@ -935,15 +952,100 @@ def position_handoff(spark, d):
         ("main", "orders", "orders"), read, lambda t, s: writers.upsert(t, s, ["id"]), table, positions, capture=lambda: 1
     )
     parts = segments.expand(Auto("o_orderkey", 3), early, ORDERS)
-    write = lambda t, rows, s: writers.delete_insert(t, rows, segments.target_scope(s, ORDERS, t))
-    passes.bulk_load(job, parts, lambda s: readers.reload(early, ORDERS, s).rows, write)
+    target = table.read()
+    passes.bulk_load(job, parts, lambda s: readers.reload(early, ORDERS, s).rows, lambda s: segments.target_scope(s, ORDERS, target))
     from dataclasses import replace
 
     passes.run_pass(replace(job, capture=None))
     return table.read()
 
 
-@query("SELECT o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 100")
+@query("SELECT o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def joined_lookup(spark, d):
     joined = join_relationships(_orders(spark, d), [_customers(spark, d)])
-    return joined.filter("o_orderkey < 100").select("o_custkey", "c_name")
+    return joined.select("o_custkey", "c_name")
+
+
+# smaller pieces
+
+
+@query("SELECT reached, reached < 20 AS expired FROM (VALUES (10), (19), (20), (21)) t(reached)")
+def position_expiry(spark, d):
+    """A log pruned up to 20 refuses positions before it."""
+    log, found = changelog.prune(X.feed(spark, d), "seq", 20), []
+    for at in (10, 19, 20, 21):
+        try:
+            changelog.captured_net(log, ["k"], ["v"], "seq", "op", at, reaches=20)
+            found.append((at, False))
+        except PositionExpired:
+            found.append((at, True))
+    return spark.createDataFrame(found, "reached int, expired boolean")
+
+
+@query("SELECT min(o_orderdate) AS low, max(o_orderdate) AS high, CAST(max(o_totalprice) AS DOUBLE) AS price FROM orders")
+def position_text(spark, d):
+    """Positions go to text and come back with their types."""
+    first = _orders(spark, d).agg(F.min("o_orderdate"), F.max("o_orderdate"), F.max("o_totalprice").cast("double")).first()
+    return spark.createDataFrame([tuple(readers.parse_position(readers.format_position(x)) for x in first)], "low timestamp_ntz, high timestamp_ntz, price double")
+
+
+@query("SELECT stored, counter, coalesce(stored >= counter, false) AS skipped FROM (VALUES (1, 2), (2, 2), (NULL, 2), (3, NULL)) t(stored, counter)")
+def poll_gate(spark, d):
+    pairs = [(1, 2), (2, 2), (None, 2), (3, None)]
+    return spark.createDataFrame([(a, b, readers.unchanged(a, b)) for a, b in pairs], "stored int, counter int, skipped boolean")
+
+
+@query("SELECT 'key' AS part, 'id' AS name UNION ALL SELECT 'value', unnest(['customer', 'status', 'total'])")
+def key_value_split(spark, d):
+    keys, values = split_keys(ORDERS)
+    return spark.createDataFrame([("key", k) for k in keys] + [("value", v) for v in values], "part string, name string")
+
+
+@query("SELECT last, CASE WHEN last IS NULL THEN true ELSE later <= 10 END AS due FROM (VALUES (NULL, 20), (1, 10), (1, 11)) t(last, later)")
+def cron_due(spark, d):
+    day = lambda n: None if n is None else dt.datetime(2024, 1, n)
+    return spark.createDataFrame([(last, metrics.due(day(at), day(last), day(10))) for last, at in ((None, 20), (1, 10), (1, 11))], "last int, due boolean")
+
+
+@query(f"SELECT mapping, sum(rows_read) > 0 AND max(mapping) <> 3 AS due FROM {X.RUNS} r GROUP BY mapping")
+def reconcile_trigger(spark, d):
+    """Mappings that changes ask a reconciliation for; one has just had it."""
+    rows = X.runs(spark, d).groupBy("mapping").agg(F.sum("rows_read").cast("long").alias("n")).collect()
+    last = lambda m: NOW - dt.timedelta(minutes=1) if m == 3 else None
+    due = [(r["mapping"], metrics.reconcile_due(r["n"], last(r["mapping"]), NOW, "changes", dt.timedelta(hours=1))) for r in rows]
+    return spark.createDataFrame(due, "mapping long, due boolean")
+
+
+@query("SELECT count(*) AS row_count, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders WHERE o_orderkey % 2 = 0")
+def held_mapping(spark, d):
+    """A paused mapping isn't run; after it is resumed its pass reads what there is."""
+    place, orders = _place(spark), _orders(spark, d).filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey")
+    table, positions = VersionedTable(spark, f"{place}/table"), Positions(spark, f"{place}/positions")
+    table.publish(orders.limit(0))
+    read = lambda position, intent: readers.watermark(orders, Mapping(), "o_orderkey", position, intent=intent)
+    job = passes.Job(("main", "held", "orders"), read, lambda t, s: writers.upsert(t, s, ["o_orderkey"]), table, positions)
+    passes.pause(job)
+    passes.run_pass(job)
+    if not table.read().isEmpty():
+        raise AssertionError("a held mapping ran")
+    passes.resume(job)
+    passes.run_pass(job)
+    return table.read().agg(F.count("*").alias("row_count"), F.sum("o_custkey").cast("long").alias("customers"))
+
+
+@query(_compared("o_orderstatus", {"row_count": "count(*)"}, "s.row_count <> t.row_count"))
+def verification_saved(spark, d):
+    """A result as it is read back from where it was saved."""
+    place = _place(spark)
+    verify.save(verify_rowcount(spark, d), f"{place}/result", {"check": "orders"})
+    return spark.read.parquet(f"{place}/result")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def connector_round_trip(spark, d):
+    """The same rows through each file format in turn."""
+    rows, place = _orders(spark, d).select("o_orderkey", "o_custkey", "o_totalprice"), _place(spark)
+    for kind in ("parquet", "orc", "json"):
+        rows.write.format(kind).save(f"{place}/{kind}")
+        rows = spark.read.format(kind).schema(rows.schema).load(f"{place}/{kind}")
+    return rows

@@ -25,11 +25,11 @@ def window(log: DataFrame, sequence: str, previous: Any, target: Any) -> DataFra
     return rows if target is None else rows.filter(F.col(sequence) <= F.lit(target))
 
 
-def check_retained(log: DataFrame, sequence: str, previous: Any) -> None:
-    """Refuses a position that the log no longer reaches back to."""
-    first = log.agg(F.min(sequence)).first()[0]
-    if first is not None and previous is not None and previous < first - 1:
-        raise PositionExpired(f"the log starts at {first}, the position is {previous}")
+def check_retained(previous: Any, reaches: Any) -> None:
+    """Refuses a position that the log no longer reaches back to. reaches: up to where the log
+    was pruned, None if it wasn't. The first row there is can't tell, as positions have gaps."""
+    if previous is not None and reaches is not None and previous < reaches:
+        raise PositionExpired(f"the log reaches back to {reaches}, the position is {previous}")
 
 
 def earliest(log: DataFrame, sequence: str) -> Any:
@@ -55,9 +55,10 @@ def last_of_key(log: DataFrame, keys: list[str], sequence: str, columns: list[st
     return grouped.select(*keys, SEQUENCE, *[F.col(f"last.{quoted(c)}").alias(c) for c in columns])
 
 
-def net_changes(log: DataFrame, base: DataFrame, keys: list[str], sequence: str, operation: str, previous: Any = None, target: Any = None) -> Read:
+def net_changes(log: DataFrame, base: DataFrame, keys: list[str], sequence: str, operation: str, previous: Any = None, target: Any = None, reaches: Any = None) -> Read:
     """One change for each key, its last, with values from the base table. A delete has its
     key only; another change whose row is gone from the base is skipped (see vanished)."""
+    check_retained(previous, reaches)
     last = last_of_key(window(log, sequence, previous, target), keys, sequence, [operation])
     values = [c for c in base.columns if c not in keys]
     met = last.alias("l").join(base.alias("b"), same_keys("l", "b", keys), "left")
@@ -78,17 +79,19 @@ def vanished(log: DataFrame, base: DataFrame, keys: list[str], sequence: str, op
     return last.filter(F.col(operation) != DELETE).join(base, keys, "left_anti").select(*keys)
 
 
-def captured_net(log: DataFrame, keys: list[str], values: list[str], sequence: str, operation: str, previous: Any = None, target: Any = None) -> Read:
+def captured_net(log: DataFrame, keys: list[str], values: list[str], sequence: str, operation: str, previous: Any = None, target: Any = None, reaches: Any = None) -> Read:
     """One change for each key with the values that the log itself holds."""
+    check_retained(previous, reaches)
     last = last_of_key(window(log, sequence, previous, target), keys, sequence, [operation, *values])
     rows = last.select(*keys, *values, F.col(operation).alias(OPERATION), SEQUENCE)
     return Read(rows, target)
 
 
-def all_changes(log: DataFrame, columns: list[str], position: str, sequence: str, operation: Column, changed_at: str, previous: Any = None, most: int | None = None, target: Any = None) -> Read:
-    """Every change in order, with an ordering text and the time of the change. A cap never
+def all_changes(log: DataFrame, columns: list[str], position: str, sequence: str, operation: Column, changed_at: str, previous: Any = None, most: int | None = None, target: Any = None, reaches: Any = None, ordered: bool = False) -> Read:
+    """Every change, with an ordering text and the time of the change. A cap never
     splits a position (a transaction): rows that tie with the last one come too. The position
     after is the last one's if the cap was reached, else the target."""
+    check_retained(previous, reaches)
     target = latest(log, position) if target is None else target
     rows = window(log, position, previous, target)
     reached = target
@@ -102,12 +105,14 @@ def all_changes(log: DataFrame, columns: list[str], position: str, sequence: str
         ordering(F.col(position), F.col(sequence)).alias(ORDERING),
         F.col(changed_at).alias(CHANGED_AT),
     )
-    return Read(marked.orderBy(ORDERING), reached)
+    return Read(marked.orderBy(ORDERING) if ordered else marked, reached)
 
 
-def versions(log: DataFrame, columns: list[str], sequence: str, operation: str, previous: Any, target: Any) -> Read:
-    """Every version between two positions, in order and without ordering columns."""
-    rows = window(log, sequence, previous, target).orderBy(sequence)
+def versions(log: DataFrame, columns: list[str], sequence: str, operation: str, previous: Any, target: Any, reaches: Any = None, ordered: bool = False) -> Read:
+    """Every version between two positions, without ordering columns."""
+    check_retained(previous, reaches)
+    rows = window(log, sequence, previous, target)
+    rows = rows.orderBy(sequence) if ordered else rows
     return Read(rows.select(*columns, F.col(operation).alias(OPERATION)), target)
 
 

@@ -91,9 +91,9 @@ def watermark(
     most: int | None = None,
     relationship: str | None = None,
     intent: Intent = Intent.CHANGES,
-    ordered: bool = True,
+    ordered: bool = False,
 ) -> Read:
-    """Rows whose position is beyond the previous one, in order.
+    """Rows whose position is beyond the previous one; ordered, for a sink that needs the order.
 
     Unbounded, the new position is the largest before the read, so that a row which arrives
     meanwhile may be read twice and never lost. Bounded, it is that of the last row read, and

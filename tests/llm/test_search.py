@@ -104,9 +104,52 @@ def test_rotations_keep_lengths():
     for t in range(3):
         y = ann.turn(x, t)
         assert y.shape == (50, 32) and np.allclose(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1))
-    code = ann.buckets(ann.unit(x), 4)
-    for t in range(4):
-        assert (ann.probes(ann.unit(x), t, 3)[:, 0] == code[:, t]).all()
+    for bits in (1, 4, 6, 9, 13):
+        how = ann.Hashing(bits, probes=min(32, 1 << bits))
+        code, near = ann.buckets(ann.unit(x), 2, how), ann.probed(ann.unit(x), 2, how)
+        assert (near[:, 0] == code).all() and code.min() >= 0 and code.max() < 1 << bits
+        assert all(len(set(r)) == how.probes for r in near.tolist())
+
+
+def test_probes_by_brute_force():
+    """The nearest buckets are those of all sequences of axes that miss the query by least."""
+    u = ann.unit(np.random.default_rng(4).normal(size=(20, 8)))
+    how = ann.Hashing(7, probes=40)
+    parts = list(ann.axes(u, 1, how))
+    assert [p.shape[1] for p in parts] == [16, 8]
+    for q, near in enumerate(ann.probed(u, 1, how)):
+        miss = [sum((p[q].max() - p[q, a]) ** 2 for p, a in zip(parts, divmod(c, 8))) for c in range(128)]
+        assert len(set(near.tolist())) == 40
+        assert np.allclose([miss[c] for c in near], sorted(miss)[:40], rtol=0, atol=1e-15)  # equal ones in any order
+
+
+def test_hashes_grow_with_the_rows_and_probes_are_measured(spark):
+    few, many = some(200, 16, 5), some(6000, 16, 5)
+    found = []
+    for v in (few, many):
+        rows = ann.taking_part(table(spark, v.tolist()))
+        classes = ann.classes_of(rows)
+        found.append(ann.fitted(classes, classes.filter("ids[0] % 50 = 0")))
+    assert found[0].bits < found[1].bits and all(1 <= h.probes <= ann.PROBES for h in found)
+
+
+def test_crowded_parts_are_dealt_out(spark, monkeypatch):
+    v = some(1500, 16, 6)
+    want = answers(ann.nearest(table(spark, v.tolist())))
+    monkeypatch.setattr(ann, "ASKED", 3)
+    monkeypatch.setattr(ann, "SHARD", 40)
+    assert answers(ann.nearest(table(spark, v.tolist()))) == want
+
+
+def test_equal_vectors_and_repeated_ids(spark):
+    """A third of the rows are equal; an id that is repeated is never its own neighbour."""
+    v = [[1.0, 2.0]] * 300 + [[2.0, 4.0]] * 9 + [[3.0, -1.0]] * 20
+    ids = [50] * 9 + list(range(51, 342)) + list(range(400, 409)) + list(range(500, 520))
+    found = answers(ann.nearest(table(spark, v, ids)).filter("query_id <> 50"))
+    assert len(found[150]) == 5 and [i for i, _ in found[150]] == [50] * 5
+    assert [i for i, _ in found[500]] == [501, 502, 503, 504, 505]
+    rows = ann.nearest(table(spark, v, ids)).filter("query_id = 50").groupBy("rank", "vec_id").count().collect()
+    assert {(r["rank"], r["vec_id"], r["count"]) for r in rows} == {(n, 50 + n, 9) for n in range(1, 6)}
 
 
 def test_too_few_in_the_probed_buckets(spark):

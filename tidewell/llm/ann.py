@@ -191,21 +191,22 @@ def _ranks(pairs: pd.DataFrame, near: dict, how: Hashing) -> np.ndarray:
 
 
 def build_index(classes: DataFrame, how: Hashing) -> DataFrame:
-    """size, t, code, rid, vector: every class in its bucket of each table."""
+    """rid, vector, codes: every class with its bucket in each table."""
     element = classes.schema["vector"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables(batches, SHARD):
+            codes = np.empty((len(table), how.tables), np.int64)
             for at, matrix in matrices(table, "vector"):
-                units, part = unit(matrix.astype(np.float64)), table.take(pa.array(at)).combine_chunks()
-                rid, vector = part["rid"].combine_chunks(), part["vector"].combine_chunks()
-                size = pa.array(np.full(len(at), matrix.shape[1], np.int32))
+                units = unit(matrix.astype(np.float64))
                 for t in range(how.tables):
-                    code = pa.array(buckets(units, t, how))
-                    number = pa.array(np.full(len(at), t, np.int32))
-                    yield pa.RecordBatch.from_arrays([size, number, code, rid, vector], ["size", "t", "code", "rid", "vector"])
+                    codes[at, t] = buckets(units, t, how)
+            offsets = pa.array(np.arange(len(table) + 1, dtype=np.int32) * how.tables)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))
+            columns = [table["rid"].combine_chunks(), table["vector"].combine_chunks(), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "vector", "codes"])
 
-    return classes.select("rid", "vector").mapInArrow(hashed, f"size int, t int, code long, rid long, vector {element}")
+    return classes.select("rid", "vector").mapInArrow(hashed, f"rid long, vector {element}, codes array<long>")
 
 
 def build_probes(asking: DataFrame, how: Hashing) -> DataFrame:
@@ -263,6 +264,7 @@ def meet(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
 def candidates(index: DataFrame, probes: DataFrame, how: Hashing, k: int) -> DataFrame:
     """asked, rid, score: the best k classes that each query meets in each part of each table."""
     place = ["size", "t", "lead"]
+    index = index.select("rid", "vector", F.size("vector").alias("size"), F.posexplode("codes").alias("t", "code"))
     index = index.withColumn("lead", F.shiftright("code", how.bits - how.leading))
     held = index.groupBy(*place).agg(F.count("*").alias("rows"))
     asking = probes.groupBy(*place).agg(F.count("*").alias("queries"))

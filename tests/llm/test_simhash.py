@@ -70,7 +70,7 @@ def flipped(rng, value, most):
     return value
 
 
-@pytest.mark.parametrize("group, blocks", [(4096, 4), (5, 4), (40, 5)])
+@pytest.mark.parametrize("group, blocks", [(4096, None), (5, 4), (40, 5), (5, 6)])
 def test_groups_by_brute_force(spark, group, blocks):
     """Random fingerprints, chains, and a dense cluster that large node pairs must walk."""
     rng = random.Random(group)
@@ -89,6 +89,14 @@ def test_groups_by_brute_force(spark, group, blocks):
     assert found == plain_groups(prints)
 
 
+def test_more_fingerprints_more_blocks():
+    assert [op.enough_blocks(n) for n in (0, 1, 1 << 24, (1 << 24) + 1, 1 << 32, 1 << 38)] == [4, 4, 4, 5, 5, 6]
+    for blocks in (4, 5, 6):
+        for agree, order in op._orders(blocks, 3):
+            bits = sorted(b for low, width in order for b in range(low, low + width))
+            assert bits == list(range(64)) and agree >= (blocks - 3) * (64 // blocks)
+
+
 def test_documents(spark, documents):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(9, base, "en", "s"), (4, base.upper(), "en", "s"), (7, base + " more", "en", "s"), (2, "other text here", "en", "s")]

@@ -7,10 +7,11 @@ the near-duplicates.
 The self-join walks a binary trie of the distinct fingerprints in pairs of nodes that start
 as (root, root): a pair's children are the pairs of its nodes' children, each with the
 differing bits so far, and a pair beyond the budget of ``BITS`` errors is dropped with all
-below it. So that the work can be dealt out, the bits are cut into ``BLOCKS`` blocks: two
-fingerprints within the budget agree in BLOCKS - BITS blocks at least, so for each choice
-of those blocks there is one trie, with these blocks on top and no error allowed there. What
-hangs below one value of them is a node pair that one task walks. Node pairs with
+below it. So that the work can be dealt out, the bits are cut into blocks: two fingerprints
+within the budget agree in all but BITS blocks at least, so for each choice of those blocks
+there is one trie, with these blocks on top and no error allowed there. What hangs below one
+value of them is a node pair that one task walks. The more distinct fingerprints there are,
+the more blocks are cut, so that more bits agree; links are the same. Node pairs with
 more than ``GROUP`` rows go down further levels as Spark joins first, however many they
 hold. A task returns links that span each connected group instead of all of a group's pairs.
 
@@ -37,7 +38,9 @@ from .common import join_hot, join_keys, materialize, wrapped
 from .text import pieces, rows
 
 SHINGLE, SEED = 3, 42
-BITS, BLOCKS, GROUP = 3, 4, 4096
+BITS, GROUP = 3, 4096
+#: Rows of a node pair on average, when the number of blocks is chosen.
+SPARSE = 256
 #: Bits of a level where Spark walks down a large node pair.
 STRIDE = 8
 #: Rows of small node pairs that are walked at once.
@@ -79,6 +82,14 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def enough_blocks(count: int, bits: int = BITS) -> int:
+    """The fewest blocks of which those that agree tell so many fingerprints apart."""
+    blocks = bits + 1
+    while blocks < 64 and count > SPARSE << ((blocks - bits) * (64 // blocks)):
+        blocks += 1
+    return blocks
+
+
 def _orders(blocks: int, bits: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """For each trie: the number of bits that must agree, and the blocks in its order, each as
     (lowest bit, width)."""
@@ -139,9 +150,10 @@ def _descend(pairs: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def links(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
+def links(distinct: DataFrame, bits: int = BITS, blocks: int | None = None, group: int = GROUP) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column __fp) that connect exactly those
-    groups which all pairs within the budget connect."""
+    groups which all pairs within the budget connect. blocks None: as many as their number needs."""
+    blocks = blocks or enough_blocks(distinct.count(), bits)
     pairs, done = _roots(distinct, bits, blocks), []
     while True:
         sizes = pairs.groupBy("node").agg(F.count("*").alias("rows")).filter(F.col("rows") > group)
@@ -288,7 +300,7 @@ def groups(edges: DataFrame) -> DataFrame:
         state = materialize(near.unionByName(top).filter("u <> v").distinct(), "links", True)
 
 
-def components(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: int = GROUP, edges: DataFrame | None = None) -> DataFrame:
+def components(prints: DataFrame, bits: int = BITS, blocks: int | None = None, group: int = GROUP, edges: DataFrame | None = None) -> DataFrame:
     """prints: a stored table with __fp and __key, what a group is named by (null comes
     last). Adds __group, the least key of each row's group. edges: links other than those
     within the budget of bits."""

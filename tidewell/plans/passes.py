@@ -8,6 +8,7 @@ append are told by the pass number in the published version that they ran alread
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -100,6 +101,22 @@ def run_until_idle(job: Job, most: int = 1000) -> list[ReadState]:
     raise RuntimeError(f"not idle after {most} passes")
 
 
+def run_continuously(job: Job, frequency: float = 60, idle_after: float = 60, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> int:
+    """A pass every so many seconds, until none has moved the position for idle_after seconds
+    or the mapping is held. Gives the number of passes that moved it."""
+    moved, last = 0, clock()
+    while True:
+        before = job.positions.get(job.key)
+        after = run_pass(job)
+        if after.hold is not Hold.NONE:
+            return moved
+        if after.position != before.position or before.intent is not Intent.CHANGES:
+            moved, last = moved + 1, clock()
+        elif clock() - last >= idle_after:
+            return moved
+        wait(frequency)
+
+
 def bulk_load(job: Job, segments: list[Segment], load: Callable[[Segment], DataFrame], scope: Callable[[Segment], Column | None]) -> ReadState:
     """Loads a table segment by segment and hands over to incremental passes: the position is
     captured before the first read, kept as pending while the mapping is held, and becomes the

@@ -8,17 +8,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixtures as X
 from .functions import transforms
-from .functions.expressions import operation_code
+from .functions.expressions import operation_code, ordering
 from .functions.project import auto_map, join_relationships, split_keys
 from .model import CHANGED_AT, OPERATION, ORDERING, Auto, ColumnMapping, Intent, ListOf, Mapping, PositionExpired, Range, Relationship
 from .operators import metrics, scd2, verify, writers
 from .plans import passes, provision, segments
 from .plans.store import Positions, VersionedTable
-from .sources import changelog, readers
+from .sources import changelog, connectors, readers
 from .streaming import continuous
+from .types import samples, to_spark
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1049,3 +1051,135 @@ def connector_round_trip(spark, d):
         rows.write.format(kind).save(f"{place}/{kind}")
         rows = spark.read.format(kind).schema(rows.schema).load(f"{place}/{kind}")
     return rows
+
+
+@query(f"SELECT seq, k, op, (SELECT max(ts) FROM events e WHERE e.event_id // 50 = f.seq // 50) AS committed_at FROM {X.FEED} f")
+def lsn_commit_time(spark, d):
+    """Changes of a log that knows transactions only get their transaction's time."""
+    log = X.feed(spark, d).withColumn("lsn", ordering(F.expr("seq div 50")))
+    commits = log.groupBy("lsn").agg(F.max("changed_at").alias("at"))
+    found = changelog.with_commit_time(log.select("lsn", "seq", "k", "op"), commits, "lsn", "at")
+    return found.select("seq", "k", "op", F.col(CHANGED_AT).alias("committed_at"))
+
+
+@query(
+    """SELECT o_orderkey AS id, CAST(o_custkey AS INTEGER) AS customer, CAST(o_custkey AS DECIMAL(12,2)) AS money, CAST(o_custkey AS DOUBLE) / 4 AS ratio,
+      o_custkey % 2 = 0 AS even, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS TIMESTAMP) AS moment, hex(o_orderstatus) AS bytes, o_orderpriority AS note
+      FROM orders"""
+)
+def wal_typed_values(spark, d):
+    """Each type's text form, as a log writes it, comes back as the column's type."""
+    texts = {
+        "id": F.col("o_orderkey").cast("string"), "customer": F.col("o_custkey").cast("string"), "money": F.concat(F.col("o_custkey").cast("string"), F.lit("00e-2")),
+        "ratio": (F.col("o_custkey").cast("double") / 4).cast("string"), "even": F.when(F.col("o_custkey") % 2 == 0, "t").otherwise("f"),
+        "day": F.date_format("o_orderdate", "yyyy-MM-dd"), "moment": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "bytes": F.concat(F.lit("\\x"), F.hex("o_orderstatus")), "note": F.col("o_orderpriority"),
+    }
+    kinds = ["bigint", "int", "decimal(12,2)", "double", "boolean", "date", "timestamp_ntz", "binary", "string"]
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("value")) for n, t in texts.items()])
+    log = _orders(spark, d).select(F.to_json(F.struct(F.lit("I").alias("action"), pairs.alias("columns"))).alias("data"))
+    return changelog.logical_records(log, "data", dict(zip(texts, kinds)), []).withColumn("bytes", F.hex("bytes")).drop(OPERATION)
+
+
+@query("SELECT c_custkey AS mapping, c_nationkey AS database, c_custkey % 40 AS stored FROM customer WHERE NOT coalesce(c_custkey % 40 >= CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey * 2 END, false)")
+def poll_gate_mappings(spark, d):
+    """A counter for each nation's database; every fifth has none."""
+    customer = X.load(spark, d, "customer")
+    due = customer.select(F.col("c_custkey").alias("mapping"), F.col("c_nationkey").alias("database"), (F.col("c_custkey") % 40).alias("stored"))
+    counters = due.select("database").distinct().filter("database % 5 <> 0").withColumn("counter", F.col("database") * 2)
+    return readers.to_dispatch(due, counters, ("database",))
+
+
+@query("SELECT * FROM (VALUES ('nation', true), ('NAME', true), ('customer_name', false)) t(target, refused)")
+def collision_guard(spark, d):
+    """A joined column can't take the name of another column, whatever its case."""
+    found = []
+    for name in ("nation", "NAME", "customer_name"):
+        mapping = Mapping(
+            (ColumnMapping("o_orderkey", "nation"), ColumnMapping("o_custkey", "name"), ColumnMapping("c_name", name, None, "customer")),
+            relationships=(_customers(spark, d),),
+        )
+        try:
+            readers.reload(_orders(spark, d), mapping)
+            found.append((name, False))
+        except ValueError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "target string, refused boolean")
+
+
+@query(
+    """SELECT * FROM (VALUES ('snapshot', 'id', false), ('snapshot', 'customer', false), ('snapshot', 'status', false), ('snapshot', 'total', false), ('snapshot', 'snapshot_at', false),
+      ('scd2', 'version_key', true), ('scd2', 'id', false), ('scd2', 'customer', false), ('scd2', 'status', false), ('scd2', 'total', false), ('scd2', 'valid_from', false),
+      ('scd2', 'valid_to', false), ('scd2', 'is_current', false)) t(history, name, is_key)"""
+)
+def history_columns(spark, d):
+    plans = {h: provision.create_plan(_orders(spark, d), ORDERS, history=h) for h in ("snapshot", "scd2")}
+    rows = [(h, f.name, f.name in p.keys) for h, p in plans.items() for f in provision.create(spark, p).schema]
+    return spark.createDataFrame(rows, "history string, name string, is_key boolean")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0")
+def pinned_version(spark, d):
+    """A version is read as it was, whatever was published since."""
+    table, orders = VersionedTable(spark, f"{_place(spark)}/table"), _orders(spark, d).select("o_orderkey", "o_custkey")
+    first = table.publish(orders.filter("o_orderkey % 2 = 0"))
+    pinned = table.read(first.number)
+    table.append(orders.filter("o_orderkey % 2 = 1"))
+    table.publish(orders.filter("o_orderkey % 3 = 0"))
+    return pinned
+
+
+@query("SELECT max(o_orderkey) AS acknowledged, count(*) AS row_count FROM orders")
+def slot_advance(spark, d):
+    """The source hears of a position only when its rows are in the target."""
+    place, orders, heard = _place(spark), _orders(spark, d).select("o_orderkey", "o_custkey"), []
+    table, positions = VersionedTable(spark, f"{place}/table"), Positions(spark, f"{place}/positions")
+    table.publish(orders.limit(0))
+    read = lambda position, intent: readers.watermark(orders, Mapping(), "o_orderkey", position, intent=intent, ordered=False)
+    tell = lambda position: heard.append((position, table.read().count()))
+    passes.run_pass(passes.Job(("main", "slot", "orders"), read, lambda t, s: writers.upsert(t, s, ["o_orderkey"]), table, positions, acknowledge=tell))
+    return spark.createDataFrame(heard, "acknowledged long, row_count long")
+
+
+@query("SELECT count(*) AS row_count, CAST(sum(o_custkey) AS BIGINT) AS customers, 3 AS passes FROM orders")
+def continuous_idle_exit(spark, d):
+    """Passes at a frequency, which end when nothing came for the idle time."""
+    place, orders, now = _place(spark), _orders(spark, d).select("o_orderkey", "o_custkey"), [0.0]
+    table, positions = VersionedTable(spark, f"{place}/table"), Positions(spark, f"{place}/positions")
+    table.publish(orders.limit(0))
+    most = orders.count() // 3 + 1
+    read = lambda position, intent: readers.watermark(orders, Mapping(), "o_orderkey", position, most, intent=intent)
+    job = passes.Job(("main", "continuous", "orders"), read, lambda t, s: writers.upsert(t, s, ["o_orderkey"]), table, positions)
+    wait = lambda seconds: now.append(now.pop() + seconds)
+    moved = passes.run_continuously(job, 30, 60, wait, lambda: now[0])
+    return table.read().agg(F.count("*").alias("row_count"), F.sum("o_custkey").cast("long").alias("customers"), F.lit(moved).alias("passes"))
+
+
+@query(f"SELECT v, count(*) AS n FROM {X.FEED} f WHERE seq > 50 GROUP BY v")
+def snapshot_current(spark, d):
+    """Of a table of snapshots, the last one is current."""
+    return verify.target_side(snapshot_append(spark, d), ["v"], only_current=True).select("v", F.col("row_count").cast("long").alias("n"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('decimal(6,2)', 0, '0.01'), ('decimal(6,2)', 1, '0.00'), ('decimal(6,2)', 2, '-0.01'), ('decimal(6,2)', 3, NULL),
+      ('string(6)', 0, 'text'), ('string(6)', 1, ''), ('string(6)', 2, 'xxxxxx'), ('string(6)', 3, NULL), ('boolean', 0, 'true'), ('boolean', 1, 'false'), ('boolean', 2, NULL),
+      ('int32', 0, '1'), ('int32', 1, '0'), ('int32', 2, '-1'), ('int32', 3, NULL), ('date', 0, '2024-02-29'), ('date', 1, NULL)) t(kind, place, value)"""
+)
+def sample_values(spark, d):
+    """What a transform of each type is tried with."""
+    found = None
+    for kind in ("decimal(6,2)", "string(6)", "boolean", "int32", "date"):
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(samples(kind))], T.StructType([T.StructField("place", T.IntegerType()), T.StructField("v", to_spark(kind).type)]))
+        rows = rows.select(F.lit(kind).alias("kind"), "place", F.col("v").cast("string").alias("value"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query("SELECT * FROM (VALUES ('id', 'bigint', 0), ('customer', 'bigint', NULL), ('status', 'varchar(1)', NULL)) t(name, kind, key_place)")
+def catalog_adapter(spark, d):
+    """A user's adapter hides a column and retypes another."""
+    rows = readers.reload(_orders(spark, d), ORDERS).rows.drop(OPERATION)
+    adapter = lambda found: [c | ({"type": "varchar(1)"} if c["name"] == "status" else {}) for c in found if c["name"] != "total"]
+    found = connectors.described(rows, ["id"], adapter)
+    return spark.createDataFrame([(c["name"], c["type"], c["key"]) for c in found], "name string, kind string, key_place int")

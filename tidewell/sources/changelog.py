@@ -133,6 +133,23 @@ def snapshot_log(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
 _RECORD = "action string, columns array<struct<name: string, value: string>>, identity array<struct<name: string, value: string>>"
 
 
+def decoded(value: Column, kind: str) -> Column:
+    """A value of a log's JSON, which is text, as its column's SQL type. Bytes are hex with or
+    without a \\x or 0x before it. Text that is no value of the type is an error."""
+    if kind != "binary":
+        return value.cast(kind)
+    digits = F.regexp_replace(value, r"^(\\x|0[xX])", "")
+    bad = F.raise_error(F.concat(F.lit("no bytes in hex: "), value)).cast("binary")
+    return F.when(digits.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(digits)).when(value.isNotNull(), bad)
+
+
+def with_commit_time(changes: DataFrame, commits: DataFrame, position: str, at: str) -> DataFrame:
+    """Changes with the time at which their position was committed, from a table of commits
+    (position, at; one row each); null where it isn't known."""
+    times = commits.select(F.col(quoted(position)), F.col(quoted(at)).alias(CHANGED_AT))
+    return changes.join(times, position, "left")
+
+
 def logical_records(log: DataFrame, text: str, columns: dict[str, str], keep: list[str]) -> DataFrame:
     """JSON log records (action I, U or D, columns and identity as name and value) as change
     rows. columns gives each column's SQL type. The identity fills keys; what the record's
@@ -146,5 +163,5 @@ def logical_records(log: DataFrame, text: str, columns: dict[str, str], keep: li
     for name, kind in columns.items():
         own = F.when(new.isNotNull(), F.element_at("c", name))
         has = new.isNotNull() & F.map_contains_key("c", F.lit(name))
-        each.append(F.when(has, own).otherwise(F.element_at("i", name)).cast(kind).alias(name))
+        each.append(decoded(F.when(has, own).otherwise(F.element_at("i", name)), kind).alias(name))
     return rows.select(*keep, *each, F.col("r.action").alias(OPERATION))

@@ -184,3 +184,8 @@ def deleted(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col(OPERATION) == DELETE)
 
 
+def to_dispatch(due: DataFrame, counters: DataFrame, database: tuple[str, ...] = ("connection", "database", "kind")) -> DataFrame:
+    """The due mappings whose database has changed: one counter for each database decides for
+    all of its mappings (column stored). As in unchanged(), what isn't known is dispatched."""
+    skipped = F.coalesce(F.col("stored") >= F.col("counter"), F.lit(False))
+    return due.join(counters.select(*database, "counter"), list(database), "left").filter(~skipped).select(*due.columns)

@@ -36,7 +36,7 @@ from .text import pieces, rows
 LENGTH, END, SALTS = 4096, 2, 64
 VOCABULARY = "word_bpe_49k.json"
 #: Encoded words that a Python worker keeps, and the longest of them in bytes.
-KEEP, WORD = 1 << 18, 64
+KEEP, WORD = 1 << 19, 64
 #: Between a letter and punctuation after it the vocabulary always starts a new token.
 _JOINT = re.compile(rb"(?<=[a-z])(?=[.,!%&*$#])")
 

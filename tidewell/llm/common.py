@@ -66,6 +66,13 @@ def release() -> None:
         trim(0)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what has been materialized, which it does when the
+    driver's references are collected; without this they stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, mixing, packing, pii, simhash, tokencounts, topk, toxicity, urlfilter
+from . import ann, langid, manifest, mixing, negatives, packing, passages, pii, simhash, tokencounts, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_toxicity": op2_toxicity,
@@ -61,8 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_urls": op10_urls,
+    "op11_manifest": op11_manifest,
+    "op12_passages": op12_passages,
+    "op13_negatives": op13_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": topk.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_manifest": manifest.SQL,
+    "op12_passages": passages.SQL,
+    "op13_negatives": negatives.SQL,
 }

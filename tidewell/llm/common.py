@@ -68,9 +68,11 @@ def release() -> None:
 
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of what has been materialized, which it does when the
-    driver's references are collected; without this they stay until the driver's heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver's references are collected; without this they stay until the driver's heap is full. The
+    first round clears what the second one's references hang on."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

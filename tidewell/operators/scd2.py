@@ -119,7 +119,8 @@ def apply(target: DataFrame, staged: DataFrame, keys: list[str], values: list[st
     the others are closed and opened. Without ordering there must be one row for each key."""
     if not has_ordering(staged):
         return close_and_open(target, staged, keys, values, now)
-    counted = staged.withColumn("__rows", F.count("*").over(Window.partitionBy(*keys)))
+    counts = staged.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    counted = staged.join(counts, keys).select(*staged.columns, "__rows")
     once = counted.filter("__rows = 1").drop("__rows")
     many = counted.filter("__rows > 1").drop("__rows")
     return many_versions(close_and_open(target, once, keys, values, now), many, keys, values)

@@ -3,7 +3,7 @@
 Parquet tables know no MERGE, so a writer is a function of two tables, whose result is published
 as the table's next version (see plans.store). Staged rows carry __operation; the same
 plan serves a batch and each micro-batch of a stream. Keys match by plain equality (a null key
-never does), values compare null-safely, and a scope that is null for a row doesn't hold it.
+never does, and none may be staged), values compare null-safely, and a scope that is null for a row doesn't hold it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.expressions import quoted, same_keys
 from ..model import CHANGED_AT, DELETE, INSERT, OPERATION, ORDERING, SNAPSHOT_AT, DuplicateKeys, GuardRefused
@@ -45,13 +44,19 @@ def one_per_key(staged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unique(staged: DataFrame, keys: list[str]) -> DataFrame:
-    """staged, in whose plan a key with two rows is an error. A count by the key, whose shuffle
-    and order the join by key that follows reuses; rows with a null key meet nothing and pass."""
-    some_null = reduce(lambda a, b: a | b, [F.col(quoted(k)).isNull() for k in keys])
-    said = F.concat(F.lit("several staged rows of one key: "), F.to_json(F.struct(*[F.col(quoted(k)) for k in keys])))
-    rows = F.count("*").over(Window.partitionBy(*[F.col(quoted(k)) for k in keys]))
-    passes = F.when((F.col("__rows") == 1) | some_null, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
-    return staged.withColumn("__rows", rows).filter(passes).drop("__rows")
+    """staged, in whose plan a key with two rows is an error, and so is a row with a null in its
+    key: nothing could find it again, and a repeated pass would add it a second time. One
+    aggregation by the key, which reduces a hot key before it moves; its shuffle and order
+    serve the join by key that follows."""
+    columns = [F.col(quoted(k)) for k in keys]
+    some_null = reduce(lambda a, b: a | b, [c.isNull() for c in columns])
+    key = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    row = F.any_value(F.struct(*[F.col(quoted(c)) for c in staged.columns])).alias("__row")
+    counted = staged.groupBy(*columns).agg(F.count("*").alias("__rows"), row)
+    said = F.when(some_null, F.concat(F.lit("a staged row has no key: "), key)).otherwise(F.concat(F.lit("several staged rows of one key: "), key))
+    passes = F.when((F.col("__rows") == 1) & ~some_null, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
+    # the key comes from the grouping, by which the rows are partitioned now
+    return counted.filter(passes).select(*[F.col(quoted(c)) if c in keys else F.col(f"__row.{quoted(c)}") for c in staged.columns])
 
 
 def upsert(target: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,7 +20,8 @@ from ..functions.transforms import Hook, run_hooks
 from ..model import Hold, Intent, PositionExpired, Read, Segment
 from ..operators.writers import in_scope
 from ..sources.readers import unchanged
-from .store import Positions, ReadState, VersionedTable
+from .buckets import KeyedTable
+from .store import Positions, ReadState, VersionedTable, key_path
 
 Reader = Callable[[Any, Intent], Read]
 Writer = Callable[[DataFrame, DataFrame], DataFrame]
@@ -32,12 +33,13 @@ class Job:
     sources that can tell; acknowledge lets the source forget what is applied. hooks: what runs
     at each point (see functions.transforms.POINTS). staging: a folder for the staged rows of a
     pass, which are then written once, however often the writer and its checks read them, and
-    can't change between the reads; without it they are read from the source each time."""
+    can't change between the reads; without it they are read from the source each time. A target in
+    buckets (plans.buckets) is rewritten where staged keys hash to; it needs a writer by key."""
 
     key: tuple[str, str, str]
     read: Reader
     apply: Writer
-    target: VersionedTable
+    target: VersionedTable | KeyedTable
     positions: Positions
     transform: Callable[[DataFrame], DataFrame] = staticmethod(lambda rows: rows)
     capture: Callable[[], Any] | None = None
@@ -50,7 +52,7 @@ def staged(job: Job, rows: DataFrame, number: int) -> DataFrame:
     """The rows of a pass, written once where the job has a place for them."""
     if job.staging is None:
         return rows
-    path = f"{job.staging.rstrip('/')}/{'-'.join(job.key)}/{number:012d}"
+    path = f"{job.staging.rstrip('/')}/{key_path(job.key)}/{number:012d}"
     rows.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
@@ -72,14 +74,17 @@ def run_pass(job: Job) -> ReadState:
         raise
     number = state.pass_id + 1
     current = job.target.current()
-    done = current.facts.get("pass", {}).get("/".join(job.key), 0) if current else 0
+    done = current.facts.get("pass", {}).get(key_path(job.key), 0) if current else 0
     if done < number:
-        passes = (current.facts.get("pass", {}) if current else {}) | {"/".join(job.key): number}
+        passes = (current.facts.get("pass", {}) if current else {}) | {key_path(job.key): number}
         rows = staged(job, job.transform(found.rows), number)
         run_hooks(job.hooks, "after_stage")
         run_hooks(job.hooks, "before_load")
-        new = job.apply(job.target.read(), rows)
-        job.target.publish(new, current.number if current else None, **{"pass": passes})
+        if isinstance(job.target, KeyedTable):
+            job.target.apply(rows, job.apply)
+        else:
+            new = job.apply(job.target.read(), rows)
+            job.target.publish(new, current.number if current else None, **{"pass": passes})
         run_hooks(job.hooks, "after_load")
     after = ReadState(Intent.CHANGES, Hold.NONE, found.position, None, number)
     job.positions.put(job.key, after)

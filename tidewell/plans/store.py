@@ -13,10 +13,14 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from ..functions.expressions import quoted
 from ..model import Hold, Intent
 from ..sources.readers import format_position, parse_position
 
@@ -54,7 +58,7 @@ class Folder:
         at = self._path(f"{self.path}/{name}")
         stream = self._fs.open(at)
         try:
-            return bytes(stream.readNBytes(1 << 24)).decode()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
@@ -62,13 +66,30 @@ class Folder:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
 
+def key_path(key: tuple[str, ...]) -> str:
+    """A key's parts as a path; different keys have different ones."""
+    return "/".join(k.replace("%", "%25").replace("/", "%2F") for k in key)
+
+
+def widened(old: StructType, new: StructType) -> StructType:
+    """The columns of both, those of old first; one that has another type in new is an error."""
+    known = {f.name: f for f in old}
+    for f in new:
+        if f.name in known and f.dataType != known[f.name].dataType:
+            raise ValueError(f"column {f.name} is {known[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return StructType([StructField(f.name, f.dataType) for f in [*old, *(f for f in new if f.name not in known)]])
+
+
 @dataclass(frozen=True)
 class Version:
-    """facts: what a publisher tells with it. files: the folders that hold its rows."""
+    """facts: what a publisher tells with it. files: the folders that hold its rows, each
+    partitioned by partition_by. schema: of all of them; what a folder lacks is null there."""
 
     number: int
     facts: dict[str, Any]
     files: tuple[str, ...] = ()
+    schema: StructType | None = None
+    partition_by: tuple[str, ...] = ()
 
 
 class VersionedTable:
@@ -84,27 +105,40 @@ class VersionedTable:
 
     def version(self, number: int) -> Version:
         raw = json.loads(self.folder.read(f"_published/{number:012d}"))
-        return Version(number, raw["facts"], tuple(raw["files"]))
+        schema = StructType.fromJson(raw["schema"]) if "schema" in raw else None
+        return Version(number, raw["facts"], tuple(raw["files"]), schema, tuple(raw.get("partition_by", ())))
 
     def read(self, number: int | None = None) -> DataFrame:
         """A version, pinned: what is published later doesn't change it."""
         version = self.current() if number is None else self.version(number)
         if version is None:
             raise FileNotFoundError(f"{self.folder.path} has no version")
-        return self.spark.read.parquet(*[f"{self.folder.path}/{f}" for f in version.files])
+        paths = [f"{self.folder.path}/{f}" for f in version.files]
+        reader = self.spark.read if version.schema is None else self.spark.read.schema(version.schema)
+        if not version.partition_by:
+            return reader.parquet(*paths)
+        # folders that are partitioned each have their own values: one scan for each
+        every = reduce(DataFrame.unionByName, [reader.parquet(p) for p in paths])
+        return every.select(*[quoted(c) for c in version.schema.names])
 
     def publish(self, state: DataFrame, expected: int | None = None, partition_by: tuple[str, ...] = (), **facts: Any) -> Version:
         """Writes a state as the next version and then makes it the current one. expected: the
         version that the state was made from; if another came meanwhile, this is an error."""
-        return self._publish(state, (), expected, partition_by, facts)
+        return self._publish(state, (), expected, partition_by, state.schema, facts)
 
     def append(self, rows: DataFrame, expected: int | None = None, **facts: Any) -> Version:
         """A version that adds rows to the current one, whose files it keeps: what a snapshot
-        appends, without rewriting the history."""
+        appends, without rewriting the history. The rows are partitioned as those are. Columns
+        that the table hasn't are null in its old rows, and the other way round; a column of another
+        type is an error."""
         now = self.current()
-        return self._publish(rows, now.files if now else (), expected, (), facts)
+        if now is None:
+            return self._publish(rows, (), expected, (), rows.schema, facts)
+        schema = widened(now.schema or self.read(now.number).schema, rows.schema)
+        missing = [c for c in now.partition_by if c not in rows.columns]
+        return self._publish(rows.withColumns({c: F.lit(None).cast(schema[c].dataType) for c in missing}), now.files, expected, now.partition_by, schema, facts)
 
-    def _publish(self, rows: DataFrame, kept: tuple[str, ...], expected: int | None, partition_by: tuple[str, ...], facts: dict[str, Any]) -> Version:
+    def _publish(self, rows: DataFrame, kept: tuple[str, ...], expected: int | None, partition_by: tuple[str, ...], schema: StructType, facts: dict[str, Any]) -> Version:
         now = self.current()
         last = now.number if now else 0
         if expected is not None and expected != last:
@@ -116,11 +150,11 @@ class VersionedTable:
         writer.parquet(f"{self.folder.path}/{name}")
         files = (*kept, name)
         try:
-            self.folder.create(f"_published/{number:012d}", json.dumps({"facts": facts, "files": files}))
+            self.folder.create(f"_published/{number:012d}", json.dumps({"facts": facts, "files": files, "schema": schema.jsonValue(), "partition_by": partition_by}))
         except Exception as error:
             self.folder.delete(name)
             raise RuntimeError(f"{self.folder.path} got a version {number} meanwhile") from error
-        return Version(number, facts, files)
+        return Version(number, facts, files, schema, partition_by)
 
     def retire(self, keep: int = 2) -> list[int]:
         """Deletes all but the last versions, and files that no other has; returns those deleted."""
@@ -153,26 +187,22 @@ class Positions:
     def __init__(self, spark: SparkSession, path: str):
         self.folder = Folder(spark, path)
 
-    @staticmethod
-    def _name(key: tuple[str, ...]) -> str:
-        return "/".join(k.replace("%", "%25").replace("/", "%2F") for k in key)
-
     def get(self, key: tuple[str, ...]) -> ReadState:
-        found = self.folder.names(self._name(key))
+        found = self.folder.names(key_path(key))
         if not found:
             return ReadState()
-        raw = json.loads(self.folder.read(f"{self._name(key)}/{found[-1]}"))
+        raw = json.loads(self.folder.read(f"{key_path(key)}/{found[-1]}"))
         return ReadState(
             Intent(raw["intent"]), Hold(raw["hold"]), parse_position(raw["position"]), parse_position(raw["pending"]), raw["pass_id"]
         )
 
     def put(self, key: tuple[str, ...], state: ReadState) -> None:
-        found = self.folder.names(self._name(key))
+        found = self.folder.names(key_path(key))
         number = int(found[-1]) + 1 if found else 1
         raw = asdict(state) | {
             "intent": state.intent.value, "hold": state.hold.value,
             "position": format_position(state.position), "pending": format_position(state.pending),
         }
-        self.folder.create(f"{self._name(key)}/{number:012d}", json.dumps(raw))
+        self.folder.create(f"{key_path(key)}/{number:012d}", json.dumps(raw))
         for old in found[:-1]:
-            self.folder.delete(f"{self._name(key)}/{old}")
+            self.folder.delete(f"{key_path(key)}/{old}")

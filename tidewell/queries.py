@@ -17,6 +17,7 @@ from .functions.project import auto_map, join_relationships, split_keys
 from .model import CHANGED_AT, OPERATION, ORDERING, Auto, ColumnMapping, Intent, ListOf, Mapping, PositionExpired, Range, Relationship
 from .operators import metrics, scd2, verify, writers
 from .plans import passes, provision, segments
+from .plans.buckets import BUCKET, KeyedTable
 from .plans.store import Positions, VersionedTable
 from .sources import changelog, connectors, readers
 from .streaming import continuous
@@ -538,6 +539,73 @@ def provision_alter(spark, d):
     return provision.alter(target, provision.alter_plan(target, wanted, {"status": "state"}))
 
 
+# tables in buckets: only what a pass touches is written
+
+
+def _buckets(spark: SparkSession, rows: DataFrame, keys: list[str], buckets: int = 32) -> KeyedTable:
+    """A table with these rows, loaded by a first pass."""
+    table = KeyedTable.create(spark, f"{_place(spark)}/table", rows.schema, keys, buckets)
+    table.apply(writers.with_operation(rows), lambda _, staged: staged.drop(OPERATION))
+    return table
+
+
+@query(ORACLE_SQL["upsert_merge"])
+def upsert_by_bucket(spark, d):
+    table = _buckets(spark, X.stale_orders(spark, d), ["o_orderkey"])
+    table.upsert(_staged_orders(spark, d))
+    return table.read()
+
+
+@query(
+    f"""SELECT 1 AS buckets_written, count(*) AS row_count, CAST(sum(CAST(round(CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM {X.STALE} m) THEN 1 ELSE o_totalprice END * 100) AS BIGINT)) AS BIGINT) AS cents
+      FROM {X.STALE} t"""
+)
+def upsert_one_bucket(spark, d):
+    """A pass of one key writes one of the buckets, and the table has all rows with the change."""
+    stale = X.stale_orders(spark, d)
+    table = _buckets(spark, stale, ["o_orderkey"])
+    names = lambda: {b: table.folder.names(b) for b in table.folder.names("") if b.startswith(BUCKET)}
+    before, last = names(), stale.agg(F.max("o_orderkey")).first()[0]
+    table.upsert(stale.filter(F.col("o_orderkey") == last).withColumn("o_totalprice", F.lit(1.0)).withColumn(OPERATION, F.lit("U")))
+    written = sum(before.get(b) != found for b, found in names().items())
+    return table.read().agg(F.lit(written).alias("buckets_written"), F.count("*").alias("row_count"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+
+
+@query(ORACLE_SQL["merge_reconcile_scope"])
+def merge_reconcile_by_bucket(spark, d):
+    scope = (F.col("o_orderkey") >= 500) & (F.col("o_orderkey") < 5000)
+    table = _buckets(spark, X.stale_orders(spark, d), ["o_orderkey"])
+    table.merge_reconcile(_staged_orders(spark, d).filter(scope), scope)
+    return table.read()
+
+
+@query(ORACLE_SQL["delete_insert_scope"])
+def delete_insert_by_bucket(spark, d):
+    lines = X.load(spark, d, "lineitem").select(*_LINES.split(", "))
+    table = _buckets(spark, lines, ["l_orderkey"])
+    scope = segments.target_scope(Range("l_shipdate", dt.datetime(1996, 1, 1), dt.datetime(1997, 1, 1)), Mapping(), lines)
+    op = F.when(F.col("l_linenumber") == 2, "D").otherwise("I")
+    table.delete_insert(lines.filter(scope).withColumn("l_quantity", F.col("l_quantity") + 1).withColumn(OPERATION, op), scope)
+    return table.read()
+
+
+@query(ORACLE_SQL["key_reconcile_delete"])
+def key_reconcile_by_bucket(spark, d):
+    table = _buckets(spark, X.stale_orders(spark, d), ["o_orderkey"])
+    keys = readers.keys_only(_orders(spark, d), Mapping(), ["o_orderkey"]).rows
+    table.reconcile_deletes(keys, F.col("o_totalprice") > 50000, writers.Guard("ratio", 0.5))
+    return table.read()
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_orderpriority FROM orders")
+def snapshot_schema_growth(spark, d):
+    """An append with a new column: it is null in the rows that were there before."""
+    table, orders = VersionedTable(spark, f"{_place(spark)}/table"), _orders(spark, d)
+    table.publish(orders.filter("o_orderkey % 2 = 1").select("o_orderkey", "o_custkey"))
+    table.append(orders.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_orderpriority", "o_custkey"))
+    return table.read()
+
+
 # slowly changing dimensions
 
 _VERSIONS = "version_key, k, v, valid_from, valid_to, is_current"
@@ -562,6 +630,15 @@ def scd2_close_open(spark, d):
     return scd2.apply(X.open_versions(spark, d), staged, ["k"], ["v"], NOW).select(*_VERSIONS.split(", "))
 
 
+@query(ORACLE_SQL["scd2_close_open"])
+def scd2_by_bucket(spark, d):
+    """The same pass over a dimension in buckets of its key."""
+    table = _buckets(spark, X.open_versions(spark, d), ["k"])
+    staged = writers.one_per_key(_second(spark, d), ["k"]).drop(ORDERING, CHANGED_AT)
+    table.apply(staged, lambda target, rows: scd2.apply(target, rows, ["k"], ["v"], NOW))
+    return table.read().select(*_VERSIONS.split(", "))
+
+
 @query(f"SELECT k, count(*) AS \"rows\" FROM {X.FEED} f WHERE seq > {X.HALF} GROUP BY k HAVING count(*) > 1")
 def scd2_duplicate_keys(spark, d):
     return writers.duplicate_keys(_second(spark, d), ["k"])

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.writers import one_per_key
+from ..plans.buckets import KeyedTable
 from ..plans.store import VersionedTable
 
 
@@ -34,6 +36,12 @@ def apply_batches(table: VersionedTable, apply: Callable[[DataFrame, DataFrame],
     return each
 
 
+def upsert_batches(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch: each batch is upserted into the buckets of its keys, the last row of
+    each key where changes carry their order. A batch that comes twice gives the same rows."""
+    return lambda batch, _: table.upsert(one_per_key(batch, table.keys))
+
+
 def start(changes: DataFrame, table: VersionedTable, apply: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, every: str | None = None, name: str = "stream") -> StreamingQuery:
     """Runs until stopped, a batch every so often; without a time, until what is there now
     is applied."""

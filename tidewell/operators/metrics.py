@@ -6,28 +6,19 @@ A run has run_id, task, mapping, status, enqueued_at, started_at, ended_at, rows
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import block_of
+
 SUCCEEDED, FAILED = "Succeeded", "Failed"
 #: What a run read and wrote; runs that don't tell have no such totals.
 ROWS = ("rows_read", "rows_written")
 #: An item in flight keeps others of its key out of the queue.
 QUEUE_KEY = ("task", "kind", "mapping", "segment")
-#: Ranges that a column of numbers is cut into where an order over all of them is needed.
-BLOCKS = 4096
-
-
-def block_of(df: DataFrame, column: str) -> Callable[[str], Column]:
-    """The number of the range that a value lies in, of BLOCKS equal ones over what the column
-    holds; values beyond are in the first or the last. One aggregation."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max((high - low) / BLOCKS, 1)
-    return lambda c: F.least(F.greatest(F.floor((F.col(c) - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(BLOCKS)).cast("long")
 
 
 def milliseconds(start: Column, end: Column) -> Column:
@@ -47,7 +38,7 @@ def totals(runs: DataFrame, *by: str) -> DataFrame:
 
 def percentiles(runs: DataFrame, value: str, *by: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Nearest-rank percentiles and the maximum of a number: the value of rank ceil(p * n). Values
-    are counted, then ranges of values; a running count over a group's ranges, BLOCKS at most,
+    are counted, then ranges of values; a running count over a group's ranges, which are by rank,
     tells the range that a rank lies in, and only that range's values are put in order."""
     block = block_of(runs, value)
     counts = runs.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
@@ -116,11 +107,42 @@ def doomed(runs: DataFrame, by: list[str], older_than: dt.datetime | None = None
     test = F.lit(False)
     if older_than is not None:
         test = test | (F.col("enqueued_at") < F.lit(older_than).cast("timestamp_ntz"))
-    if most is not None:
-        order = Window.partitionBy(*by).orderBy(F.desc("enqueued_at"), F.desc("run_id"))
-        ended = ended.withColumn("__rank", F.row_number().over(order))
-        test = test | (F.col("__rank") > most)
-    return ended.filter(test).drop("__rank")
+    if most is None:
+        return ended.filter(test)
+    last = kept_from(ended, by, most).alias("l")
+    met = ended.alias("r").join(last, reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by]), "left")
+    first = F.struct(F.col("r.enqueued_at"), F.col("r.run_id"))
+    beyond = F.coalesce(first < F.struct(F.col("l.__at"), F.col("l.__id")), F.lit(False))
+    return met.filter(test | beyond).select("r.*")
+
+
+def kept_from(ended: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The first run, in order of (enqueued_at, run_id), of each group's last most ones: __at and __id.
+    Groups with no more than that have none. Runs are counted by ranges of time; a running count
+    over a group's ranges, from the last, finds the range that the threshold lies in, and only that
+    range's runs are ranked. No group is ever sorted whole."""
+    if most < 1:
+        groups = ended.select(*by).distinct()
+        return groups.select(*by, F.lit("9999-12-31 00:00:00").cast("timestamp_ntz").alias("__at"), F.lit(2**63 - 1).alias("__id"))
+    moment = F.unix_micros(F.col("enqueued_at").cast("timestamp"))
+    timed = ended.select(*by, "enqueued_at", "run_id", moment.alias("__t"))
+    timed = timed.withColumn("__range", block_of(timed, "__t")("__t"))
+    ranges = timed.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*by).orderBy(F.desc("__range"))
+    later = (F.sum("__n").over(order) - F.col("__n")).alias("__later")
+    found = ranges.select(*by, "__range", later, "__n").filter((F.col("__later") < most) & (F.col("__later") + F.col("__n") >= most))
+    met = timed.alias("r").join(
+        F.broadcast(found).alias("f") if _few(found) else found.alias("f"),
+        reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*by, "__range"]]),
+    )
+    inside = Window.partitionBy(*[F.col(f"r.{c}") for c in by]).orderBy(F.desc("r.enqueued_at"), F.desc("r.run_id"))
+    ranked = met.withColumn("__rank", F.col("__later") + F.row_number().over(inside)).filter(F.col("__rank") == most)
+    return ranked.select(*[F.col(f"r.{c}").alias(c) for c in by], F.col("r.enqueued_at").alias("__at"), F.col("r.run_id").alias("__id"))
+
+
+def _few(groups: DataFrame, most: int = 100_000) -> bool:
+    """Whether a table of one row for each group is small enough to broadcast; counted."""
+    return groups.limit(most + 1).count() <= most
 
 
 def retained(runs: DataFrame, by: list[str], older_than: dt.datetime | None = None, most: int | None = None) -> DataFrame:
@@ -143,11 +165,11 @@ def feed(rows: DataFrame, key: str, since: int) -> DataFrame:
 def unread(notes: DataFrame, cursors: DataFrame) -> DataFrame:
     """For each user's cursor (user, seen), how many notes (id) are beyond it. Cursors with one
     value are answered together; a value's answer is what follows it in the order of ids:
-    within its block of ids, and in all later blocks, of which there are BLOCKS at most."""
-    block = block_of(notes, "id")
+    within its block of ids, and in all later blocks, of which there is a bounded number."""
     marks = notes.select("id", F.lit(1).alias("note")).unionByName(
         cursors.select(F.col("seen").alias("id"), F.lit(0).alias("note")).distinct()
-    ).withColumn("block", block("id"))
+    )
+    marks = marks.withColumn("block", block_of(marks, "id")("id"))
     after = Window.partitionBy("block").orderBy(F.desc("id")).rangeBetween(Window.unboundedPreceding, -1)
     here = marks.withColumn("here", F.coalesce(F.sum("note").over(after), F.lit(0))).filter("note = 0")
     blocks = marks.groupBy("block").agg(F.sum("note").alias("n"))
@@ -190,14 +212,62 @@ def exact_lag(positions: DataFrame) -> DataFrame:
     return positions.withColumn("lag_ms", milliseconds(F.col("applied_at"), F.col("source_at")))
 
 
+def reader_lag(positions: DataFrame, checks: DataFrame) -> DataFrame:
+    """One answer for each mapping of positions (id, grp, kind, applied, applied_at) from the checks of its
+    source's group (grp, value, at, source_at): id, supported, exact_ms, versions_behind,
+    estimated_ms, as_of.
+
+    kind "log": the time of the group's latest check that has one, less the time applied; without either
+    there is no figure. kind "version": the latest check's version less the applied one, and, where
+    both their commit times are known, that time; else an estimate, from the first check that had reached
+    the applied version to the latest one. Never less than 0. A mapping without a position, or whose
+    group was never checked, has no figures; other kinds aren't supported.
+
+    Each group's latest checks come from one aggregation, the crossings from one window over
+    (grp, range of values)."""
+    latest = checks.groupBy("grp").agg(
+        F.max_by(F.struct("value", "at", "source_at"), F.struct("at", "value")).alias("last"),
+        F.max_by("source_at", F.when(F.col("source_at").isNotNull(), F.struct("at", "value"))).alias("timed"),
+    )
+    met = positions.join(latest, "grp", "left")
+    log, version = F.col("kind") == "log", F.col("kind") == "version"
+    known, seen = F.col("applied").isNotNull(), F.col("last").isNotNull()
+    source_at = F.when(log, F.col("timed")).otherwise(F.when(F.col("last.value").isNotNull(), F.col("last.source_at")))
+    exact = F.when(known & (log | version) & F.col("applied_at").isNotNull() & source_at.isNotNull(), milliseconds(F.col("applied_at"), source_at))
+    behind = F.when(known & version & F.col("last.value").isNotNull(), F.greatest(F.col("last.value") - F.col("applied"), F.lit(0)))
+    as_of = F.when(known & log, F.col("timed")).when(known & version & seen, F.coalesce("last.source_at", "last.at"))
+    told = met.select("id", "grp", "applied", (log | version).alias("supported"), exact.alias("exact_ms"), behind.alias("versions_behind"), as_of.alias("as_of"), F.col("last.at").alias("last_at"), (version & known & exact.isNull() & seen).alias("asks"))
+    asked = told.filter("asks").select("id", "grp", F.col("applied").alias("value"))
+    crossed = crossings(checks.select("grp", "value", "at"), asked)
+    estimate = F.when(F.col("asks") & F.col("crossed_at").isNotNull(), milliseconds(F.col("crossed_at"), F.col("last_at")))
+    return told.join(crossed, "id", "left").select("id", "supported", "exact_ms", "versions_behind", estimate.alias("estimated_ms"), "as_of")
+
+
+def crossings(checks: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked (id, grp, value): crossed_at, the time of the group's earliest check at or beyond the
+    value. Values are put in ranges by rank: the earliest check of the later ranges comes from one row
+    for each (grp, range), that of the value's own range from a window inside it."""
+    none = F.lit(None)
+    block = block_of(checks.select("value").unionByName(asked.select("value")), "value")
+    marks = checks.filter("value IS NOT NULL").select("grp", "value", "at", none.cast("long").alias("id")).unionByName(
+        asked.select("grp", "value", none.cast("timestamp_ntz").alias("at"), F.col("id").cast("long"))
+    ).withColumn("b", block("value"))
+    order = Window.partitionBy("grp", "b").orderBy(F.desc("value")).rangeBetween(Window.unboundedPreceding, 0)
+    here = marks.withColumn("here", F.min("at").over(order)).filter("id IS NOT NULL")
+    heads = marks.groupBy("grp", "b").agg(F.min("at").alias("head"))
+    beyond = Window.partitionBy("grp").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    later = heads.select("grp", "b", F.min("head").over(beyond).alias("later"))
+    return here.join(later, ["grp", "b"]).select("id", F.least("here", "later").alias("crossed_at"))
+
+
 def first_crossing(checks: DataFrame, positions: DataFrame) -> DataFrame:
     """For each target value of positions (id, target): the earliest check (value, at) that
     reached it, null where the oldest check had reached it already or none did. Checks grow
     with time, so the first one is that of the least value at or beyond the target. Values
-    are put in BLOCKS ranges: the range's own answer is found in it, or else it is the first
+    are put in ranges by rank: the range's own answer is found in it, or else it is the first
     check of a later one. Two shuffles, no range join."""
     lowest = checks.agg(F.min_by("value", "at").alias("v")).first()["v"]
-    block = block_of(checks, "value")
+    block = block_of(checks.select("value").unionByName(positions.select(F.col("target").alias("value"))), "value")
     marks = checks.select(block("value").alias("b"), "value", F.col("at"), F.lit(None).cast("long").alias("id")).unionByName(
         positions.select(block("target").alias("b"), F.col("target").alias("value"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("id").cast("long").alias("id"))
     )

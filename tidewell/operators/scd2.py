@@ -7,6 +7,7 @@ on it gives the same table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import differs, quoted, same_keys
 from ..model import CHANGED_AT, DELETE, IS_CURRENT, OPERATION, ORDERING, VALID_FROM, VALID_TO, VERSION_KEY
+from .ranges import hot_keys, segmented
 from .writers import Guard, has_ordering, in_scope, unique
 
 
@@ -66,27 +68,48 @@ def boundaries(target: DataFrame, staged: DataFrame, keys: list[str], values: li
     """Where versions begin or end, for keys with several staged changes in order. The first
     change of a key opens a version unless the key has an open one with equal values; a later
     one does if the change before was a delete or any value differs. Deletes open nothing. Rows
-    that change nothing are no boundary. All windows share one shuffle by the key."""
-    order = Window.partitionBy(*keys).orderBy(ORDERING)
-    before = [F.lag(quoted(c)).over(order).alias(f"__before_{i}") for i, c in enumerate(values)]
-    numbered = staged.select(
-        "*", F.row_number().over(order).alias("__nth"), F.lag(OPERATION).over(order).alias("__operation_before"), *before
-    )
+    that change nothing are no boundary.
+
+    The windows run over a key's changes, and over segments of them where a key has more than may
+    stay in a task (ranges.hot_keys): what a segment needs of those before and after it is one row of each,
+    which is broadcast. All windows share one shuffle by key and segment."""
+    hot = hot_keys(staged, keys, ORDERING)
+    parts = [*keys, "__segment"]
+    dealt = staged.withColumn("__segment", F.lit(0).cast("long")) if hot is None else segmented(staged, keys, ORDERING, hot)
+    order = Window.partitionBy(*parts).orderBy(ORDERING)
+    row = F.struct(F.lit(True).alias("there"), F.col(OPERATION).alias("operation"), *[F.col(quoted(c)).alias(f"v{i}") for i, c in enumerate(values)])
+    numbered = dealt.select("*", F.lag(row).over(order).alias("__before"))
+    if hot is not None:
+        numbered = _carried(numbered, hot, keys, F.max_by(row, ORDERING), F.lag, "__before")
+    first = F.col("s.__before").isNull()
     open_now = target.filter(IS_CURRENT).select(*keys, *values)
-    met = numbered.alias("s").join(open_now.alias("t"), same_keys("s", "t", keys) & (F.col("s.__nth") == 1), "left")
+    met = numbered.alias("s").join(open_now.alias("t"), same_keys("s", "t", keys) & first, "left")
     known = F.col(f"t.{quoted(keys[0])}").isNotNull() & ~differs("s", "t", values)
     moved = reduce(
         lambda a, b: a | b,
-        [~F.col(f"s.{quoted(c)}").eqNullSafe(F.col(f"s.__before_{i}")) for i, c in enumerate(values)],
-        F.col("s.__operation_before") == DELETE,
+        [~F.col(f"s.{quoted(c)}").eqNullSafe(F.col(f"s.__before.v{i}")) for i, c in enumerate(values)],
+        F.col("s.__before.operation") == DELETE,
     )
-    opens = (F.col(f"s.{OPERATION}") != DELETE) & F.when(F.col("s.__nth") == 1, ~known).otherwise(moved)
+    opens = (F.col(f"s.{OPERATION}") != DELETE) & F.when(first, ~known).otherwise(moved)
     marked = met.select("s.*", F.coalesce(opens, F.lit(False)).alias("__opens"))
     edges = marked.filter(F.col("__opens") | (F.col(OPERATION) == DELETE))
-    return edges.select(
-        *keys, *values, OPERATION, ORDERING, CHANGED_AT, "__opens",
-        F.lead(CHANGED_AT).over(order).alias("__next"), F.row_number().over(order).alias("__edge"),
-    )
+    at = F.struct(F.col(CHANGED_AT).alias("at"))
+    edges = edges.select("*", F.lead(at).over(order).alias("__after"), F.lag(F.lit(True)).over(order).alias("__edges_before"))
+    if hot is not None:
+        edges = _carried(edges, hot, keys, F.min_by(at, ORDERING), F.lead, "__after")
+        edges = _carried(edges, hot, keys, F.bool_or(F.lit(True)), F.lag, "__edges_before")
+    number = F.when(F.col("__edges_before").isNull(), 1).otherwise(2)
+    return edges.select(*keys, *values, OPERATION, ORDERING, CHANGED_AT, "__opens", F.col("__after.at").alias("__next"), number.alias("__edge"))
+
+
+def _carried(rows: DataFrame, hot: DataFrame, keys: list[str], end: Column, side: Callable[[Column], Column], name: str) -> DataFrame:
+    """Fills a column that is null at a segment's end from the segment beside it that has rows: end is
+    what it gives, side is lag or lead. One row for each segment of a hot key."""
+    own = rows.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+    ends = own.groupBy(*keys, "__segment").agg(end.alias("__end"))
+    beside = ends.select(*keys, "__segment", side(F.col("__end")).over(Window.partitionBy(*keys).orderBy("__segment")).alias("__beside"))
+    met = rows.join(F.broadcast(beside), [*keys, "__segment"], "left")
+    return met.select(*[F.coalesce(name, "__beside").alias(name) if c == name else F.col(quoted(c)) for c in rows.columns])
 
 
 def many_versions(target: DataFrame, staged: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixtures as X
-from .functions import transforms
+from .functions import transforms, typed
 from .functions.expressions import operation_code, ordering
 from .functions.project import auto_map, join_relationships, split_keys
 from .model import CHANGED_AT, OPERATION, ORDERING, Auto, ColumnMapping, Intent, ListOf, Mapping, PositionExpired, Range, Relationship
@@ -20,7 +20,7 @@ from .plans import passes, provision, segments
 from .plans.buckets import BUCKET, KeyedTable
 from .plans.store import Positions, VersionedTable
 from .sources import changelog, connectors, readers
-from .streaming import continuous
+from .streaming import capped, continuous
 from .types import samples, to_spark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -383,12 +383,11 @@ def custom_segments(spark, d):
 
 @query(ORDERS_SQL)
 def segmented_reload_union(spark, d):
+    """All segments in one scan, each row marked with its own."""
     orders = _orders(spark, d)
-    parts = [readers.reload(orders, ORDERS, s).rows for s in segments.expand(Auto("o_orderkey", 5), orders, ORDERS)]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return _op(out)
+    found = segments.expand(Auto("o_orderkey", 5), orders, ORDERS)
+    rows = readers.reload_segments(orders, ORDERS, found).rows
+    return _op(rows.drop(readers.SEGMENT))
 
 
 # relationships
@@ -606,6 +605,53 @@ def snapshot_schema_growth(spark, d):
     return table.read()
 
 
+# typed staging
+
+_TARGET = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False), T.StructField("customer", T.ShortType()), T.StructField("half", T.IntegerType()),
+        T.StructField("day", T.DateType(), False), T.StructField("note", T.VarcharType(6)), T.StructField("whole", T.IntegerType()),
+    ]
+)
+_AS_TEXT = """(SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey * 100 AS customer, o_custkey / 2.0 AS half,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN '1996-13-45' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderpriority AS note,
+  CASE o_orderkey % 5 WHEN 0 THEN '12' WHEN 1 THEN '12.5' WHEN 2 THEN 'twelve' WHEN 3 THEN '99999999999' END AS whole FROM orders)"""
+
+
+def _as_text(spark: SparkSession, d: str) -> DataFrame:
+    """orders as they might come from a text file, some with values that the target can't hold."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    whole = F.when(key % 5 == 0, "12").when(key % 5 == 1, "12.5").when(key % 5 == 2, "twelve").when(key % 5 == 3, "99999999999")
+    return _orders(spark, d).select(
+        key.cast("string").alias("id"), (F.col("o_custkey") * 100).alias("customer"), (F.col("o_custkey") / 2).cast("double").alias("half"),
+        F.when(key % 17 == 0, None).when(key % 19 == 0, "1996-13-45").otherwise(day).alias("day"), F.col("o_orderpriority").alias("note"), whole.alias("whole"),
+    )
+
+
+_REASONS = """CASE WHEN customer > 32767 THEN 'not of the type' END AS customer, CASE WHEN day IS NULL THEN 'null' WHEN day = '1996-13-45' THEN 'not of the type' END AS day,
+  CASE WHEN length(note) > 6 THEN 'too long' END AS note, CASE WHEN floor(half) <> half THEN 'inexact' END AS half, CASE WHEN whole <> '12' THEN 'not of the type' END AS whole"""
+
+
+@query(
+    f"""SELECT "column", reason, count(*) AS "values" FROM (
+      SELECT unnest(['customer', 'day', 'note', 'half', 'whole']) AS "column", unnest([customer, day, note, half, whole]) AS reason FROM (SELECT {_REASONS} FROM {_AS_TEXT} t))
+      WHERE reason IS NOT NULL GROUP BY 1, 2"""
+)
+def staging_refusals(spark, d):
+    """How many values of each column the target can't hold, and why."""
+    return typed.refusals(_as_text(spark, d), _TARGET)
+
+
+@query(
+    f"""SELECT CAST(t.id AS BIGINT) AS id, CAST(t.customer AS SMALLINT) AS customer, CAST(t.half AS INTEGER) AS half, CAST(t.day AS DATE) AS day, t.note, CAST(t.whole AS INTEGER) AS whole
+      FROM {_AS_TEXT} t WHERE t.customer <= 32767 AND floor(t.half) = t.half AND t.day IS NOT NULL AND t.day <> '1996-13-45' AND length(t.note) <= 6 AND (t.whole IS NULL OR t.whole = '12')"""
+)
+def staging_typed(spark, d):
+    """The rows that fit, in the target's types; a strict pass over them finds nothing to refuse."""
+    good, _ = typed.split(_as_text(spark, d), _TARGET)
+    return typed.strict(good, _TARGET)
+
+
 # slowly changing dimensions
 
 _VERSIONS = "version_key, k, v, valid_from, valid_to, is_current"
@@ -808,6 +854,23 @@ def row_diff(spark, d):
     return verify.row_difference(_orders(spark, d), X.stale_orders(spark, d), ["o_orderkey"])
 
 
+@query(ORACLE_SQL["row_diff"])
+def row_diff_checksums(spark, d):
+    """The same differences from checksums of key ranges: rows meet only in ranges that differ."""
+    return verify.checked_difference(_orders(spark, d), X.stale_orders(spark, d), ["o_orderkey"])
+
+
+@query("SELECT count(*) AS ranges, 1 AS differing, count(*) AS in_them FROM (SELECT 1)")
+def row_diff_one_change(spark, d):
+    """One changed row of the whole table: one range differs, and one row is found in it."""
+    orders = _orders(spark, d)
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") == last, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    ranges = verify.differing_ranges(orders, changed, ["o_orderkey"])
+    found = verify.checked_difference(orders, changed, ["o_orderkey"]).filter("kind <> 'matched'")
+    return ranges.agg(F.count("*").alias("ranges"), F.lit(1).alias("differing")).join(F.broadcast(found.agg(F.count("*").alias("in_them"))))
+
+
 @query(f"SELECT o_orderkey AS gap_after, nxt AS gap_before FROM (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM {X.STALE} t) WHERE nxt > o_orderkey + 1")
 def gap_finder(spark, d):
     return verify.gaps(X.stale_orders(spark, d), "o_orderkey")
@@ -969,6 +1032,39 @@ def lag_first_crossing(spark, d):
     return metrics.first_crossing(events.select(F.col("event_id").alias("value"), F.col("ts").alias("at")), positions)
 
 
+_CHECKS = "(SELECT event_id % 5 AS grp, event_id AS value, ts AS seen_at, CASE WHEN event_id % 3 <> 0 THEN ts - INTERVAL 1 MINUTE END AS source_at FROM events)"
+_APPLIED = """(SELECT u AS id, u % 6 AS grp, CASE u % 4 WHEN 0 THEN 'log' WHEN 3 THEN 'full' ELSE 'version' END AS kind, CASE WHEN u % 13 <> 0 THEN u * 37 END AS applied,
+  CASE WHEN u % 5 <> 0 THEN first + to_minutes(u) END AS applied_at FROM (SELECT DISTINCT user_id AS u FROM events), (SELECT min(ts) AS first FROM events))"""
+_MS = "greatest((epoch_us({1}) - epoch_us({0})) // 1000, 0)"
+
+
+@query(
+    f"""WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY seen_at DESC, value DESC) AS r FROM {_CHECKS} c) WHERE r = 1),
+      timed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY seen_at DESC, value DESC) AS r FROM {_CHECKS} c WHERE source_at IS NOT NULL) WHERE r = 1),
+      met AS (SELECT p.*, l.value AS version, l.seen_at AS last_at, l.source_at AS last_source, t.source_at AS timed_at, kind <> 'full' AS supported,
+          CASE WHEN applied IS NULL OR kind = 'full' THEN NULL WHEN kind = 'log' THEN t.source_at ELSE l.source_at END AS source_time
+        FROM {_APPLIED} p LEFT JOIN last l ON l.grp = p.grp LEFT JOIN timed t ON t.grp = p.grp)
+      SELECT id, supported, CASE WHEN source_time IS NOT NULL AND applied_at IS NOT NULL THEN {_MS.format('applied_at', 'source_time')} END AS exact_ms,
+        CASE WHEN kind = 'version' AND applied IS NOT NULL AND version IS NOT NULL THEN greatest(version - applied, 0) END AS versions_behind,
+        CASE WHEN kind = 'version' AND applied IS NOT NULL AND (source_time IS NULL OR applied_at IS NULL) AND last_at IS NOT NULL AND crossed_at IS NOT NULL
+          THEN {_MS.format('crossed_at', 'last_at')} END AS estimated_ms,
+        CASE WHEN applied IS NULL OR kind = 'full' THEN NULL WHEN kind = 'log' THEN timed_at ELSE coalesce(last_source, last_at) END AS as_of
+      FROM (SELECT *, (SELECT min(c.seen_at) FROM {_CHECKS} c WHERE c.grp = met.grp AND c.value >= met.applied) AS crossed_at FROM met)"""
+)
+def reader_lag(spark, d):
+    """Exact, in versions, estimated or unknown: one answer for each mapping."""
+    events = X.load(spark, d, "events")
+    at = F.when(F.col("event_id") % 3 != 0, F.col("ts") - F.expr("INTERVAL 1 MINUTE"))
+    checks = events.select((F.col("event_id") % 5).alias("grp"), F.col("event_id").alias("value"), F.col("ts").alias("at"), at.alias("source_at"))
+    first, u = events.agg(F.min("ts").alias("first")), F.col("u")
+    kind = F.when(u % 4 == 0, "log").when(u % 4 == 3, "full").otherwise("version")
+    positions = events.select(F.col("user_id").alias("u")).distinct().join(F.broadcast(first)).select(
+        u.alias("id"), (u % 6).alias("grp"), kind.alias("kind"), F.when(u % 13 != 0, u * 37).alias("applied"),
+        F.when(u % 5 != 0, F.expr("timestampadd(MINUTE, u, first)")).alias("applied_at"),
+    )
+    return metrics.reader_lag(positions, checks)
+
+
 # state and streams: the final state of a run against the batch result
 
 
@@ -1130,6 +1226,27 @@ def connector_round_trip(spark, d):
     return rows
 
 
+@query(ORDERS_SQL)
+def jdbc_segments(spark, d):
+    """orders written to a database and read back by automatic ranges: one scan, a task for each."""
+    url, orders = connectors.derby(spark, _place(spark)), _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    connectors.write(orders, "jdbc", url, dbtable="orders", driver=connectors.DERBY, createTableColumnTypes="o_orderstatus VARCHAR(8)", batchsize="5000")
+    source = connectors.Source("jdbc", url, options={"driver": connectors.DERBY})
+    found = segments.expand(Auto("o_orderkey", 6), connectors.jdbc_table(spark, source, "orders"))
+    back = connectors.jdbc_segments(spark, source, "orders", found)
+    return _op(readers.reload(back, ORDERS).rows)
+
+
+@query("SELECT o_orderstatus, count(*) AS row_count, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders WHERE o_totalprice > 50000 GROUP BY o_orderstatus")
+def jdbc_pushdown(spark, d):
+    """The filter, the columns and the aggregation are the database's work."""
+    url, orders = connectors.derby(spark, _place(spark)), _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    connectors.write(orders, "jdbc", url, dbtable="orders", driver=connectors.DERBY, createTableColumnTypes="o_orderstatus VARCHAR(8)", batchsize="5000")
+    source = connectors.Source("jdbc", url, options={"driver": connectors.DERBY})
+    rows = connectors.jdbc_table(spark, source, "orders").filter("o_totalprice > 50000")
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("row_count"), F.sum(F.col("o_custkey").cast("long")).alias("customers"))
+
+
 @query(f"SELECT seq, k, op, (SELECT max(ts) FROM events e WHERE e.event_id // 50 = f.seq // 50) AS committed_at FROM {X.FEED} f")
 def lsn_commit_time(spark, d):
     """Changes of a log that knows transactions only get their transaction's time."""
@@ -1220,18 +1337,36 @@ def slot_advance(spark, d):
 
 @query("SELECT count(*) AS row_count, CAST(sum(o_custkey) AS BIGINT) AS customers, 3 AS passes FROM orders")
 def continuous_idle_exit(spark, d):
-    """Passes at a frequency, which end when nothing came for the idle time."""
-    place, orders, now = _place(spark), _orders(spark, d).select("o_orderkey", "o_custkey"), [0.0]
-    table, positions = VersionedTable(spark, f"{place}/table"), Positions(spark, f"{place}/positions")
-    table.publish(orders.limit(0))
-    most = orders.count() // 3 + 1
-    read = lambda position, intent: readers.watermark(orders, Mapping(), "o_orderkey", position, most, intent=intent)
-    job = passes.Job(("main", "continuous", "orders"), read, lambda t, s: writers.upsert(t, s, ["o_orderkey"]), table, positions)
-    wait = lambda seconds: now.append(now.pop() + seconds)
-    moved = passes.run_continuously(job, 30, 60, wait, lambda: now[0])
+    """A stream on Spark's own trigger, which a listener ends when nothing came for a while."""
+    place, orders = _place(spark), _orders(spark, d).select("o_orderkey", "o_custkey")
+    table = KeyedTable.create(spark, f"{place}/table", orders.schema, ["o_orderkey"], 8)
+    apply = lambda rows, _: table.upsert(writers.with_operation(rows.select("o_orderkey", "o_custkey")))
+    stream = capped.writer(spark, f"{d}/orders.parquet", "o_orderkey", orders.count() // 3 + 1, apply, f"{place}/checkpoint")
+    moved = capped.run_until_idle(spark, stream, 1.0)
     return table.read().agg(F.count("*").alias("row_count"), F.sum("o_custkey").cast("long").alias("customers"), F.lit(moved).alias("passes"))
 
 
+@query(
+    """WITH RECURSIVE days AS (SELECT o_orderdate AS at, sum(count(*)) OVER (ORDER BY o_orderdate) AS upto FROM orders GROUP BY o_orderdate),
+      total AS (SELECT count(*) AS n, count(*) // 5 AS most FROM orders),
+      slices AS (
+        SELECT CAST(-1 AS BIGINT) AS batch, CAST(0 AS HUGEINT) AS upto
+        UNION ALL
+        SELECT s.batch + 1, coalesce((SELECT min(d.upto) FROM days d WHERE d.upto >= s.upto + (SELECT most FROM total)), (SELECT n FROM total))
+        FROM slices s WHERE s.upto < (SELECT n FROM total))
+      SELECT s.batch, count(*) AS row_count, min(o_orderdate) AS low, max(o_orderdate) AS high, CAST(sum(o_custkey) AS BIGINT) AS customers
+      FROM slices s JOIN slices p ON p.batch = s.batch - 1 JOIN days d ON d.upto > p.upto AND d.upto <= s.upto JOIN orders ON o_orderdate = d.at GROUP BY s.batch"""
+)
+def stream_row_cap(spark, d):
+    """orders as a stream whose batches hold a fifth of the rows each, and those of the same day."""
+    place, orders = _place(spark), _orders(spark, d)
+    keep = lambda rows, n: rows.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{place}/batches/n={n}")
+    stream = capped.writer(spark, f"{d}/orders.parquet", "o_orderdate", max(orders.count() // 5, 1), keep, f"{place}/checkpoint")
+    capped.run_until_idle(spark, stream, 1.0)
+    found = spark.read.parquet(f"{place}/batches").groupBy("batch")
+    return found.agg(F.count("*").alias("row_count"), F.min("o_orderdate").alias("low"), F.max("o_orderdate").alias("high"), F.sum("o_custkey").cast("long").alias("customers"))
+
+
 @query(f"SELECT v, count(*) AS n FROM {X.FEED} f WHERE seq > 50 GROUP BY v")
 def snapshot_current(spark, d):
     """Of a table of snapshots, the last one is current."""

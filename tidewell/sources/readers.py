@@ -10,6 +10,7 @@ import datetime as dt
 import json
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,9 @@ from ..functions.project import expression, find, join_relationships, natural_ke
 from ..model import DELETE, INSERT, OPERATION, ColumnMapping, Full, Intent, Mapping, Read, Segment
 from ..plans.segments import source_scope
 
+#: The segment that a row of a segmented reload belongs to.
+SEGMENT = "__segment"
+
 
 def joined_source(source: DataFrame, mapping: Mapping, more: list[str] | None = None) -> DataFrame:
     joined = join_relationships(source, used_relationships(mapping, more))
@@ -33,6 +37,22 @@ def reload(source: DataFrame, mapping: Mapping = Mapping(), segment: Segment = F
     return Read(rows.withColumn(OPERATION, F.lit(INSERT)), position)
 
 
+def reload_segments(source: DataFrame, mapping: Mapping, parts: list[Segment], position: Any = None) -> Read:
+    """The rows of several segments in one scan, each with the description of its segment (the first
+    that holds it) in SEGMENT. What is in none of them isn't read: their union reaches the scan."""
+    joined = joined_source(source, mapping)
+    scopes = [F.lit(True) if s is None else s for s in (source_scope(p, mapping, joined, source) for p in parts)]
+    if not scopes:
+        return Read(project(joined.limit(0), mapping).withColumns({OPERATION: F.lit(INSERT), SEGMENT: F.lit("")}), position)
+    label = F.lit(None).cast("string")
+    for scope, part in reversed(list(zip(scopes, parts))):
+        label = F.when(scope, part.describe()).otherwise(label)
+    rows = joined.filter(reduce(lambda a, b: a | b, scopes)).withColumn(SEGMENT, label)
+    columns = mapping.columns or tuple(ColumnMapping(c) for c in source.columns)
+    kept = Mapping((*columns, ColumnMapping(source.columns[0], SEGMENT, f"`{SEGMENT}`")), mapping.keys, mapping.relationships)
+    return Read(project(rows, kept).withColumn(OPERATION, F.lit(INSERT)), position)
+
+
 def query(spark: SparkSession, sql: str, mapping: Mapping = Mapping(), segment: Segment = Full(), wrap: bool = True) -> Read:
     """A user's SQL as the source. It runs as it is where nothing has to be wrapped round it
     (and then no projection or filter applies); else it is the base of a reload."""

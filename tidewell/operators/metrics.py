@@ -56,6 +56,14 @@ def percentiles(runs: DataFrame, value: str, *by: str, shares: tuple[float, ...]
     return most.join(found, list(by), "left") if by else most.crossJoin(found)  # one row each
 
 
+def overview(runs: DataFrame, value: str, *by: str) -> DataFrame:
+    """totals, percentiles of a number, last completion and last enqueueing of each group."""
+    found = totals(runs, *by)
+    for more in (percentiles(runs, value, *by), last_completed(runs, *by), latest_enqueued(runs, *by)):
+        found = found.join(more, list(by), "left")
+    return found
+
+
 def histogram(runs: DataFrame, at: str, start: dt.datetime, end: dt.datetime, buckets: int) -> DataFrame:
     """Runs in so many equal spans from start to end (1 to 200), empty ones too."""
     n = min(max(buckets, 1), 200)
@@ -288,6 +296,11 @@ def due(cron_next: dt.datetime | None, last: dt.datetime | None, now: dt.datetim
     return last is None or (cron_next is not None and cron_next <= now)
 
 
+def is_due(cron_next: Column, last: Column, now: dt.datetime) -> Column:
+    """due() for each row."""
+    return last.isNull() | F.coalesce(cron_next <= F.lit(now).cast("timestamp_ntz"), F.lit(False))
+
+
 def reconcile_due(rows_since: int, last: dt.datetime | None, now: dt.datetime, trigger: str, cadence: dt.timedelta) -> bool:
     """Whether changes ask for a reconciliation: any rows since the last, but not too often."""
     if trigger == "none" or rows_since <= 0:

@@ -99,6 +99,13 @@ def compare(source: DataFrame, target: DataFrame, groups: list[str], measures: l
     return met.select(*keys, *each, status.alias("status"))
 
 
+def check(source: DataFrame, mapping: Mapping, target: DataFrame, groups: list[str], measures: list[str] | None = None, threshold: float = 0.0, filter: str | None = None, only_current: bool = False) -> DataFrame:
+    """A mapping's target against its source: row counts, or sums of measures, for each group. The
+    filter holds on both sides, by the names that each has."""
+    sides = source_side(source, mapping, groups, measures, filter), target_side(target, groups, measures, filter, only_current)
+    return compare(*sides, groups, measures or [ROWS], threshold)
+
+
 def summary(result: DataFrame) -> DataFrame:
     return result.agg(F.count("*").alias("groups"), F.count_if(F.col("status") != MATCH).alias("differing"))
 

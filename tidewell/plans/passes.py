@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..functions.transforms import Hook, run_hooks
 from ..model import Hold, Intent, PositionExpired, Read, Segment
-from ..operators.writers import in_scope
+from ..operators.writers import Guard, in_scope, reconcile_deletes
 from ..sources.readers import unchanged
 from .buckets import KeyedTable
 from .store import Positions, ReadState, VersionedTable, key_path
@@ -122,12 +122,12 @@ def run_continuously(job: Job, frequency: float = 60, idle_after: float = 60, wa
         wait(frequency)
 
 
-def bulk_load(job: Job, segments: list[Segment], load: Callable[[Segment], DataFrame], scope: Callable[[Segment], Column | None]) -> ReadState:
+def bulk_load(job: Job, segments: list[Segment], load: Callable[[list[Segment]], DataFrame], scope: Callable[[Segment], Column | None]) -> ReadState:
     """Loads a table segment by segment and hands over to incremental passes: the position is
     captured before the first read, kept as pending while the mapping is held, and becomes the
     live one when every segment is in. scope gives a segment's condition on the target, None for
-    all of it; what lies in none of them stays. One filter, one union and one write, so that all
-    segments run as tasks of the same job; none is visible before all are."""
+    all of it; what lies in none of them stays. load reads all segments in one scan (readers.reload_segments),
+    and one write publishes them: none is visible before all are."""
     pending = job.capture() if job.capture else None
     state = job.positions.get(job.key)
     job.positions.put(job.key, replace(state, hold=Hold.LOADING, pending=pending))
@@ -138,14 +138,31 @@ def bulk_load(job: Job, segments: list[Segment], load: Callable[[Segment], DataF
         table = table.limit(0)
     elif scopes:
         table = table.filter(~reduce(lambda a, b: a | b, [in_scope(s) for s in scopes]))
-    for segment in segments:
-        table = table.unionByName(load(segment).select(*[c for c in table.columns]))
+    table = table.unionByName(load(segments).select(*table.columns))
     job.target.publish(table, current.number if current else None, **(current.facts if current else {}))
     loaded = ReadState(Intent.CHANGES, Hold.NONE, pending, None, state.pass_id)
     job.positions.put(job.key, loaded)
     return loaded
 
 
+def status(job: Job) -> dict[str, Any]:
+    """Where a job stands: its read state and the version of its target."""
+    state, current = job.positions.get(job.key), job.target.current()
+    told = {"intent": state.intent, "hold": state.hold, "position": state.position, "pending": state.pending, "passes": state.pass_id}
+    return told | {"version": current.number if current else None}
+
+
+def reconcile(job: Job, keys: DataFrame, names: list[str], scope: Column | None = None, guard: Guard = Guard("none")) -> None:
+    """Deletes the target's rows in scope whose key the source no longer has, unless the guard refuses; the
+    position stays. Only the affected buckets of a table in buckets are written."""
+    if isinstance(job.target, KeyedTable):
+        job.target.reconcile_deletes(keys, scope, guard)
+        return
+    current = job.target.current()
+    kept = reconcile_deletes(job.target.read(), keys, names, scope, guard)
+    job.target.publish(kept, current.number if current else None, **(current.facts if current else {}))
+
+
 def pause(job: Job) -> None:
     job.positions.put(job.key, replace(job.positions.get(job.key), hold=Hold.PAUSED))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from . import fixtures as X
 from .functions import transforms, typed
 from .functions.expressions import operation_code, ordering
 from .functions.project import auto_map, join_relationships, split_keys
-from .model import CHANGED_AT, OPERATION, ORDERING, Auto, ColumnMapping, Intent, ListOf, Mapping, PositionExpired, Range, Relationship
+from .model import CHANGED_AT, OPERATION, ORDERING, Auto, ColumnMapping, Intent, ListOf, Mapping, Range, Relationship
 from .operators import metrics, scd2, verify, writers
 from .plans import passes, provision, segments
 from .plans.buckets import BUCKET, KeyedTable
@@ -76,9 +77,11 @@ def batch_reload_full(spark, d):
     return _op(readers.reload(_orders(spark, d), ORDERS).rows)
 
 
-@query(f"{ORDERS_SQL} WHERE o_orderkey >= 100 AND o_orderkey < 900")
+@query(f"{ORDERS_SQL} WHERE o_orderkey >= (SELECT max(o_orderkey) // 4 FROM orders) AND o_orderkey < (SELECT max(o_orderkey) // 4 * 3 FROM orders)")
 def batch_reload_range(spark, d):
-    return _op(readers.reload(_orders(spark, d), ORDERS, Range("o_orderkey", 100, 900)).rows)
+    orders = _orders(spark, d)
+    quarter = orders.agg(F.max("o_orderkey")).first()[0] // 4
+    return _op(readers.reload(orders, ORDERS, Range("o_orderkey", quarter, 3 * quarter)).rows)
 
 
 @query(f"{ORDERS_SQL} WHERE lower(o_orderstatus) IN ('f', 'p')")
@@ -116,9 +119,11 @@ def query_source_verbatim(spark, d):
     return _op(readers.query(spark, "SELECT o_orderpriority, count(*) AS n FROM q_orders GROUP BY o_orderpriority", wrap=False).rows)
 
 
-@query("SELECT o_orderkey AS id, 'I' AS op FROM orders WHERE o_orderkey >= 50 AND o_orderkey < 1000")
+@query("SELECT o_orderkey AS id, 'I' AS op FROM orders WHERE o_orderkey >= 50 AND o_orderkey < (SELECT max(o_orderkey) // 4 * 3 FROM orders)")
 def key_read(spark, d):
-    return _op(readers.keys_only(_orders(spark, d), ORDERS, ["o_orderkey"], Range("o_orderkey", 50, 1000)).rows)
+    orders = _orders(spark, d)
+    quarter = orders.agg(F.max("o_orderkey")).first()[0] // 4
+    return _op(readers.keys_only(orders, ORDERS, ["o_orderkey"], Range("o_orderkey", 50, 3 * quarter)).rows)
 
 
 @query("SELECT event_id, CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op FROM events WHERE event_id > 40")
@@ -207,10 +212,11 @@ def base_missing_skipped(spark, d):
 
 @query(
     f"""SELECT k, v, op, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r
-      FROM {X.FEED_NULLS} f WHERE seq > 200 AND seq <= 700) WHERE r = 1"""
+      FROM {X.FEED_NULLS} f WHERE seq > {X.HALF} // 3 AND seq <= {X.HALF}) WHERE r = 1"""
 )
 def captured_net_changes(spark, d):
-    rows = changelog.captured_net(X.feed(spark, d, nulls=True), ["k"], ["v"], "seq", "op", 200, 700).rows
+    last = X.half(spark, d)
+    rows = changelog.captured_net(X.feed(spark, d, nulls=True), ["k"], ["v"], "seq", "op", last // 3, last).rows
     return _op(rows).withColumnRenamed(changelog.SEQUENCE, "seq")
 
 
@@ -238,11 +244,12 @@ def operation_decode(spark, d):
 
 @query(
     f"""SELECT l.k, op, seq, CASE WHEN op <> 'D' THEN c_acctbal END AS c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r
-      FROM {X.FEED} f WHERE seq > 300 AND seq <= 800) l LEFT JOIN customer ON c_custkey = k WHERE r = 1 AND (op = 'D' OR c_custkey IS NOT NULL)"""
+      FROM {X.FEED} f WHERE seq > {X.HALF} // 3 AND seq <= {X.HALF}) l LEFT JOIN customer ON c_custkey = k WHERE r = 1 AND (op = 'D' OR c_custkey IS NOT NULL)"""
 )
 def trigger_audit_window(spark, d):
     base = X.load(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal")
-    rows = changelog.net_changes(X.feed(spark, d), base, ["k"], "seq", "op", 300, 800).rows
+    last = X.half(spark, d)
+    rows = changelog.net_changes(X.feed(spark, d), base, ["k"], "seq", "op", last // 3, last).rows
     return _op(rows).withColumnRenamed(changelog.SEQUENCE, "seq").orderBy("seq")
 
 
@@ -258,9 +265,9 @@ def log_prune(spark, d):
     return changelog.prune(X.feed(spark, d), "seq", 250).select("seq", "k", "op")
 
 
-@query(f"SELECT k, op, seq FROM {X.FEED} f WHERE seq > 10 AND seq <= 400")
+@query(f"SELECT k, op, seq FROM {X.FEED} f WHERE seq > 10 AND seq <= {X.HALF}")
 def flashback_versions(spark, d):
-    return _op(changelog.versions(X.feed(spark, d), ["k", "seq"], "seq", "op", 10, 400).rows)
+    return _op(changelog.versions(X.feed(spark, d), ["k", "seq"], "seq", "op", 10, X.half(spark, d)).rows)
 
 
 @query(
@@ -518,14 +525,17 @@ def rows_by_operation(spark, d):
 
 
 @query(
-    """SELECT CAST(i AS INTEGER) AS place, name, kind, is_key FROM (VALUES (0, 'id', 'bigint', true), (1, 'customer', 'bigint', false),
+    """SELECT CAST(i AS INTEGER) AS place, name, kind, is_key, (SELECT count(*) FROM orders) AS filled FROM (VALUES (0, 'id', 'bigint', true), (1, 'customer', 'bigint', false),
       (2, 'status', 'string', false), (3, 'total', 'decimal(12,2)', false)) t(i, name, kind, is_key)"""
 )
 def provision_create(spark, d):
+    """A created table takes all rows in its own types."""
     plan = provision.create_plan(_orders(spark, d), ORDERS, {"total": "decimal(12,2)"})
     table = provision.create(spark, plan)
-    rows = [(i, f.name, f.dataType.simpleString(), f.name in plan.keys) for i, f in enumerate(table.schema)]
-    return spark.createDataFrame(rows, "place int, name string, kind string, is_key boolean")
+    rows = readers.reload(_orders(spark, d), ORDERS).rows.drop(OPERATION)
+    loaded = table.unionByName(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]))
+    told = [(f.name, i, f.dataType.simpleString(), f.name in plan.keys) for i, f in enumerate(table.schema)]
+    return _filled(loaded, told, "name string, place int, kind string, is_key boolean")
 
 
 @query(
@@ -817,12 +827,12 @@ def verify_status_full(spark, d):
     return verify.compare(source, target, ["grp"], ["cents"])
 
 
-@query(_compared("o_orderpriority", {"cents": f"max({_SIDES})"}, "s.cents <> t.cents", "o_orderkey < (SELECT max(o_orderkey) // 2 FROM orders)"))
+@query(_compared("o_orderpriority", {"cents": f"max({_SIDES})"}, "s.cents <> t.cents"))
 def verify_sql_check(spark, d):
     _orders(spark, d).createOrReplaceTempView("v_source")
     X.stale_orders(spark, d).createOrReplaceTempView("v_target")
     text = "SELECT o_orderpriority AS grp, max(cast(round(o_totalprice * 100) as bigint)) AS cents FROM {} GROUP BY 1"
-    target = text.format("v_target WHERE o_orderkey < (SELECT max(o_orderkey) div 2 FROM v_source)")
+    target = text.format("v_target")
     target = verify.scripted_side(lambda: spark.sql(target), ["grp"], ["cents"])
     return verify.compare(verify.sql_side(spark, text.format("v_source"), ["grp"], ["cents"]), target, ["grp"], ["cents"])
 
@@ -998,11 +1008,11 @@ def queue_put(spark, d):
 
 
 @query(
-    f"""SELECT mapping, coalesce(segment, '') AS part, min(item_id) AS item_id FROM {X.QUEUE} q WHERE mapping % 3 = 0 GROUP BY 1, 2"""
+    f"""SELECT mapping, coalesce(segment, '') AS part, min(item_id) AS item_id FROM {X.QUEUE} q GROUP BY 1, 2"""
 )
 def queue_put_conflicts(spark, d):
     """An empty queue takes one item of each mapping and segment, however many come."""
-    queue = X.queue(spark, d).filter("mapping % 3 = 0")
+    queue = X.queue(spark, d)
     found = metrics.put(metrics.put(queue.limit(0), queue).withColumn("state", F.lit("Running")), queue)
     return found.select("mapping", F.coalesce("segment", F.lit("")).alias("part"), "item_id")
 
@@ -1128,9 +1138,7 @@ def position_handoff(spark, d):
     )
     parts = segments.expand(Auto("o_orderkey", 3), early, ORDERS)
     target = table.read()
-    passes.bulk_load(job, parts, lambda s: readers.reload(early, ORDERS, s).rows, lambda s: segments.target_scope(s, ORDERS, target))
-    from dataclasses import replace
-
+    passes.bulk_load(job, parts, lambda parts: readers.reload_segments(early, ORDERS, parts).rows, lambda s: segments.target_scope(s, ORDERS, target))
     passes.run_pass(replace(job, capture=None))
     return table.read()
 
@@ -1144,17 +1152,11 @@ def joined_lookup(spark, d):
 # smaller pieces
 
 
-@query("SELECT reached, reached < 20 AS expired FROM (VALUES (10), (19), (20), (21)) t(reached)")
+@query(f"SELECT k, max(seq) AS reached, max(seq) < {X.HALF} AS expired FROM {X.FEED} f GROUP BY k")
 def position_expiry(spark, d):
-    """A log pruned up to 20 refuses positions before it."""
-    log, found = changelog.prune(X.feed(spark, d), "seq", 20), []
-    for at in (10, 19, 20, 21):
-        try:
-            changelog.captured_net(log, ["k"], ["v"], "seq", "op", at, reaches=20)
-            found.append((at, False))
-        except PositionExpired:
-            found.append((at, True))
-    return spark.createDataFrame(found, "reached int, expired boolean")
+    """A log pruned up to its middle no longer holds what follows the positions of keys that changed before."""
+    reached = X.feed(spark, d).groupBy("k").agg(F.max("seq").alias("reached"))
+    return reached.withColumn("expired", changelog.expired(F.col("reached"), X.half(spark, d)))
 
 
 @query("SELECT min(o_orderdate) AS low, max(o_orderdate) AS high, CAST(max(o_totalprice) AS DOUBLE) AS price FROM orders")
@@ -1164,22 +1166,41 @@ def position_text(spark, d):
     return spark.createDataFrame([tuple(readers.parse_position(readers.format_position(x)) for x in first)], "low timestamp_ntz, high timestamp_ntz, price double")
 
 
-@query("SELECT stored, counter, coalesce(stored >= counter, false) AS skipped FROM (VALUES (1, 2), (2, 2), (NULL, 2), (3, NULL)) t(stored, counter)")
+@query(
+    """SELECT c_nationkey AS database, count(*) AS mappings, count(*) FILTER (WHERE stored >= counter) AS skipped FROM (
+      SELECT c_nationkey, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 40 END AS stored, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey * 2 END AS counter FROM customer) GROUP BY 1"""
+)
 def poll_gate(spark, d):
-    pairs = [(1, 2), (2, 2), (None, 2), (3, None)]
-    return spark.createDataFrame([(a, b, readers.unchanged(a, b)) for a, b in pairs], "stored int, counter int, skipped boolean")
+    """How many mappings of each database a pass would skip; what isn't known is read."""
+    stored = F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 40)
+    counter = F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey") * 2)
+    marked = X.load(spark, d, "customer").select(F.col("c_nationkey").alias("database"), readers.is_unchanged(stored, counter).alias("same"))
+    return marked.groupBy("database").agg(F.count("*").alias("mappings"), F.count_if("same").alias("skipped"))
 
 
-@query("SELECT 'key' AS part, 'id' AS name UNION ALL SELECT 'value', unnest(['customer', 'status', 'total'])")
+@query(
+    """SELECT 'key' AS part, 'id' AS name, count(DISTINCT o_orderkey) AS distinct_values FROM orders UNION ALL SELECT 'value', 'customer', count(DISTINCT o_custkey) FROM orders
+      UNION ALL SELECT 'value', 'status', count(DISTINCT lower(o_orderstatus)) FROM orders UNION ALL SELECT 'value', 'total', count(DISTINCT o_totalprice) FROM orders"""
+)
 def key_value_split(spark, d):
+    """The key and the value columns of a mapping, with how many values each has."""
     keys, values = split_keys(ORDERS)
-    return spark.createDataFrame([("key", k) for k in keys] + [("value", v) for v in values], "part string, name string")
+    rows = readers.reload(_orders(spark, d), ORDERS).rows
+    counted = rows.agg(*[F.count_distinct(c).alias(c) for c in [*keys, *values]])
+    parts = F.array(*[F.struct(F.lit("key" if c in keys else "value").alias("part"), F.lit(c).alias("name"), F.col(c).alias("distinct_values")) for c in [*keys, *values]])
+    return counted.select(F.inline(parts))
 
 
-@query("SELECT last, CASE WHEN last IS NULL THEN true ELSE later <= 10 END AS due FROM (VALUES (NULL, 20), (1, 10), (1, 11)) t(last, later)")
+@query(
+    f"""SELECT mapping, max(enqueued_at) AS last, max(enqueued_at) + to_hours(mapping) <= (SELECT max(enqueued_at) + INTERVAL 4 HOUR FROM {X.RUNS} x) AS due
+      FROM {X.RUNS} r GROUP BY mapping"""
+)
 def cron_due(spark, d):
-    day = lambda n: None if n is None else dt.datetime(2024, 1, n)
-    return spark.createDataFrame([(last, metrics.due(day(at), day(last), day(10))) for last, at in ((None, 20), (1, 10), (1, 11))], "last int, due boolean")
+    """Mappings whose next time, some hours after their last run, has come four hours after the last run of all."""
+    runs = X.runs(spark, d)
+    now = runs.agg(F.max("enqueued_at")).first()[0] + dt.timedelta(hours=4)
+    last = runs.groupBy("mapping").agg(F.max("enqueued_at").alias("last"))
+    return last.withColumn("due", metrics.is_due(F.expr("timestampadd(HOUR, mapping, last)"), F.col("last"), now))
 
 
 @query(f"SELECT mapping, sum(rows_read) > 0 AND max(mapping) <> 3 AS due FROM {X.RUNS} r GROUP BY mapping")
@@ -1191,10 +1212,10 @@ def reconcile_trigger(spark, d):
     return spark.createDataFrame(due, "mapping long, due boolean")
 
 
-@query("SELECT count(*) AS row_count, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT count(*) AS row_count, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders")
 def held_mapping(spark, d):
     """A paused mapping isn't run; after it is resumed its pass reads what there is."""
-    place, orders = _place(spark), _orders(spark, d).filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey")
+    place, orders = _place(spark), _orders(spark, d).select("o_orderkey", "o_custkey")
     table, positions = VersionedTable(spark, f"{place}/table"), Positions(spark, f"{place}/positions")
     table.publish(orders.limit(0))
     read = lambda position, intent: readers.watermark(orders, Mapping(), "o_orderkey", position, intent=intent)
@@ -1284,9 +1305,9 @@ def poll_gate_mappings(spark, d):
     return readers.to_dispatch(due, counters, ("database",))
 
 
-@query("SELECT * FROM (VALUES ('nation', true), ('NAME', true), ('customer_name', false)) t(target, refused)")
+@query("SELECT target, refused, CASE WHEN refused THEN 0 ELSE (SELECT count(*) FROM orders) END AS row_count FROM (VALUES ('nation', true), ('NAME', true), ('customer_name', false)) t(target, refused)")
 def collision_guard(spark, d):
-    """A joined column can't take the name of another column, whatever its case."""
+    """A joined column can't take the name of another column, whatever its case; with another name all rows are read."""
     found = []
     for name in ("nation", "NAME", "customer_name"):
         mapping = Mapping(
@@ -1294,22 +1315,32 @@ def collision_guard(spark, d):
             relationships=(_customers(spark, d),),
         )
         try:
-            readers.reload(_orders(spark, d), mapping)
-            found.append((name, False))
+            found.append((name, False, readers.reload(_orders(spark, d), mapping).rows.filter(F.col(name).isNotNull()).count()))
         except ValueError:
-            found.append((name, True))
-    return spark.createDataFrame(found, "target string, refused boolean")
+            found.append((name, True, 0))
+    return spark.createDataFrame(found, "target string, refused boolean, row_count long")
+
+
+def _filled(table: DataFrame, told: list[tuple], schema: str) -> DataFrame:
+    """Facts about columns (their name first), each with how many rows have a value there."""
+    counts = table.agg(*[F.count(c).alias(c) for c in table.columns]).first()
+    return table.sparkSession.createDataFrame([(*t, counts[t[0]]) for t in told], schema + ", filled long")
 
 
 @query(
-    """SELECT * FROM (VALUES ('snapshot', 'id', false), ('snapshot', 'customer', false), ('snapshot', 'status', false), ('snapshot', 'total', false), ('snapshot', 'snapshot_at', false),
+    """SELECT history, name, is_key, CASE WHEN name = 'valid_to' THEN 0 ELSE (SELECT count(*) FROM orders) END AS filled FROM (VALUES
+      ('snapshot', 'id', false), ('snapshot', 'customer', false), ('snapshot', 'status', false), ('snapshot', 'total', false), ('snapshot', 'snapshot_at', false),
       ('scd2', 'version_key', true), ('scd2', 'id', false), ('scd2', 'customer', false), ('scd2', 'status', false), ('scd2', 'total', false), ('scd2', 'valid_from', false),
       ('scd2', 'valid_to', false), ('scd2', 'is_current', false)) t(history, name, is_key)"""
 )
 def history_columns(spark, d):
+    """The columns of historized targets, loaded with all orders."""
     plans = {h: provision.create_plan(_orders(spark, d), ORDERS, history=h) for h in ("snapshot", "scd2")}
-    rows = [(h, f.name, f.name in p.keys) for h, p in plans.items() for f in provision.create(spark, p).schema]
-    return spark.createDataFrame(rows, "history string, name string, is_key boolean")
+    staged = readers.reload(_orders(spark, d), ORDERS).rows
+    empty = {h: provision.create(spark, p) for h, p in plans.items()}
+    loaded = {"snapshot": writers.snapshot(empty["snapshot"], staged, NOW), "scd2": scd2.apply(empty["scd2"], staged, ["id"], ["customer", "status", "total"], NOW)}
+    parts = [_filled(loaded[h], [(c, h, c in plans[h].keys) for c in empty[h].columns], "name string, history string, is_key boolean") for h in plans]
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0")
@@ -1374,24 +1405,77 @@ def snapshot_current(spark, d):
 
 
 @query(
-    """SELECT * FROM (VALUES ('decimal(6,2)', 0, '0.01'), ('decimal(6,2)', 1, '0.00'), ('decimal(6,2)', 2, '-0.01'), ('decimal(6,2)', 3, NULL),
-      ('string(6)', 0, 'text'), ('string(6)', 1, ''), ('string(6)', 2, 'xxxxxx'), ('string(6)', 3, NULL), ('boolean', 0, 'true'), ('boolean', 1, 'false'), ('boolean', 2, NULL),
-      ('int32', 0, '1'), ('int32', 1, '0'), ('int32', 2, '-1'), ('int32', 3, NULL), ('date', 0, '2024-02-29'), ('date', 1, NULL)) t(kind, place, value)"""
+    """SELECT id, customer, lower(status) AS status, total, 'I' AS op FROM (SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status, o_totalprice AS total FROM orders
+      UNION ALL SELECT * FROM (VALUES (1, 1, 'text', 0.5), (0, 0, '', 0.0), (-1, -1, 'xxxxxx', NULL), (NULL, NULL, NULL, NULL)) v)"""
 )
 def sample_values(spark, d):
-    """What a transform of each type is tried with."""
-    found = None
-    for kind in ("decimal(6,2)", "string(6)", "boolean", "int32", "date"):
-        rows = spark.createDataFrame([(i, v) for i, v in enumerate(samples(kind))], T.StructType([T.StructField("place", T.IntegerType()), T.StructField("v", to_spark(kind).type)]))
-        rows = rows.select(F.lit(kind).alias("kind"), "place", F.col("v").cast("string").alias("value"))
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    """A mapping is tried with each type's edges beside the source's own rows."""
+    orders = _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    edges = [samples(kind) for kind in ("int64", "int64", "string(6)", "double")]
+    rows = [tuple(e[i] if i < len(e) else None for e in edges) for i in range(max(map(len, edges)))]
+    return _op(readers.reload(orders.unionByName(spark.createDataFrame(rows, orders.schema)), ORDERS).rows)
 
 
-@query("SELECT * FROM (VALUES ('id', 'bigint', 0), ('customer', 'bigint', NULL), ('status', 'varchar(1)', NULL)) t(name, kind, key_place)")
+@query("SELECT name, kind, key_place, (SELECT count(*) FROM orders) AS filled FROM (VALUES ('id', 'bigint', 0), ('customer', 'bigint', NULL), ('status', 'varchar(1)', NULL)) t(name, kind, key_place)")
 def catalog_adapter(spark, d):
-    """A user's adapter hides a column and retypes another."""
+    """A user's adapter hides a column and retypes another; the others are there with all rows."""
     rows = readers.reload(_orders(spark, d), ORDERS).rows.drop(OPERATION)
     adapter = lambda found: [c | ({"type": "varchar(1)"} if c["name"] == "status" else {}) for c in found if c["name"] != "total"]
     found = connectors.described(rows, ["id"], adapter)
-    return spark.createDataFrame([(c["name"], c["type"], c["key"]) for c in found], "name string, kind string, key_place int")
+    return _filled(rows, [(c["name"], c["type"], c["key"]) for c in found], "name string, kind string, key_place int")
+
+# calls beside a pass
+
+
+@query(
+    """SELECT * FROM (SELECT 1 AS step, 'before_stage' AS point, 0 AS row_count UNION ALL SELECT 2, 'after_stage', count(*) FROM orders
+      UNION ALL SELECT 3, 'before_load', 0 UNION ALL SELECT 4, 'after_load', count(*) FROM orders UNION ALL SELECT 5, 'refused', count(*) FROM orders)"""
+)
+def hooks_in_pass(spark, d):
+    """Hooks at the four points of a pass see what is staged and loaded by then; one that only warns lets
+    the pass go on, one that fails stops the next pass before it has changed anything."""
+    place, orders, seen = _place(spark), _orders(spark, d).select("o_orderkey", "o_custkey"), []
+    table, positions = VersionedTable(spark, f"{place}/table"), Positions(spark, f"{place}/positions")
+    table.publish(orders.limit(0))
+    staged = lambda: spark.read.parquet(f"{place}/staged/main/hooks/orders/{1:012d}").count()
+    note = lambda point, rows: transforms.Hook(lambda: seen.append((len(seen) + 1, point, rows())))
+    loaded = lambda: table.read().count()
+    broken = lambda on_error: transforms.Hook(lambda: 1 // 0, on_error)
+    hooks = {"before_stage": [note("before_stage", loaded)], "after_stage": [broken("warn"), note("after_stage", staged)], "before_load": [note("before_load", loaded)], "after_load": [note("after_load", loaded)]}
+    read = lambda position, intent: readers.watermark(orders, Mapping(), "o_orderkey", position, intent=intent)
+    job = passes.Job(("main", "hooks", "orders"), read, lambda t, s: writers.upsert(t, s, ["o_orderkey"]), table, positions, hooks=hooks, staging=f"{place}/staged")
+    passes.run_pass(job)
+    before = passes.status(job)
+    try:
+        passes.run_pass(replace(job, hooks={"before_load": [broken("fail")]}, read=lambda p, i: read(None, Intent.INITIAL_LOAD)))
+    except ZeroDivisionError:
+        if passes.status(job) == before:
+            seen.append((5, "refused", loaded()))
+    return spark.createDataFrame(seen, "step int, point string, row_count long")
+
+
+@query(ORACLE_SQL["key_reconcile_delete"])
+def reconcile_job(spark, d):
+    """The reconciliation of a job: keys against the target, behind a guard, as its next version."""
+    place, orders = _place(spark), _orders(spark, d)
+    table, positions = VersionedTable(spark, f"{place}/table"), Positions(spark, f"{place}/positions")
+    table.publish(X.stale_orders(spark, d))
+    job = passes.Job(("main", "reconcile", "orders"), lambda p, i: readers.watermark(orders, Mapping(), "o_orderkey", p, intent=i), writers.upsert, table, positions)
+    keys = readers.keys_only(orders, Mapping(), ["o_orderkey"]).rows
+    passes.reconcile(job, keys, ["o_orderkey"], F.col("o_totalprice") > 50000, writers.Guard("ratio", 0.5))
+    return table.read()
+
+
+@query(
+    f"""SELECT r.*, p.p50, p.p95, p.max, c.last_completed, e.latest_enqueued FROM ({ORACLE_SQL["run_totals"]}) r JOIN ({ORACLE_SQL["run_percentiles"]}) p ON p.mapping = r.mapping
+      LEFT JOIN ({ORACLE_SQL["last_completed"]}) c ON c.mapping = r.mapping JOIN ({ORACLE_SQL["latest_enqueued"]}) e ON e.mapping = r.mapping"""
+)
+def run_overview(spark, d):
+    """All figures of each mapping in one table."""
+    return metrics.overview(X.runs(spark, d), "rows_read", "mapping")
+
+
+@query(ORACLE_SQL["verify_sum_multi"])
+def verify_job(spark, d):
+    """A check of a mapping's target against its source in one call."""
+    return _grouped(verify.check(_orders(spark, d), CENTS, _checked(spark, d), ["status"], ["cents", "customer"], 0.05))

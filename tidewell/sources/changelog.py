@@ -25,6 +25,11 @@ def window(log: DataFrame, sequence: str, previous: Any, target: Any) -> DataFra
     return rows if target is None else rows.filter(F.col(sequence) <= F.lit(target))
 
 
+def expired(position: Column, reaches: Any) -> Column:
+    """check_retained() for each row: whether what follows a position is gone already."""
+    return F.coalesce(position < F.lit(reaches), F.lit(False))
+
+
 def check_retained(previous: Any, reaches: Any) -> None:
     """Refuses a position that the log no longer reaches back to. reaches: up to where the log
     was pruned, None if it wasn't. The first row there is can't tell, as positions have gaps."""

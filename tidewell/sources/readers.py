@@ -200,6 +200,11 @@ def unchanged(stored: Any, counter: Any) -> bool:
     return stored is not None and counter is not None and stored >= counter
 
 
+def is_unchanged(stored: Column, counter: Column) -> Column:
+    """unchanged() for each row."""
+    return F.coalesce(stored >= counter, F.lit(False))
+
+
 def deleted(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col(OPERATION) == DELETE)
 
@@ -207,5 +212,5 @@ def deleted(rows: DataFrame) -> DataFrame:
 def to_dispatch(due: DataFrame, counters: DataFrame, database: tuple[str, ...] = ("connection", "database", "kind")) -> DataFrame:
     """The due mappings whose database has changed: one counter for each database decides for
     all of its mappings (column stored). As in unchanged(), what isn't known is dispatched."""
-    skipped = F.coalesce(F.col("stored") >= F.col("counter"), F.lit(False))
+    skipped = is_unchanged(F.col("stored"), F.col("counter"))
     return due.join(counters.select(*database, "counter"), list(database), "left").filter(~skipped).select(*due.columns)

@@ -46,6 +46,52 @@ def test_crossing_tokens_go_where_most_of_them_lies():
     assert list(tokens) == [0, 1, 0] and list(crossing) == [0, 1, 0]
 
 
+def by_line(text, tokenizer):
+    """(tokens, crossing) of each line: every token is followed byte by byte through the lines."""
+    sizes = op._sizes(op.vocabulary())
+    line_of, line = [], 0
+    for b in text.encode():
+        line_of.append(line)
+        line += b == 10
+    n = max(line_of, default=0) + 1
+    found, at = [[0, 0] for _ in range(n)], 0
+    for i in tokenizer.encode(text, add_special_tokens=False).ids:
+        own = line_of[at : at + int(sizes[i])]
+        at += int(sizes[i])
+        if not own:
+            continue
+        most = max(set(own), key=lambda x: (own.count(x), -x))
+        found[most][0] += 1
+        found[most][1] += len(set(own)) > 1
+    return [tuple(x) for x in found]
+
+
+def test_every_line_by_brute_force(spark, documents, tokenizer):
+    """The attribution itself: each line's tokens and those of them that cross its boundaries."""
+    rng = random.Random(11)
+    parts = ["\n", "\n\n", "\n \n", "\r\n", "    ", "\n\n\n\n", "\n\t\t", "a", "word ", " b", "é", "中", "\n-----\n", "=" * 9, "x\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(300)] + some_texts()[:200]
+    found = {}
+    for r in op.count_lines(documents(*texts)).collect():
+        found.setdefault(r["doc_id"], {})[r["section"]] = (r["tokens"], r["crossing"])
+    crossing = 0
+    for i, text in enumerate(texts):
+        own = [found[i][j] for j in range(len(found[i]))]
+        assert own == by_line(text, tokenizer), text
+        crossing += sum(c for _, c in own)
+    assert crossing > 100
+
+
+def test_a_vocabulary_with_too_long_tokens(monkeypatch):
+    class Long:
+        def get_vocab(self):
+            return {"a": 0, "b" * 256: 1}
+
+    monkeypatch.setattr(op, "_tokenizer", lambda path: Long())
+    with pytest.raises(ValueError, match="a token of 256 bytes"):
+        op._sizes.__wrapped__("some path")
+
+
 def test_brute_force(spark, documents, tokenizer):
     texts = some_texts()[:200] + ["", "one\ntwo\n\nthree", "\n", "x" * 5000 + "\n" + "y " * 5000]
     found = op.count_lines(documents(*texts)).collect()

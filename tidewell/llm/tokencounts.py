@@ -55,11 +55,15 @@ def _tokenizer(path: str):
 
 @cache
 def _sizes(path: str) -> np.ndarray:
-    """The number of bytes of each token: a byte-level vocabulary spells a byte as one character."""
+    """The number of bytes of each token: a byte-level vocabulary spells a byte as one character.
+    A longer token than a byte can count would shift all spans after it, so it is an error."""
     words = _tokenizer(path).get_vocab()
+    longest = max(words, key=len)
+    if len(longest) > 255:
+        raise ValueError(f"a token of {len(longest)} bytes: spans are counted in one byte")
     sizes = np.zeros(max(words.values()) + 1, np.uint8)
     for word, i in words.items():
-        sizes[i] = min(len(word), 255)
+        sizes[i] = len(word)
     return sizes
 
 

@@ -87,8 +87,9 @@ def fit_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
     short = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.length("text") <= LONGEST)
-    # a row for each language: AQE measures it
-    chosen = short.select("doc_id", "lang", "text").join(draw_limits(docs, "lang", sizes, per_language), "lang").filter(drawn("doc_id"))
+    # a row for each language, all of which are classes of the model that the driver holds
+    limits = F.broadcast(draw_limits(docs, "lang", sizes, per_language))
+    chosen = short.select("doc_id", "lang", "text").join(limits, "lang").filter(drawn("doc_id"))
     sample = chosen.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     tally = count_features(sample).toArrow()
     counts = np.full((len(names), BUCKETS), ALPHA / 8)

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,7 +168,14 @@ def test_permutation_of_long_forms():
 def plain_corpus(texts, key):
     """Surrogates by whole-corpus loops in plain Python: variants rise until nothing collides."""
     every = sorted({e[2:] for t in texts for e in op.entities(t or "")}, key=lambda e: (e[1], e[0]))
-    group = lambda k: "phone" if k.startswith("phone") else k
+    group = lambda k: re.sub(":[mfn]$", "", k)
+    told = Counter((group(k), c, k[-1]) for t in texts for k, c in {e[2:] for e in op.entities(t or "")} if re.search(":[mf]$", k))
+
+    def resolved(k, c):
+        m, f = (told[group(k), c, g] for g in "mf")
+        return group(k) + (":m" if m > f else ":f") if k.endswith(":n") and m != f else k
+
+    every = sorted({(resolved(k, c), c) for k, c in every}, key=lambda e: (e[1], e[0]))
     real, variant = {(group(k), c) for k, c in every}, dict.fromkeys(every, 0)
     while True:
         first, bad = {}, []
@@ -183,6 +191,7 @@ def plain_corpus(texts, key):
     for t in texts:
         text = t
         for a, b, k, c in reversed(op.entities(t or "")):
+            k = resolved(k, c)
             text = text[:a] + op.render(text[a:b], k, op.surrogate(k, c, variant[k, c], key)) + text[b:]
         out.append(text)
     return out
@@ -206,12 +215,78 @@ def test_by_brute_force(spark, documents):
     assert not every & {e[2:] for t in want for e in op.entities(t or "")}
 
 
-def test_a_full_domain_is_no_error(spark, documents):
-    docs = documents(*[f"Mr. Xx at 10.0.0.{i}" for i in range(3)])
-    with pytest.warns(UserWarning, match="domains are full"):
-        rows = op.with_surrogates(documents("Mr. " + op.surrogate("surname:latin:m", "xx", 0, op.fixed_length(b"k")).capitalize(), "Mr. Xx"), b"k", rounds=1).collect()
-    assert len(rows) == 2 and all(r["entities"] == 1 for r in rows)
-    assert op.with_surrogates(docs, b"k").count() == 3
+@pytest.mark.parametrize("most", [op.BROADCAST, 0])
+def test_a_full_domain_grows(spark, documents, most):
+    """All addresses of 192.168.0.0/16 occur: each gets one of a wider private range, no two the same."""
+    texts = [" ".join(f"192.168.{a}.{b}" for b in range(256)) for a in range(256)]
+    rows = op.with_surrogates(documents(*texts), b"k", most=most).collect()
+    new = [x for r in rows for x in r["text"].split()]
+    assert len(new) == len(set(new)) == 65536 and all(x.startswith("10.") for x in new)
+
+
+def test_no_surrogate_is_shared_silently(spark, documents):
+    taken = op.surrogate("surname:latin:m", "xx", 0, op.fixed_length(b"k")).capitalize()
+    with pytest.raises(RuntimeError, match="no surrogate of their own"):
+        op.with_surrogates(documents(f"Mr. {taken}", "Mr. Xx"), b"k", rounds=1)
+
+
+@pytest.mark.parametrize("kind, canonical", [("phone", "1234567"), ("email", "a@b.org"), ("ip6", "fe80:0000:0000:0000:0000:0000:0000:0001"), ("ip", "127.0.0.1"), ("ip", "10.0.0.1")])
+def test_wider_domains(kind, canonical):
+    plain, wide = (op.surrogate(kind, canonical, v, KEY) for v in (0, 2 * op.WIDEN))
+    assert plain != wide and len(op.surrogate(kind, canonical, op.WIDEN, KEY)) >= len(canonical) - 4
+    if kind in ("phone", "email"):
+        assert len(wide) == len(plain) + 2
+
+
+def test_phones_are_known_by_the_national_number():
+    new = op.replace("+1 (212) 555-0187, (212) 555-0187, 212-555-0187, 212 555 0187, +12125550187", {}, KEY)[0].split(", ")
+    assert len({re.sub(r"\D", "", x)[-10:] for x in new}) == 1 and "2125550187" not in re.sub(r"\D", "", new[0])
+    assert new[0].startswith("+1 (") and new[1].startswith("(") and len({*new}) == 5
+    new = op.replace("+49 30 1234567, 030 1234567, +49 (0)30 1234567, +33 30 1234567", {}, KEY)[0].split(", ")
+    assert [x[:3] for x in new] == ["+49", "0" + new[1][1:3], "+49", "+33"]
+    assert len({re.sub(r"\D", "", x)[-9:] for x in new}) == 1 and new[0] != new[3]
+
+
+def test_national_numbers_are_permuted_in_their_plan():
+    rng = random.Random(3)
+    for number in ("0123456", "1234567", "4155552671", "1155552671", "4151552671"):
+        assert bool(op._AMERICAN.fullmatch(op._national(number, "t", KEY))) == bool(op._AMERICAN.fullmatch(number))
+        assert (op._national(number, "t", KEY)[0] == "0") == (number[0] == "0")
+    some = {f"{rng.randrange(10**10):010d}" for _ in range(3000)}
+    assert len({op._national(x, "t", KEY) for x in some}) == len(some)
+    assert len({op._national(f"{i:03d}", "t", KEY) for i in range(1000)}) == 1000
+
+
+@pytest.mark.parametrize("text, names", [
+    ("My colleague Susan Miller called; Susan left.", ["Susan", "Miller", "Susan"]), ("Signed, John Q. Public", ["John", "Public"]),
+    ("Best regards,\nAnna Smith-Jones\n", ["Anna", "Smith-Jones"]), ('"Susan Miller" <s.miller@x.org>', ["Susan", "Miller"]), ("ich heiße Anna Schmidt.", ["Anna", "Schmidt"]),
+    ("his sister Clara Oswald", ["Clara", "Oswald"]), ("Patient: Karl May", ["Karl", "May"]), ("Dear Bruno Krall", ["Bruno", "Krall"]), ("mon ami Éric Blanc", ["Éric", "Blanc"]),
+    ("Dear The Team, the rest", []), ("Dear Customer Support", []), ("my friend Adam", []), ("Signed, in blood", []), ("Regards " + "a-" * 200_000, []), ("designed Adam Keller", []), ("Dear " + "Ab " * 100_000 + "ab", []),
+])
+def test_names_without_a_title(text, names):
+    assert [x for x, kind in found(text) if kind != "email"] == names
+    if names:
+        assert not {n for n in names} & set(re.findall(r"[\w-]+", op.replace(text, {}, KEY)[0]))
+
+
+def test_genders_of_relations_and_of_the_corpus(spark, documents):
+    assert {k for *_, k, c in op.entities("his sister Clara Oswald") if c == "clara"} == {"given:latin:f"}
+    docs = documents("Mr. Adam Keller", "Dr. Adam Keller", "my boss Adam Keller", "Mrs. Robin Falk", "Mr. Robin Falk", "Dr. Robin Falk", "Dr. Una Bell", "г-жа Анна Петрова", "Dr. Анна Петрова")
+    kinds = {(r["kind"], r["canonical"]): r["as_kind"] for r in op.known_genders(docs).collect()}
+    assert kinds["given:latin:n", "adam"] == "given:latin:m"  # as most documents say
+    assert kinds["given:latin:n", "robin"] == "given:latin:n"  # as many say either
+    assert kinds["given:latin:n", "una"] == "given:latin:n" and kinds["surname:cyrillic:n", "петрова"] == "surname:cyrillic:f"
+    for most in (op.BROADCAST, 0):
+        texts = [r["text"].split()[-2:] for r in op.with_surrogates(docs, b"k", most=most).orderBy("doc_id").collect()]
+        assert texts[0] == texts[1] == texts[2] and texts[7] == texts[8] and len({t[0] for t in texts[3:6]}) == 3
+
+
+def test_texts_of_many_rows(spark, documents):
+    """Texts of many rows, with exceptions, without entities and null, are broadcast and not joined."""
+    taken = op.surrogate("surname:latin:m", "xx", 0, op.fixed_length(b"k")).capitalize()
+    docs = documents(*["Mr. Xx"] * 40, *[None] * 40, *["clean"] * 40, f"Mr. {taken}", "Mr. Xx and Mr. Yy")
+    one, two, three = ([r["text"] for r in op.with_surrogates(docs, b"k", most=m, hot=h).orderBy("doc_id").collect()] for m, h in ((op.BROADCAST, 1000), (0, 1000), (0, 10)))
+    assert one == two == three and len(set(one[:40])) == 1 and one[40:120] == [None] * 40 + ["clean"] * 40 and one[0] != f"Mr. {taken}"
 
 
 def test_the_key(spark, documents, monkeypatch):

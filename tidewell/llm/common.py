@@ -54,7 +54,16 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     if not _made:
         atexit.register(_clean)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Deletes a table of materialize() that nothing will read again."""
+    if made.scratch in _made:
+        _made.remove(made.scratch)
+        _delete(made.sparkSession, made.scratch)
 
 
 def release() -> None:

@@ -8,20 +8,31 @@ stays private, addresses of one domain keep one domain, check digits are made an
 gender and script. Long forms are permuted in chained blocks, forwards and backwards, so an
 entity of any length takes linear time.
 
-Names are found by a title ("Mr. Adam Keller"); given names and surnames are replaced on their
-own, at all their mentions in that document that don't begin in lower case ("Keller left"), so no
-mention stays that would tell who is meant. Initials stay. A title without gender ("Dr.") takes
-the gender that another title gives the same name in the document, or else a neutral name.
+A phone number is known by its national number: the country's code and a leading 0 are format, so
+"+49 30 1234567" and "030 1234567" get one surrogate, and so do "+1 (212) 555-0187" and
+"212-555-0187". Numbers of two countries that share the national one stay distinct by their codes.
+
+Names are found by a title ("Mr. Adam Keller") or by what else tells a person: a closing or a greeting,
+a relation ("my colleague Susan Miller"), an introduction, a form's field, or an address behind
+it ("Susan Miller <s.miller@x.org>"). What is found without a title has two capitalised words or
+more, and none of them occurs in lower case in that document ("Dear The Team" is no name where "the"
+occurs). Given names and surnames are replaced on their own, at all their mentions in that document
+that don't begin in lower case ("Keller left"), so no mention stays that would tell who is
+meant. Initials stay. A name without a gender in its document ("Dr.") takes the one that most
+documents of the corpus give that name, so that "Dr. Adam" and "Mr. Adam" are one; if none or as many
+give the other, it gets a neutral name.
 
 Permutations can be undone by who has the key, so it comes from the caller or the configuration
 (see session_key); tasks get it as a broadcast, and no plan shows it.
 
 What a permutation can't promise is checked over the whole corpus: that a surrogate is no
-entity that really occurs, and that no two names share one. Entities that fail get the
-next variant until none does; if a domain is so full that ROUNDS variants in turn don't help, the
-last one stays and a warning says how many there are. These exceptions are few; up to
+entity that really occurs, and that no two entities share one. Those that fail get the next variant
+until none does; a round computes and compares these only, and the table of all is read, not rewritten.
+Each WIDEN variants the domain grows: names, addresses and numbers get longer, private
+addresses come from a wider private range, and zero groups take part. If even so ROUNDS variants
+don't help, the job fails; it never lets two entities share a surrogate. The exceptions are few; up to
 ``BROADCAST`` of them go to the tasks as a map, more reach their documents by a join on the
-text's hash.
+text's hash, where texts that are many rows' are broadcast.
 
 Defined results: a null text stays null, an empty one empty; texts without entities are
 unchanged; repeated rows are treated alike; an empty table gives an empty result; other columns
@@ -37,18 +48,19 @@ import os
 import re
 import secrets
 import unicodedata
-import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, wrapped
+from .common import HOT_SHARE, discard, materialize, wrapped
 
-BROADCAST, ROUNDS = 50_000, 48
+BROADCAST = 50_000
+#: Variants after which a domain grows, and after which the job fails.
+WIDEN, ROUNDS = 12, 96
 #: Symbols of a form that are permuted as one number.
 CHUNK = 64
 #: Where a session's key comes from (Spark hides settings that are called secret).
@@ -81,6 +93,19 @@ SURNAME_ENDS = {
     "cyrillic": {"m": "ов", "f": "ова", "n": "енко"},
     "greek": {"m": "ίδης", "f": "ίδου", "n": "άκη"},
 }
+# What stands before a person's name (the gender that a relation tells, n: none),
+# and words that begin a greeting's other forms.
+RELATIONS = {
+    "m": ["brother", "father", "husband", "son", "uncle", "nephew", "boyfriend", "Bruder", "Vater", "Mann", "frère", "père", "mari", "hermano", "padre", "esposo"],
+    "f": ["sister", "mother", "wife", "daughter", "aunt", "niece", "girlfriend", "Schwester", "Mutter", "Frau", "sœur", "mère", "hermana", "madre", "esposa"],
+    "n": ["colleague", "friend", "cousin", "boss", "manager", "assistant", "neighbour", "neighbor", "doctor", "lawyer", "teacher", "partner", "Kollege", "Kollegin", "Freund", "Freundin", "collègue", "ami", "amie", "colega", "amigo", "amiga"],
+}
+POSSESSIVES = ["my", "our", "his", "her", "your", "their", "mein", "meine", "unser", "unsere", "mon", "ma", "notre", "mi", "nuestro", "nuestra"]
+CLOSINGS = ["signed", "signed by", "sincerely", "sincerely yours", "yours sincerely", "yours truly", "yours faithfully", "regards", "best regards", "kind regards", "warm regards", "mit freundlichen Grüßen", "viele Grüße", "cordialement", "atentamente", "un saludo"]
+GREETINGS = ["dear", "lieber", "liebe", "cher", "chère", "estimado", "estimada", "querido", "querida"]
+INTRODUCTIONS = ["my name is", "his name is", "her name is", "mein Name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es"]
+FIELDS = ["full name", "patient", "employee", "cardholder", "account holder", "attn"]
+NO_NAMES = {"all", "team", "customer", "customers", "support", "colleagues", "friends", "reader", "readers", "manager", "committee", "sir", "madam"}
 # Country calling codes of one and two digits (the others have three), and
 # address ranges that are not public.
 CALLING = {*"1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
@@ -91,7 +116,7 @@ _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), k
 _GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 _AT = re.compile(r"(?<![\w.+%-])\w[\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
 _NUMBERS = re.compile(
-    r"(?P<phone>(?<![\w+])(?:\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}"
+    r"(?P<phone>(?<![\w+])(?:\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}[ /.-]\d{5,8}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}"
     r"|(?<!\d )[2-9]\d\d [2-9]\d\d \d{4}(?! ?\d)|(?<!\d )0[1-9]\d{0,3}[ /]\d{5,8}(?! ?\d))(?![\w]))"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9]))"
     r"|(?P<token>(?<![\w-])(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![\w-]))"
@@ -106,8 +131,20 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = r"[^\W\d_]+(?:-[^\W\d_]+)*"
 _PART = rf"(?:[^\W\d_]\.(?!\w)|{_WORD})"
 _NAME = re.compile(rf"(?<!\w)(?P<title>(?:(?:{_TITLE})\.? )+)(?P<name>{_PART}(?: {_PART}){{0,3}})")
+_ANY = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+_RELATION = {w.casefold(): g for g, ws in RELATIONS.items() for w in ws}
+_CUE = re.compile(
+    rf"(?<!\w)(?:(?:{_ANY(CLOSINGS)})[,:]?\s{{1,4}}|(?:{_ANY(GREETINGS)}) |(?:{_ANY(INTRODUCTIONS)}) |(?:{_ANY(FIELDS)}): ?"
+    rf"|(?:{_ANY(POSSESSIVES)}) (?P<relation>{_ANY(w for ws in RELATIONS.values() for w in ws)}),? )(?=[^\W\d_])",
+    re.IGNORECASE,
+)
+_CAPITAL = rf"(?:[^\W\d_]\.(?!\w)|{_WORD})"
+_CAPITALS = re.compile(rf"{_CAPITAL}(?: {_CAPITAL}){{1,3}}")
+#: A name before an address in angle brackets; longer ones than the window are none.
+_BEFORE, _WINDOW = re.compile(rf"(?<!\w)(?:{_CAPITAL} ){{1,3}}{_CAPITAL}\"? ?<$"), 96
+_AMERICAN = re.compile(r"[2-9]\d\d[2-9]\d{6}")
 _ISSUER = re.compile(r"4(?:.{12}|.{15}|.{18})|(?:5[1-5]|2[2-7]).{14}|3[47].{13}|3[068].{12}|35.{14}|6(?:011|5..|4[4-9].).{12}")
-_QUICK = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLE})\.? |eyJ|::")
+_QUICK = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLE})\.? |eyJ|::")  # or a cue
 
 
 def session_key(spark: SparkSession, _drawn: list[str] = []) -> bytes:  # noqa: B006
@@ -229,30 +266,49 @@ def _name(kind: str, canonical: str, variant: int, key: bytes) -> str:
     return "".join(pick(i) for i in range(3 + min(variant, 50))) + SURNAME_ENDS[form][gender]
 
 
-def _address(value: int, tweak: str, key: bytes) -> int:
-    """Another of the same private range, or another public one."""
+def _address(value: int, tweak: str, key: bytes, wider: int) -> int:
+    """Another of the same private range, or another public one. wider: from all of 10.0.0.0/8,
+    then from the range that nobody has, then from the public ones."""
     held = next((r for r in _RANGES if value >> r[1] == r[0] >> r[1]), None)
-    if held:
-        return held[0] + permute(value - held[0], 1 << held[1], f"{tweak}/{held[0]}", key)
+    if held and wider < 3:
+        start, bits = max([held, _RANGES[1], _RANGES[-1]][: wider + 1], key=lambda r: r[1])
+        return start + permute(value - held[0], 1 << bits, f"{tweak}/{held[0]}", key)
     while True:
         value = permute(value, 1 << 32, tweak, key)
         if not any(value >> bits == start >> bits for start, bits in _RANGES):
             return value
 
 
+def _national(number: str, tweak: str, key: bytes) -> str:
+    """Another national number of as many digits: one that North America's plan allows stays such
+    a one, no other becomes one, and none begins with a 0 that didn't."""
+    american = bool(_AMERICAN.fullmatch(number))
+    least = [2 if american and i in (0, 3) else int(i == 0 and number[0] != "0") for i in range(len(number))]
+    bases = [1 if i == 0 and number[0] == "0" else 10 - low for i, low in enumerate(least)]
+    while True:
+        new = permute_digits([int(c) - low for c, low in zip(number, least)], bases, f"{tweak}/{len(number)}/{american}/{number[0] == '0'}", key)
+        number = "".join(str(d + low) for d, low in zip(new, least))
+        if american == bool(_AMERICAN.fullmatch(number)):
+            return number
+
+
 @lru_cache(1 << 14)
 def surrogate(kind: str, canonical: str, variant: int, key: bytes) -> str:
     """The canonical form that stands for this one."""
-    tweak = f"{kind}/{variant}"
+    tweak, wider = f"{kind}/{variant}", variant // WIDEN
     if kind == "email":
         local, _, domain = canonical.rpartition("@")
+        local += "a" * wider
         head, _, top = domain.rpartition(".")
         return f"{_radix(local, tweak, key)}@{_radix(head, f'domain/{variant}', key)}.{top}"
     if kind == "ip":
-        value = _address(int(ipaddress.IPv4Address(canonical)), tweak, key)
+        value = _address(int(ipaddress.IPv4Address(canonical)), tweak, key, wider)
         return str(ipaddress.IPv4Address(value))
     if kind == "ip6":  # groups that are zero stay so, and the first stays for its scope
         groups = [int(g, 16) for g in canonical.split(":")]
+        if wider:
+            new = permute_digits(groups[1:], [65536] * 7, f"{tweak}/{groups[0]}", key)
+            return ":".join(f"{g:04x}" for g in groups[:1] + new)
         some = [i for i, g in enumerate(groups) if g and i]
         new = permute_digits([groups[i] - 1 for i in some], [65535] * len(some), f"{tweak}/{groups[0]}/{some}", key)
         for i, g in zip(some, new):
@@ -264,8 +320,8 @@ def surrogate(kind: str, canonical: str, variant: int, key: bytes) -> str:
     if kind == "token":
         start = re.match(r"AKIA|AIza|gh._|sk-|xox.-|eyJ", canonical).end()
         return _radix(canonical, tweak, key, start)
-    if kind.startswith("phone"):
-        return _radix(canonical, tweak, key, int(kind[5:]))
+    if kind == "phone":
+        return _national(canonical + "0" * wider, tweak, key)
     if kind == "ssn":
         a, b, c = int(canonical[:3]) - 1, int(canonical[3:5]) - 1, int(canonical[5:]) - 1
         a -= a >= 666  # 001 to 899 without 666
@@ -284,11 +340,11 @@ def surrogate(kind: str, canonical: str, variant: int, key: bytes) -> str:
 
 
 def _phone(value: str) -> tuple[str, int]:
-    """Digits of a number, and how many at the start stay: a country's code or a leading 0."""
+    """The national number, and how many digits stand before it: a country's code, a 0, or both."""
     digits = re.sub(r"\D", "", value)
-    if value[0] != "+":
-        return digits, int(digits[0] == "0")
-    return digits, next((n for n in (1, 2) if digits[:n] in CALLING), 3)
+    kept = next((n for n in (1, 2) if digits[:n] in CALLING), 3) if value[0] == "+" else 0
+    kept += digits[kept : kept + 1] == "0"
+    return digits[kept:], kept
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -300,9 +356,9 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
             while len(re.sub(r"\D", "", value)) > 15:  # numbers may follow each other
                 value = value[: max(value.rfind(c) for c in " .-")]
             at = m.start() + len(value)
-            digits, kept = _phone(value)
-            if len(digits) >= 7:
-                yield m.start(), at, f"phone{kept}", digits
+            number, kept = _phone(value)
+            if number and kept + len(number) >= 7:
+                yield m.start(), at, kind, number
         elif kind == "card":
             digits = re.sub(r"\D", "", value)
             if _ISSUER.fullmatch(digits) and luhn(digits[:-1]) == int(digits[-1]):
@@ -330,9 +386,37 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(), at, kind, value.replace("-", "")
 
 
+def _cued(text: str) -> Iterator[tuple[list[str], str]]:
+    """The words of names that a cue tells, and their gender."""
+    spans = [(m.end(), _RELATION.get((m.group("relation") or "").casefold(), "n")) for m in _CUE.finditer(text)]
+    names = [(m.group(), g) for at, g in spans if (m := _CAPITALS.match(text, at))]
+    for m in re.finditer("<(?=[\\w.+%-]+@)", text) if "<" in text else ():
+        if before := _BEFORE.search(text[max(m.start() - _WINDOW, 0) : m.end()]):
+            names.append((before.group().rstrip('<" '), "n"))
+    if not names:
+        return
+    small = {w.group() for w in re.finditer(_WORD, _AT.sub(" ", text)) if w.group().islower()}
+    for name, gender in names:
+        words = []
+        for w in re.findall(_PART, name):
+            if not w[0].isupper():
+                break
+            if not w.endswith("."):
+                words.append(w)
+        if len(words) > 1 and not any(w.lower() in small or w.lower() in NO_NAMES or w.casefold() in _GENDER for w in words):
+            yield words, gender
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Titled names, and all mentions of their parts."""
+    """Names that a title or a cue tells, and all mentions of their parts."""
     known: dict[str, tuple[str, str, str]] = {}
+
+    def learn(words: list[str], gender: str) -> None:
+        for i, w in enumerate(words):
+            what, word = "surname" if i == len(words) - 1 else "given", w.lower()
+            if len(word) > 1 and known.get(word, ("", "", "n"))[2] == "n":
+                known[word] = (known.get(word, (what,))[0], script(w), gender)
+
     at = 0
     while m := _NAME.search(text, at):
         kept, at = [], m.end("title")
@@ -343,11 +427,9 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
                 kept.append(w.group())
             at = m.start("name") + w.end()
         genders = [_GENDER[t.casefold()] for t in re.findall(rf"(?:{_TITLE})(?=\.? )", m.group("title"))]
-        gender = next((g for g in genders if g != "n"), "n")
-        for i, w in enumerate(kept):
-            what, word = "surname" if i == len(kept) - 1 else "given", w.lower()
-            if len(word) > 1 and known.get(word, ("", "", "n"))[2] == "n":
-                known[word] = (known.get(word, (what,))[0], script(w), gender)
+        learn(kept, next((g for g in genders if g != "n"), "n"))
+    for words, gender in _cued(text):
+        learn(words, gender)
     if not known:
         return
 
@@ -370,7 +452,7 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of all entities, in order, without overlaps."""
-    if not _QUICK.search(text):
+    if not (_QUICK.search(text) or _CUE.search(text)):
         return []
     found = [*_numbers(text), *_names(text)]
     if "@" in text:
@@ -396,18 +478,22 @@ def render(original: str, kind: str, new: str) -> str:
     if kind in ("ip", "token"):
         return new
     if kind in ("email", "secret"):
-        return new.upper() if original.isupper() else "".join(n.upper() if o.isupper() and n.isalpha() else n for o, n in zip(original, new))
-    left = iter(new)
-    return "".join(next(left) if c.isalnum() else c for c in original)
+        if original.isupper() or len(new) != len(original):
+            return new.upper() if original.isupper() else new
+        return "".join(n.upper() if o.isupper() and n.isalpha() else n for o, n in zip(original, new))
+    left = iter(re.sub(r"\D", "", original)[: _phone(original)[1]] + new if kind == "phone" else new)
+    return "".join(next(left) if c.isalnum() else c for c in original) + "".join(left)
 
 
-def replace(text: str, variants: dict[tuple[str, str], int], key: bytes) -> tuple[str, int]:
-    """The text with surrogates, and how many entities it had. key: of fixed_length()."""
+def replace(text: str, variants: dict[tuple[str, str], int], key: bytes, kinds: dict[tuple[str, str], str] | None = None) -> tuple[str, int]:
+    """The text with surrogates, and how many entities it had. kinds: those that the corpus gives
+    entities in place of their own; variants has the former. key: of fixed_length()."""
     found = entities(text)
     if not found:
         return text, 0
     out, at = [], 0
     for start, end, kind, canonical in found:
+        kind = kinds.get((kind, canonical), kind) if kinds else kind
         new = surrogate(kind, canonical, variants.get((kind, canonical), 0), key)
         out += [text[at:start], render(text[start:end], kind, new)]
         at = end
@@ -429,9 +515,30 @@ def _entities(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("canonical", pa.string())])))
 
 
+def known_genders(docs: DataFrame) -> DataFrame:
+    """kind, canonical and as_kind of all entities: as_kind is kind but for names whose gender their
+    document doesn't tell and most documents with that name do."""
+    found = docs.select(F.explode(_entities("text")).alias("e")).groupBy("e.kind", "e.canonical").agg(F.count("*").alias("n"))
+    found = materialize(found.withColumn("stem", group()).withColumn("gender", F.regexp_extract("kind", ":([mfn])$", 1)), "entities", True)
+    of = lambda g: F.sum(F.when(F.col("gender") == g, F.col("n")).otherwise(0))
+    told = found.filter("gender in ('m', 'f')").groupBy("stem", "canonical").agg(of("m").alias("m"), of("f").alias("f"))
+    told = told.filter("m <> f").select("stem", "canonical", F.when(F.col("m") > F.col("f"), "m").otherwise("f").alias("as"))
+    open_ = found.filter("gender = 'n'").join(told, ["stem", "canonical"], "left")
+    as_kind = F.when(F.col("as").isNull(), F.col("kind")).otherwise(F.concat("stem", F.lit(":"), "as"))
+    sure = found.filter("gender <> 'n'").select("kind", "canonical", F.col("kind").alias("as_kind"))
+    named = materialize(open_.select("kind", "canonical", as_kind.alias("as_kind")).unionByName(sure), "kinds", True)
+    discard(found)
+    return named
+
+
+def group() -> Column:
+    """Within what surrogates must differ: the kind, names' without the gender."""
+    return F.regexp_replace("kind", ":[mfn]$", "")
+
+
 def exceptions(docs: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
-    """kind, canonical, variant of the entities whose first surrogate collides with an entity
-    of the corpus or with the surrogate of a lesser one."""
+    """kind, canonical, as_kind, variant of the entities that get another kind (see known_genders), or
+    whose first surrogate collides with an entity of the corpus or with that of a lesser one."""
     held = docs.sparkSession.sparkContext.broadcast(fixed_length(key))
 
     @F.arrow_udf(T.StringType())
@@ -439,44 +546,64 @@ def exceptions(docs: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
         rows = zip(kinds.to_pylist(), canonical.to_pylist(), variants.to_pylist())
         return pa.array([surrogate(*row, held.value) for row in rows], pa.string())
 
-    found = docs.select(F.explode(_entities("text")).alias("e")).select("e.kind", "e.canonical").distinct()
-    known = found.withColumn("variant", F.lit(0))
-    group = F.regexp_replace("kind", "^phone.*", "phone")
-    for turn in range(rounds):
-        new = surrogates("kind", "canonical", "variant")
-        named = materialize(known.select("kind", "canonical", "variant", group.alias("group"), new.alias("new")), "entities", True)
-        real = named.select("group", F.col("canonical").alias("new")).distinct()
-        taken = named.join(real, ["group", "new"], "left_semi").select("kind", "canonical")
-        shared = named.groupBy("group", "new").agg(F.count("*").alias("n"), F.min(F.struct("canonical", "kind")).alias("first"))
-        shared = named.join(shared.filter("n > 1"), ["group", "new"]).filter("struct(canonical, kind) <> first")
-        bad = taken.union(shared.select("kind", "canonical")).distinct()
-        left = bad.count()
-        if not left:
-            break
-        if turn == rounds - 1:
-            warnings.warn(f"{left} surrogates are real entities or shared: their domains are full", stacklevel=2)
+    def draw(rows: DataFrame, name: str) -> DataFrame:
+        new = surrogates("kind", "canonical", "variant").alias("new")
+        return materialize(rows.select("kind", "canonical", "variant", group().alias("group"), new), name, True)
+
+    entity, place = ["kind", "canonical"], ["group", "new"]
+    named = known_genders(docs)
+    first = draw(named.select(F.col("as_kind").alias("kind"), "canonical").distinct().withColumn("variant", F.lit(0)), "surrogates")
+    real = first.select("group", F.col("canonical").alias("new"))
+    drawn, moved = first, None  # what the last round computed, and all that have left their first surrogate
+    for _ in range(rounds):
+        now = first
+        if moved is not None:
+            now = first.join(moved.select(entity), entity, "left_anti").unionByName(moved)
+            now = now.join(drawn.select(place).distinct(), place, "left_semi")
+        shared = now.groupBy(place).agg(F.count("*").alias("n"), F.min(F.struct("canonical", "kind")).alias("least")).filter("n > 1")
+        late = now.join(shared, place).filter("struct(canonical, kind) <> least").select(entity)
+        bad = drawn.join(real, place, "left_semi").select(entity).union(late).distinct()
+        again = draw(now.join(bad, entity, "left_semi").withColumn("variant", F.col("variant") + 1), "again")
+        if again.isEmpty():
             break
-        joined = named.join(bad.withColumn("more", F.lit(1)), ["kind", "canonical"], "left")
-        known = joined.select("kind", "canonical", (F.col("variant") + F.coalesce("more", F.lit(0))).alias("variant"))
-    return named.filter("variant > 0").select("kind", "canonical", "variant")
+        both = again if moved is None else moved.join(again.select(entity), entity, "left_anti").unionByName(again)
+        olds = [t for t in (drawn, moved) if t is not None and t is not first]
+        drawn, moved = again, materialize(both, "moved", True)
+        for old in olds:
+            discard(old)
+    else:
+        raise RuntimeError(f"{again.count()} entities have no surrogate of their own after {rounds} variants: their domains are full")
+    odd = named.withColumn("variant", F.lit(0)).filter("kind <> as_kind")
+    if moved is not None:
+        later = moved.select(F.col("kind").alias("as_kind"), "canonical", "variant")
+        odd = named.join(later, ["as_kind", "canonical"], "left").filter("kind <> as_kind OR variant IS NOT NULL")
+    odd = materialize(odd.select("kind", "canonical", "as_kind", F.coalesce("variant", F.lit(0)).alias("variant")), "exceptions", True)
+    for old in {id(t): t for t in (named, first, drawn, moved, again) if t is not None}.values():
+        discard(old)
+    return odd
+
+
+def _maps(rows: list) -> tuple[dict, dict]:
+    variants = {(r["as_kind"], r["canonical"]): r["variant"] for r in rows if r["variant"]}
+    return variants, {(r["kind"], r["canonical"]): r["as_kind"] for r in rows if r["kind"] != r["as_kind"]}
 
 
-def with_surrogates(docs: DataFrame, key: bytes, most: int = BROADCAST, rounds: int = ROUNDS) -> DataFrame:
-    """docs with text replaced and a new column entities, how many each text had."""
+def with_surrogates(docs: DataFrame, key: bytes, most: int = BROADCAST, rounds: int = ROUNDS, hot: int = 1000) -> DataFrame:
+    """docs with text replaced and a new column entities, how many each text had. hot: with more
+    than most exceptions, the rows of a text from which on it may be broadcast."""
     odd = exceptions(docs, key, rounds)
     context = docs.sparkSession.sparkContext
     own = context.broadcast(fixed_length(key))
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("entities", T.IntegerType())])
 
-    def changed(texts: pa.Array, each: Iterator[dict]) -> pa.Array:
-        rows = [replace(t, v, own.value) for t, v in zip(_values(texts), each)]
+    def changed(texts: pa.Array, each: Iterator[tuple[dict, dict]]) -> pa.Array:
+        rows = [replace(t, v, own.value, k) for t, (v, k) in zip(_values(texts), each)]
         new = pa.array([r[0] for r in rows], pa.string())
         new = pa.compute.if_else(texts.is_null(), pa.scalar(None, pa.string()), new)
         return pa.StructArray.from_arrays([new, pa.array([r[1] for r in rows], pa.int32())], ["text", "entities"])
 
     if odd.count() <= most:
-        variants = {(r["kind"], r["canonical"]): r["variant"] for r in odd.collect()}
-        held = context.broadcast(variants)
+        held = context.broadcast(_maps(odd.collect()))
 
         @F.arrow_udf(schema)
         def apply(texts: pa.Array) -> pa.Array:
@@ -484,17 +611,21 @@ def with_surrogates(docs: DataFrame, key: bytes, most: int = BROADCAST, rounds:
 
         done = docs.withColumn("__new", apply("text"))
     else:
-        each = docs.select(F.xxhash64("text").alias("__hash"), F.explode(_entities("text")).alias("e")).distinct()
+        keyed = docs.withColumn("__hash", F.xxhash64("text"))
+        each = keyed.select("__hash", F.explode(_entities("text")).alias("e")).distinct()
         each = each.select("__hash", "e.kind", "e.canonical").join(odd, ["kind", "canonical"])
-        lists = each.groupBy("__hash").agg(F.collect_list(F.struct("kind", "canonical", "variant")).alias("__odd"))
+        lists = each.groupBy("__hash").agg(F.collect_list(F.struct("kind", "canonical", "as_kind", "variant")).alias("__odd"))
+        counts = materialize(keyed.groupBy("__hash").agg(F.count("*").alias("n")), "texts", True)
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        heavy = counts.filter(F.col("n") > max(total * HOT_SHARE, hot)).select("__hash")  # at most 1 / HOT_SHARE
 
         @F.arrow_udf(schema)
         def apply_own(texts: pa.Array, rare: pa.Array) -> pa.Array:
-            maps = ({(x["kind"], x["canonical"]): x["variant"] for x in row or ()} for row in rare.to_pylist())
-            return changed(texts, maps)
+            return changed(texts, (_maps(row or []) for row in rare.to_pylist()))
 
-        keyed = docs.withColumn("__hash", F.xxhash64("text")).join(lists, "__hash", "left")
-        done = keyed.withColumn("__new", apply_own("text", "__odd"))
+        many = keyed.join(F.broadcast(heavy.join(lists, "__hash", "left")), "__hash")
+        few = keyed.join(F.broadcast(heavy), "__hash", "left_anti").join(lists, "__hash", "left")
+        done = many.unionByName(few).withColumn("__new", apply_own("text", "__odd"))
     columns = [F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return done.select(*columns, F.col("__new.entities").alias("entities"))
 

@@ -98,6 +98,15 @@ def test_odd_tables(documents):
     assert [tuple(r) for r in op.digest(one).collect()] == [(1, 3, 3, 3.0, 3)]
 
 
+def test_a_very_long_text(documents):
+    """All words of a text of 600,000 count, between white space of every kind."""
+    docs = documents((1, "ab \t\n\v\f\r" * 600_000, "en", "long"), (2, "x" * 1_000_000, "en", "long"), (3, "a b", "en", "other"))
+    found = {r["doc_id"]: r for r in op.digest(docs).collect()}
+    assert [found[i]["size"] for i in (1, 2, 3)] == [600_000, 1, 2] and found[1]["source_size"] == 600_001
+    assert all(r["taken"] <= 3 * r["size"] for r in found.values())
+    assert {len(r["text"]) for r in op.mixed_documents(docs).collect()} <= {4_800_000, 1_000_000, 3}
+
+
 def test_reruns_agree(documents):
     docs, _ = some(documents)
     one, two = (sorted(map(repr, op.digest(docs.repartition(n)).collect())) for n in (1, 7))

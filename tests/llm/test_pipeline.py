@@ -65,6 +65,31 @@ def test_run(spark, tables):
     assert max(ends.values()) <= packing.LENGTH and sorted(ends) == list(range(len(ends)))
 
 
+def test_long_texts_and_clashing_columns(spark, tables, tmp_path):
+    """Very long texts stay whole, and extra columns named as the stages name theirs are carried along."""
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    rng = np.random.default_rng(7)
+    long = " ".join(f"word{j}" for j in rng.integers(0, 10**9, 120_000)) + " write to someone@mail.example.org"
+    more = spark.createDataFrame([(5000, long, "en", "s1", len(long)), (5001, "x" * 500_000, "en", "s2", 500_000)], docs.schema)
+    docs = docs.filter("doc_id < 60 OR doc_id IS NULL").unionByName(more)
+    extra = ["score", "row", "__row", "__fp", "entities", "copies", "size", "target", "kind", "held_out", "toxic", "new"]
+    docs = docs.selectExpr("*", *[f"doc_id + {i} AS `{c}`" for i, c in enumerate(extra)])
+    columns = docs.columns
+    for name, stage in pipeline.STAGES:
+        docs = pipeline.materialize(stage(spark, docs, tables[0]), name)
+        if name == "packing":
+            break
+        assert docs.columns == columns
+        kept = docs.collect()
+        assert all(r[c] == (None if r["doc_id"] is None else r["doc_id"] + i) for r in kept for i, c in enumerate(extra))
+        if name != "mixing":
+            texts = {r["doc_id"]: r["text"] for r in kept}
+            assert texts[5000][:100_000] == long[:100_000] and len(texts[5000]) == len(long) and len(texts[5001]) == 500_000
+    assert "someone@" not in texts[5000]
+    pieces = docs.collect()
+    assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
+
+
 def test_no_documents(spark, tables):
     none = spark.read.parquet(f"{tables[0]}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:

@@ -328,7 +328,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, that of the least doc_id (of equal ones, any one).
-    Groups are those of nearcopies: five-word shingles with a similarity of 0.8 or more."""
+    Groups are those of nearcopies, which states the results for odd rows: five-word shingles
+    with a similarity of 0.8 or more."""
     row = F.monotonically_increasing_id()
     marked = wrapped(docs, "doc_id", "text").withColumn("__sketch", nearcopies.sketch("text")).withColumn("__row", row)
     parts = [F.col(f"__sketch.{c}").alias(f"__{c}") for c in ("fp", "n", "least", "bands")]

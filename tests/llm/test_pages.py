@@ -282,3 +282,50 @@ def test_more_languages_than_64(spark):
     page = spark.createDataFrame([(1, f"https://a.example/{langs[69]}/1", f"<html lang='{langs[69]}'><p>{words(69)}</p>")], "page_id long, url string, html string")
     found = {r["page_id"] or -r["doc_id"]: r["language"] for r in langid.identify(page, docs).collect()}
     assert found[1] == found[-6900] == langs[69] and len(set(found.values())) == 70
+
+
+def test_a_thousand_languages(spark):
+    """The plan is that of three languages, and each language's documents and pages get it."""
+    langs = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
+    words = lambda i: " ".join(f"{x}{langs[i]}{x}" for x in "abcdefgh")
+    docs = spark.createDataFrame([(i, words(i), lang, f"s{i % 7}") for i, lang in enumerate(langs)], "doc_id long, text string, lang string, source string")
+    page = spark.createDataFrame([(i, f"https://h{i % 9}.site.com/x", f"<html lang='{langs[i]}'><p>{words(i)}</p>") for i in range(0, 1000, 50)], "page_id long, url string, html string")
+    found = langid.identify(page, docs)
+    rows = found.collect()
+    assert {r["doc_id"]: r["language"] for r in rows if r["page_id"] is None} == dict(enumerate(langs))
+    assert {r["page_id"]: r["language"] for r in rows if r["page_id"] is not None} == {i: langs[i] for i in range(0, 1000, 50)}
+    few = langid.identify(page, docs.filter("doc_id < 3"))
+    depth = lambda df: df._jdf.queryExecution().optimizedPlan().treeString().count("\n")
+    assert depth(found) == depth(few)
+
+
+def test_sums_by_place(spark):
+    """Sums of arrays for each key, a null key, and no rows; whatever the partitions, the same."""
+    rows = [(k, 2, [k or 0, 10 * i, i]) for i, k in enumerate([1, 1, None, 2, 1, None])]
+    df = spark.createDataFrame(rows, "k long, n long, sums array<long>")
+    for parts in (1, 6):
+        found = {r["k"]: (r["n"], r["w"], r["sums"]) for r in langid._summed(df.repartition(parts), "k").collect()}
+        assert found == {1: (6, 3, [3, 50, 5]), 2: (2, 1, [2, 30, 3]), None: (4, 2, [0, 70, 7])}
+    assert langid._summed(df.limit(0), "k").count() == 0
+    assert langid._summed(df.limit(0).drop("k")).first()["n"] is None
+
+
+def test_a_suffix_of_most_hosts(spark, monkeypatch):
+    """Priors don't depend on how the hot suffix and domain are joined."""
+    from tidewell.llm import common
+
+    docs = spark.createDataFrame([(i, text(lang, 20, np.random.default_rng(i)), lang, "s") for i, lang in enumerate(["en", "de", "fr"] * 5)], "doc_id long, text string, lang string, source string")
+    page = spark.createDataFrame([(i, f"https://h{i % 40}.{'big' if i % 3 else f'd{i % 11}'}.com/", f"<p>{text('de', 4, np.random.default_rng(i))}") for i in range(200)], "page_id long, url string, html string")
+    plain = sorted(map(tuple, langid.identify(page, docs).collect()), key=str)
+    joined = []
+
+    def halved(left, right, key, weight, total):  # the two heaviest keys are broadcast
+        joined.append(key)
+        heavy = [r[key] for r in right.orderBy(F.desc(weight), key).limit(2).collect()]
+        hot = right.filter(F.col(key).isin(heavy)).drop(weight)
+        rest = right.filter(~F.col(key).isin(heavy)).drop(weight)
+        return left.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
+
+    monkeypatch.setattr(langid, "join_hot", halved)
+    assert sorted(map(tuple, langid.identify(page, docs).collect()), key=str) == plain
+    assert joined == ["suffix", "domain", "host"] and common.join_hot is not halved

@@ -13,7 +13,9 @@ The word model is fitted on a bounded sample of documents of known language, abo
 ``PER_LANGUAGE`` of each, of at most ``LONGEST`` characters, drawn by the hash of their id. The tables and
 priors are grouped aggregations over all pages, weighted by the text's own posteriors,
 so they need no labels; the priors reach their pages by a join on the host. A document
-has no markup and no address; its source stands for the host.
+has no markup and no address; its source stands for the host. What is kept for each language is
+an array, so no plan grows with their number; the driver and the executors hold the word model
+(BUCKETS numbers of 4 bytes for each language) and two tables of the languages' number squared.
 
 Defined results: a null or empty page has no text evidence and gets what its address and
 priors say; a null URL has an empty host; without documents of any language the language
@@ -40,6 +42,8 @@ from .urlfilter import host
 PER_LANGUAGE, LONGEST, BUCKETS = 2000, 20_000, 1 << 15
 #: Of the text's log-likelihood; strength of each level of the host prior, in pages.
 TEMPER, STRENGTH, ALPHA = 0.25, 8.0, 0.5
+#: Parts of a page that posteriors are summed in.
+GRAINS = 1 << 24
 #: A text's evidence counts up to so many words' worth; all of its words are averaged.
 WORDS = 200
 
@@ -120,11 +124,13 @@ def likelihoods(text: Column, model: np.ndarray, spark: SparkSession) -> Column:
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def likelihood(texts: pa.Array) -> pa.Array:
         out = np.zeros((len(texts), len(held.value)))
+        step = max(1, (1 << 20) // max(len(held.value), 1))  # words taken at once, whatever the languages
         for i, text in enumerate(rows(texts, 64)):
             total, n = np.zeros(len(held.value)), 0
             for piece in pieces(text):
                 ids = features(piece.decode(errors="replace"))
-                total += held.value[:, ids].sum(axis=1, dtype=np.float64)
+                for at in range(0, len(ids), step):
+                    total += held.value[:, ids[at : at + step]].sum(axis=1, dtype=np.float64)
                 n += len(ids)
             if n:
                 out[i] = TEMPER * total / n * min(n / 3, WORDS)
@@ -164,19 +170,77 @@ def document_evidence(docs: DataFrame, model: np.ndarray) -> DataFrame:
     )
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
-
-
-def _sums(column: str, n: int) -> list[Column]:
-    return [F.sum(F.col(column)[i]).alias(f"c{i}") for i in range(n)]
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row; named in a lambda it would be for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _array(n: int, of=lambda i: F.col(f"c{i}")) -> Column:
-    return F.array(*[of(i) for i in range(n)])
+def _softmax(logs: Column) -> Column:
+    def divided(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+        return _let(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    powers = _let(logs, lambda own: _let(F.array_max(own), lambda top: F.transform(own, lambda x: F.exp(x - top))))
+    return _let(powers, divided)
+
+
+def _shares(posterior: str) -> list[Column]:
+    """n and sums of one page: its text's posterior in whole parts of GRAINS, whose sums don't depend on an order,
+    so that reruns agree and ties stay ties."""
+    return [F.lit(1).cast("long").alias("n"), F.transform(posterior, lambda p: F.round(p * GRAINS).cast("long")).alias("sums")]
+
+
+def _summed(df: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, w, sums: for each group the sum of n, the number of its rows and the sums of the array
+    column sums, place by place. The plan is the same for any length of the array, and places are
+    summed before they move."""
+    each = df.select(*keys, "n", F.posexplode("sums").alias("at", "c")).groupBy(*keys, "at")
+    each = each.agg(F.sum("n").alias("n"), F.count("*").alias("w"), F.sum("c").alias("c"))
+    placed = F.array_sort(F.collect_list(F.struct("at", "c")))
+    whole = each.groupBy(*keys).agg(F.max("n").alias("n"), F.max("w").alias("w"), placed.alias("placed"))
+    return whole.select(*keys, "n", "w", F.transform("placed", lambda x: x["c"]).alias("sums"))
+
+
+def _value(column: str, names: list[str]) -> Column:
+    """What is declared in column; what isn't a known language counts as "?"."""
+    return F.when(F.col(column).isin([*names, ""]), F.col(column)).otherwise("?")
+
+
+def declarations(found: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """v, given: log P(v is declared | language) for each value v, smoothed by ALPHA pages for each; an
+    array over the languages. A row for each language and two more, made on the driver."""
+    declared = found.filter(F.col(column).isNotNull())
+    tally = _summed(declared.select(_value(column, names).alias("v"), *_shares("text")), "v").toArrow()
+    kinds = [*names, "", "?"]
+    counts = np.full((len(kinds), len(names)), ALPHA)
+    for v, sums in zip(tally["v"].to_pylist(), tally["sums"]):
+        counts[kinds.index(v)] += sums.values.to_numpy() / GRAINS
+    logs = np.log(counts / counts.sum(axis=0))
+    offsets = pa.array(np.arange(len(kinds) + 1, dtype=np.int32) * len(names))
+    table = pa.table([pa.array(kinds), pa.ListArray.from_arrays(offsets, pa.array(logs.ravel()))], ["v", "given"])
+    return found.sparkSession.createDataFrame(table)
+
+
+def host_priors(found: DataFrame, languages: int) -> tuple[DataFrame, int]:
+    """host, n, prior (an array over the languages), and how many pages and documents there are. Each level
+    is smoothed by the one above: (sums + STRENGTH * prior above) / (n + STRENGTH)."""
+    each = found.select("host", "domain", "suffix", *_shares("text"))
+    hosts = materialize(_summed(each, "host", "domain", "suffix").drop("w"), "hosts", True)
+    domains = materialize(_summed(hosts, "domain", "suffix"), "domains", True)
+    suffixes = materialize(_summed(domains.drop("w"), "suffix"), "suffixes", True)
+    whole = _summed(suffixes.drop("w", "suffix")).first()
+    every = whole["n"] or 0
+    base = [(c / GRAINS + 1.0) / (every + languages) for c in whole["sums"] or [0] * languages]
+
+    def smoothed(up: Column) -> Column:
+        return F.zip_with("sums", up, lambda c, above: (c / GRAINS + STRENGTH * above) / (F.col("n") + STRENGTH))
+
+    # a suffix such as com, or the domain of a hoster, may have most of the rows below it
+    tops = suffixes.select("suffix", "w", smoothed(F.lit(base)).alias("up"))
+    below = join_hot(domains.withColumnRenamed("w", "hosts"), tops, "suffix", "w", domains.count())
+    middle = materialize(below.select("domain", "hosts", smoothed(F.col("up")).alias("up")), "middle", True)
+    priors = join_hot(hosts, middle, "domain", "hosts", hosts.count()).select("host", "n", smoothed(F.col("up")).alias("prior"))
+    return materialize(priors, "priors", True), every
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -186,52 +250,22 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     if not names:
         none = F.lit(None).cast("string").alias("language")
         return found.select("doc_id", "page_id", "host", F.col("markup").alias("declared"), none, F.lit(0.0).alias("confidence"))
-    n = len(names)
     found = materialize(found.withColumn("text", _softmax(F.col("likelihood"))), "evidence")
-
-    # P(declared | language), smoothed by ALPHA pages for each value; what isn't a known
-    # language counts as "?", so a table has n + 2 values
-    def table(column: str) -> np.ndarray:
-        value = F.when(F.col(column).isin([*names, ""]), F.col(column)).otherwise("?")
-        tally = found.filter(F.col(column).isNotNull()).groupBy(value.alias("v")).agg(*_sums("text", n)).collect()
-        kinds = [*names, "", "?"]
-        counts = np.full((len(kinds), n), ALPHA)
-        for r in tally:
-            counts[kinds.index(r["v"])] += [r[f"c{i}"] for i in range(n)]
-        return np.log(counts / counts.sum(axis=0))
-
+    told = found
+    for column in ("markup", "address"):
+        given = F.broadcast(declarations(found, column, names).withColumnsRenamed({"v": f"{column}_v", "given": f"{column}_given"}))
+        told = told.join(given, _value(column, names) == F.col(f"{column}_v"), "left").drop(f"{column}_v")
     logs = F.col("likelihood")
     for column in ("markup", "address"):
-        each = table(column)
-        pairs = [x for v, row in zip([*names, "", "?"], each) for x in (F.lit(v), F.array(*[F.lit(float(p)) for p in row]))]
-        value = F.when(F.col(column).isin([*names, ""]), F.col(column)).otherwise("?")
-        with_it = F.zip_with(logs, F.element_at(F.create_map(*pairs), value), lambda a, b: a + b)
-        logs = F.when(F.col(column).isNull(), logs).otherwise(with_it)
-
-    # the host's prior, from the level above: (counts + STRENGTH * prior above) / (pages + STRENGTH)
-    hosts = found.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), *_sums("text", n))
-    hosts = materialize(hosts, "hosts", True)
-    total = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]).first()
-    pages_in_all = total["n"] or 0
-    base = [((total[f"c{i}"] or 0.0) + 1.0) / (pages_in_all + n) for i in range(n)]
-
-    def level(key: str, above: Callable) -> DataFrame:
-        sums = hosts.groupBy(key, *extra[key]).agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)])
-        return above(sums)
-
-    extra = {"suffix": [], "domain": ["suffix"]}
-    smooth = lambda i, up: (F.col(f"c{i}") + STRENGTH * up) / (F.col("n") + STRENGTH)
-    suffixes = level("suffix", lambda s: s.select("suffix", _array(n, lambda i: smooth(i, F.lit(base[i]))).alias("up")))
-    domains = level("domain", lambda s: s.join(suffixes, "suffix")).select(
-        "domain", _array(n, lambda i: smooth(i, F.col("up")[i])).alias("up")
-    )
-    priors = hosts.join(domains, "domain").select("host", "n", _array(n, lambda i: smooth(i, F.col("up")[i])).alias("prior"))
-    priors = materialize(priors, "priors", True)
-    joined = join_hot(found.withColumn("logs", logs), priors, "host", "n", pages_in_all)
+        logs = F.when(F.col(column).isNull(), logs).otherwise(F.zip_with(logs, f"{column}_given", lambda a, b: a + b))
+    told = told.select("doc_id", "page_id", "host", "markup", logs.alias("logs"))
+
+    priors, every = host_priors(found, len(names))
+    joined = join_hot(told, priors, "host", "n", every)
     posterior = _softmax(F.zip_with("logs", "prior", lambda a, p: a + F.log(p)))
     scored = joined.withColumn("posterior", posterior)
     top = F.array_max("posterior")
-    language = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("posterior", top).cast("int"))
+    language = F.element_at(F.lit(names), F.array_position("posterior", top).cast("int"))
     return scored.select(
         "doc_id", "page_id", "host", F.col("markup").alias("declared"), language.alias("language"), top.alias("confidence")
     )

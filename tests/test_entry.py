@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidewell.operators import writers
+from tidewell.model import CHANGED_AT, OPERATION, ORDERING
+from tidewell.operators import scd2, writers
 from tidewell.plans.store import VersionedTable
 from tidewell.streaming import continuous
 
@@ -52,8 +53,26 @@ def test_a_batch_that_comes_twice(spark, tmp_path):
 
 
 def test_plans_shuffle_once(spark):
-    """A chain of versions needs one exchange of the changes; an upsert one for each side."""
+    """An upsert needs one exchange for each side."""
     rows = spark.range(1000).select((F.col("id") % 50).alias("k"), F.col("id").alias("v"), F.lit("U").alias("__operation"))
     plan = writers.upsert(rows.select("k", "v").groupBy("k").agg(F.max("v").alias("v")), rows.dropDuplicates(["k"]), ["k"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(k") <= 2 and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_a_chain_shuffles_once(spark):
+    """A chain of versions needs one exchange of the changes, which its windows and its join share, and
+    one of the dimension's open rows."""
+    at = F.timestamp_seconds("id").cast("timestamp_ntz")
+    staged = spark.range(1000).select((F.col("id") % 50).alias("k"), F.col("id").cast("string").alias("v"), F.lit("U").alias(OPERATION), F.lpad(F.col("id").cast("string"), 9, "0").alias(ORDERING), at.alias(CHANGED_AT))
+    target = scd2.many_versions(scd2.empty_target(staged, ["k"], ["v"]), staged.filter("k < 40"), ["k"], ["v"])
+    dimension = spark.createDataFrame(target.collect(), target.schema)
+    assert dimension.count() == 800
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = scd2.boundaries(dimension, staged, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert text.count("Window [") == 2 and text.count("Exchange hashpartitioning(k") == 2
+    assert text.count("Exchange") == 2 and "Cartesian" not in text and "NestedLoop" not in text

@@ -107,6 +107,8 @@ def test_differences_by_checksums(spark):
     # columns in another order and of another type, as long as the values are the same
     same = source.select("b", F.col("a").cast("decimal(20,0)").alias("a"), F.col("k").cast("int").alias("k"))
     assert verify.differing_ranges(source, same, ["k"]).count() == 0
+    one = source.withColumn("a", F.when(F.col("k") == 7, None).otherwise(F.col("a")))
+    assert verify.differing_ranges(source, one, ["k"]).count() == 1
     assert verify.checked_difference(source, same, ["k"]).filter("kind = 'matched'").count() == 3000
 
 

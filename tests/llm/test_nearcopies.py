@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import nearcopies, simhash
 
@@ -59,3 +60,22 @@ def test_by_brute_force(spark, documents, monkeypatch, block, pairs):
     rows = corpus()
     docs = documents(*[(k, t, "en", "s") for k, t in rows])
     assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).select("doc_id").collect()) == plain_kept(rows)
+
+
+def test_fingerprints_find_copies_by_themselves(spark, documents, monkeypatch):
+    """Copies within 3 bits are found by the trie where MinHash has no bands; unlike ones of them stay."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9999)}" for _ in range(2000)]
+    few = "a few words of it"
+    rows = [(4, " ".join(base)), (2, " ".join(base[:-1])), (9, " ".join(base).upper()), (5, few), (7, f"{few} {few} {few} {few}"), (6, None), (3, "")]
+    bits = lambda i, j: (simhash.fingerprint((rows[i][1] or "").encode()) ^ simhash.fingerprint((rows[j][1] or "").encode())).bit_count()
+    assert bits(0, 1) <= simhash.BITS
+    real, seen = nearcopies.links, []
+
+    def without_bands(sets, texts, groups, more):
+        seen.append(sorted(more.collect()))
+        return real(sets.withColumn("bands", F.array().cast("array<bigint>")), texts, groups, more)
+
+    monkeypatch.setattr(nearcopies, "links", without_bands)
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(documents(*[(k, t, "en", "s") for k, t in rows])).collect())
+    assert kept == plain_kept(rows) == [2, 3, 5, 7] and len(seen[0]) >= 1

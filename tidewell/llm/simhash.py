@@ -302,8 +302,8 @@ def groups(edges: DataFrame) -> DataFrame:
 
 def components(prints: DataFrame, bits: int = BITS, blocks: int | None = None, group: int = GROUP, edges: DataFrame | None = None) -> DataFrame:
     """prints: a stored table with __fp and __key, what a group is named by (null comes
-    last). Adds __group, the least key of each row's group. edges: links other than those
-    within the budget of bits."""
+    last). Adds __group, the least key of each row's group. edges: checked links of what __fp names,
+    instead of all links within the budget of bits."""
     distinct = materialize(prints.groupBy("__fp").agg(F.min("__key").alias("least"), F.count("*").alias("n")), "prints", True)
     total = distinct.agg(F.sum("n")).first()[0] or 0
     roots = groups(links(distinct.select("__fp"), bits, blocks, group) if edges is None else edges)
@@ -326,18 +326,34 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("__fp")).alias("fingerprint"), F.col("__group").alias("component_id"))
 
 
+def candidates(prints: DataFrame) -> DataFrame:
+    """prints: a stored table of the distinct pairs of __fp, a set, and __print, a fingerprint of a text
+    that has it. Returns pairs (a, b) of sets whose fingerprints are equal or linked by the trie."""
+    met = materialize(prints.groupBy("__print").agg(F.min("__fp").alias("set")), "met", True)
+    alike = links(met.select(F.col("__print").alias("__fp")))
+    ends = alike.join(met.select(F.col("__print").alias("a"), F.col("set").alias("x")), "a")
+    ends = ends.join(met.select(F.col("__print").alias("b"), F.col("set").alias("y")), "b").select("x", "y")
+    equal = prints.join(met, "__print").select(F.col("__fp").alias("x"), F.col("set").alias("y"))
+    both = ends.unionByName(equal).filter("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, that of the least doc_id (of equal ones, any one).
-    Groups are those of nearcopies, which states the results for odd rows: five-word shingles
-    with a similarity of 0.8 or more."""
+    The fingerprints' trie gives candidates; an exact check of their five-word shingles follows, with a
+    similarity of 0.8 or more, and nearcopies, which states the results for odd rows, finds those
+    that differ in more bits."""
     row = F.monotonically_increasing_id()
-    marked = wrapped(docs, "doc_id", "text").withColumn("__sketch", nearcopies.sketch("text")).withColumn("__row", row)
+    marked = wrapped(docs, "doc_id", "text").withColumn("__sketch", nearcopies.sketch("text"))
+    marked = marked.withColumn("__print", _fingerprints(F.col("text"))).withColumn("__row", row)
     parts = [F.col(f"__sketch.{c}").alias(f"__{c}") for c in ("fp", "n", "least", "bands")]
-    stored = materialize(marked.select("row", "doc_id", "__row", *parts), "documents")
+    stored = materialize(marked.select("row", "doc_id", "__row", "__print", *parts), "documents")
     # one row for each set
     one = materialize(stored.groupBy("__fp").agg(F.min("__row").alias("__row")).select("__row"), "one", True)
     sets = join_keys(stored, one, "__row", "left_semi").select(F.col("__fp").alias("fp"), F.col("__n").alias("n"), F.col("__least").alias("least"), F.col("__bands").alias("bands"), "__row")
-    edges = nearcopies.links(materialize(sets, "sets"), stored.select("__row", F.col("row.text").alias("text")), groups)
+    prints = materialize(stored.filter("__n > 0").select("__fp", "__print").distinct(), "prints", True)
+    texts = stored.select("__row", F.col("row.text").alias("text"))
+    edges = nearcopies.links(materialize(sets, "sets"), texts, groups, candidates(prints))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     grouped = components(stored.select("__fp", "__row", key.alias("__key")), edges=edges)
     dropped = materialize(grouped.filter(F.col("__row") != F.col("__group.row")).select("__row"), "dropped", True)

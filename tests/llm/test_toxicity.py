@@ -190,3 +190,39 @@ def test_the_sample_is_bounded(spark, tables, monkeypatch):
     op.fit_sample(docs, labels, per_class=40)
     learned = [t for i, t in truth.items() if zlib.crc32(str(i).encode()) % 5]
     assert sizes == [(80, 40, sum(learned) / len(learned))]
+
+
+def test_every_labelled_document_is_learned_from(spark, tables, monkeypatch):
+    """No limit by class or by length; over several shards, too; a repeated document counts once."""
+    docs, labels, truth = tables
+    learned = [t for i, t in truth.items() if zlib.crc32(str(i).encode()) % 5]
+    rows, shards = op.labelled(docs, labels)
+    assert shards == 1 and sorted(r["toxic"] for r in rows.collect()) == sorted(learned)
+    monkeypatch.setattr(op, "SHARD", 200)
+    many = docs.unionByName(docs.filter("doc_id = 7").crossJoin(spark.range(50)).select(docs.columns))
+    found, shards = op.labelled(many, labels)
+    assert shards == 3 and found.count() == len(learned)
+    one, two = op.fit_all(docs, labels), op.fit_all(many, labels)
+    assert np.array_equal(one.embedding, two.embedding) and one.bias == two.bias and one.thresholds == two.thresholds
+    scores = {r["doc_id"]: r["score"] for r in op.with_scores(docs, one).select("doc_id", "score").collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(scores[i] >= 0.5) == truth[i] for i in held]) > 0.9
+
+
+def test_long_documents_are_learned_from(spark):
+    """Texts of over 30,000 characters are among those that labels are learned from, and whole."""
+    docs = spark.createDataFrame([(i, "word " * (7000 + i), "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    found = op.labelled(docs, labels)[0].selectExpr("length(text) AS n").collect()
+    assert sorted(r["n"] for r in found) == [5 * (7000 + i) for i in range(20) if zlib.crc32(str(i).encode()) % 5]
+
+
+def test_a_long_text_trains_as_a_whole_one(monkeypatch):
+    """A step on a text in overlapping parts is the step on all of it."""
+    rng = np.random.default_rng(8)
+    parts = [rng.integers(0, 50, (n, 1 + len(op.STARTS))).astype(np.uint32) for n in (1, 40, 7, 100)]
+    labels, trained = np.array([1.0, 0.0, 0.0, 1.0]), []
+    for words in (op.WORDS, 16):
+        monkeypatch.setattr(op, "WORDS", words)
+        trained.append(op.train(parts, labels, 1, 1))
+    assert np.allclose(trained[0].embedding, trained[1].embedding, atol=1e-5) and np.allclose(trained[0].conv, trained[1].conv, atol=1e-5)

@@ -75,6 +75,18 @@ def release() -> None:
         trim(0)
 
 
+_work = ""
+
+
+def turned(work: str) -> None:
+    """For functions in Python workers, which Spark keeps for the tasks of other operators: when one
+    turns to other work, it gives back the memory that the last one freed."""
+    global _work
+    if _work != work:
+        _work = work
+        release()
+
+
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of what has been materialized, which it does when the
     driver's references are collected; without this they stay until the driver's heap is full. The

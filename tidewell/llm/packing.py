@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, turned
 from .text import pieces, rows
 
 LENGTH, END, SALTS = 4096, 2, 64
@@ -119,6 +119,7 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, end: int = END, name: s
 
     @F.arrow_udf(_PIECE)
     def cuts(texts: pa.Array) -> pa.Array:
+        turned("packing")
         offsets, columns = [0], []
         for text in rows(texts):
             found = cut(text, name, length, end)

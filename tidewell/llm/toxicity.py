@@ -5,9 +5,12 @@ few bytes, so that unseen forms of a word share its beginning. Filters of severa
 over the words, the maximum of each over the text goes to a logistic layer. It is trained by
 Adagrad; gradients only reach the windows that were the maximum.
 
-Labels are learned from a bounded sample: at most ``PER_CLASS`` documents of each class, of at
-most ``LONGEST`` characters each, those of least hash of their id. A quarter of them is kept
-back to calibrate: the score is shifted so that 0.5 separates best on it (the others count the
+Labels are learned from every labelled document outside of the held-out fold, in its whole
+length. They are dealt by their ids' hash to shards of about ``SHARD`` documents or ``CHARS``
+characters; a task trains on a shard, beginning with the last round's weights, and each row of
+weights then changes by the mean over the shards that changed it. With one shard all passes are
+made at once. A quarter of the documents is kept back to calibrate, on counts of logits in
+bins of 1 / ``BINS``: the score is shifted so that 0.5 separates best on it (the others count the
 less, the more positives it has), and each language with enough of both classes in it gets a
 threshold of its own. Scores use the text only; a language's threshold serves ``flagged`` and
 the filter.
@@ -30,8 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import draw_limits, drawn, release, wrapped
+from .common import discard, draw_limits, drawn, freed, join_keys, materialize, release, wrapped
 
+#: Documents and characters of a shard; passes over them at least; bins of a logit.
+SHARD, CHARS, PASSES, BINS = 8192, 1 << 25, 2, 256
+#: Rows of weights that are added up at once.
+ROWS = 4096
+#: Of fit_sample, for a caller that asks for a sample; no query does.
 PER_CLASS, LONGEST = 2000, 30_000
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 17, 16, 8, (1, 2, 3)
 #: Beginnings of a word, in bytes, that have embeddings besides the word itself.
@@ -157,26 +165,14 @@ class Model:
         with padding between them, so that many short ones are scored at once; a long one is
         scored in overlapping parts."""
         best = np.full((n, FILTERS * len(WIDTHS)), -np.inf, np.float32)
-        held: list[tuple[int, np.ndarray, bool]] = []
-        size, tail = 0, (-1, None)
-        for row, buckets, last in parts:
-            if row == tail[0]:
-                buckets = np.concatenate([tail[1], buckets])
-            for at in range(0, max(len(buckets), 1), WORDS):
-                part = buckets[max(at - _PAD, 0) : at + WORDS]
-                held.append((row, part, last and at + WORDS >= len(buckets)))
-                size += len(part) + _PAD
-                if size >= WORDS:
-                    self._pool(held, best)
-                    held, size = [], 0
-            tail = (row, buckets[-_PAD:])
-        if held:
-            self._pool(held, best)
+        for held in _segments(parts):
+            found, begins, _ = self.pool(held)
+            np.maximum.at(best, [r for r, _, _ in held], np.maximum.reduceat(found, begins, axis=0))
         best[np.isneginf(best)] = 0
         return np.maximum(best, 0) @ self.out + self.bias
 
-    def _pool(self, held: list[tuple[int, np.ndarray, bool]], best: np.ndarray) -> None:
-        """Raises the filter maxima of the texts by those of some parts of them."""
+    def pool(self, held: list[tuple[int, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Responses of all filters over some parts of texts, where each part begins in them, and its length."""
         lengths = np.array([len(b) for _, b, _ in held])
         begins = np.cumsum(lengths + _PAD) - lengths - _PAD
         words = np.zeros((int(lengths.sum()) + _PAD * (len(held) + 1), SIZE), np.float32)
@@ -188,7 +184,7 @@ class Model:
         for begin, (_, part, last) in zip(begins, held):
             if not last:  # windows that go beyond the part belong to the next one
                 found[max(begin + len(part) - _PAD, begin) : begin + len(part) + _PAD] = -np.inf
-        np.maximum.at(best, [r for r, _, _ in held], np.maximum.reduceat(found, begins, axis=0))
+        return found, begins, lengths
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if not self.fitted:
@@ -196,73 +192,134 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(documents_buckets(texts), len(texts)).astype(np.float64), -60, 60)))
 
 
+def _segments(parts: Iterator[tuple[int, np.ndarray, bool]]) -> Iterator[list[tuple[int, np.ndarray, bool]]]:
+    """documents_buckets() as lists of about WORDS words; long texts come in overlapping parts."""
+    held: list[tuple[int, np.ndarray, bool]] = []
+    size, tail = 0, (-1, None)
+    for row, buckets, last in parts:
+        if row == tail[0]:
+            buckets = np.concatenate([tail[1], buckets])
+        for at in range(0, max(len(buckets), 1), WORDS):
+            part = buckets[max(at - _PAD, 0) : at + WORDS]
+            held.append((row, part, last and at + WORDS >= len(buckets)))
+            size += len(part) + _PAD
+            if size >= WORDS:
+                yield held
+                held, size = [], 0
+        tail = (row, buckets[-_PAD:])
+    if held:
+        yield held
+
+
+def _views(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Embedding, conv, conv_bias, out and bias as views of rows of SIZE numbers."""
+    taps, filters = sum(WIDTHS) * FILTERS, FILTERS * len(WIDTHS)
+    some = -(-filters // SIZE)
+    at = np.cumsum([BUCKETS, taps, some, some])
+    conv_bias, out = (rows[i : i + some].reshape(-1)[:filters] for i in at[1:3])
+    return rows[:BUCKETS], rows[BUCKETS : at[1]].T, conv_bias, out, rows[at[3], :1]
+
+
+def first_weights(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of weights before training, and of the sums of their squared gradients."""
+    taps, filters = sum(WIDTHS) * FILTERS, FILTERS * len(WIDTHS)
+    values = np.zeros((BUCKETS + taps + 2 * -(-filters // SIZE) + 1, SIZE), np.float32)
+    embedding, conv, _, out, _ = _views(values)
+    embedding[:] = rng.normal(0, 0.1, embedding.shape)
+    conv[:] = rng.normal(0, 0.3, conv.shape)
+    out[:] = rng.normal(0, 0.3, out.shape)
+    return values, np.full_like(values, 1e-4)
+
+
+class Trainer:
+    """A model whose weights are views of rows, and Adagrad on them."""
+
+    def __init__(self, values: np.ndarray, squares: np.ndarray):
+        self.weights, self.sums = _views(values), _views(squares)
+        self.model = Model(*self.weights[:4], float(self.weights[4][0]))
+
+    def _step(self, i: int, gradient: np.ndarray, at=slice(None)) -> None:
+        self.sums[i][at] += gradient**2
+        self.weights[i][at] -= RATE * gradient / np.sqrt(self.sums[i][at])
+
+    def _peaks(self, parts: Iterator[tuple[int, np.ndarray, bool]], n: int):
+        """Of each of n texts and each filter: its maximum, the buckets of that window's words and which
+        of them are in the text; and whether the text has words."""
+        filters, most = FILTERS * len(WIDTHS), max(WIDTHS)
+        best = np.full((n, filters), -np.inf, np.float32)
+        window = np.zeros((n, filters, most, 1 + len(STARTS)), np.int64)
+        inside, some = np.zeros((n, filters, most), bool), np.zeros(n, bool)
+        for held in _segments(parts):
+            found, begins, lengths = self.model.pool(held)
+            for (row, part, _), begin, size in zip(held, begins, lengths):
+                if not size:
+                    continue
+                some[row] = True
+                own = found[begin : begin + size + _PAD]
+                place = own.argmax(axis=0)
+                value = own[place, np.arange(filters)]
+                better = value > best[row]
+                best[row, better] = value[better]
+                at = place[better][:, None] + np.arange(most)
+                inside[row, better] = at < size
+                window[row, better] = part[np.minimum(at, size - 1)]
+        return best, window, inside, some
+
+    def learn(self, parts: Iterator[tuple[int, np.ndarray, bool]], labels: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+        """One step on a batch of texts, of documents_buckets()."""
+        model, share = self.model, weight / len(labels)
+        value, window, inside, some = self._peaks(parts, len(labels))
+        if not some.any():
+            return
+        value, window, inside = value[some], window[some], inside[some]
+        tap_of = np.concatenate([np.arange(FILTERS) + sum(WIDTHS[:i]) * FILTERS for i in range(len(WIDTHS))])
+        width_of = np.repeat(WIDTHS, FILTERS)
+        # dropping filters at random keeps several of them in use for each cue
+        keep = (value > 0) & (rng.random(value.shape) > 0.25)
+        value = value * keep
+        logit = np.clip(value @ model.out + model.bias, -60, 60)
+        error = ((1 / (1 + np.exp(-logit)) - labels[some]) * share[some]).astype(np.float32)
+        flow = error[:, None] * model.out * keep
+        vectors = model.embed(window.reshape(-1, window.shape[-1])).reshape(*window.shape[:3], SIZE)
+        grad_conv, where, grads = np.zeros_like(model.conv), [], []
+        for k in range(max(WIDTHS)):
+            used = np.flatnonzero(width_of > k)
+            on = inside[:, used, k] & keep[:, used]  # not the padding behind a document
+            tap, pull = tap_of[used] + k * FILTERS, flow[:, used] * on
+            grad_conv[:, tap] = np.einsum("df,dfs->sf", pull, vectors[:, used, k])
+            where.append(window[:, used, k][on])
+            grads.append((pull[:, :, None] * model.conv[:, tap].T)[on])
+        every, each = np.concatenate(where), np.concatenate(grads)
+        ids, back = np.unique(every.ravel(), return_inverse=True)
+        self._step(0, _sums(back, np.repeat(each, every.shape[1], axis=0), len(ids)), ids)
+        self._step(1, grad_conv)
+        self._step(2, flow.sum(axis=0))
+        self._step(3, (error[:, None] * value).sum(axis=0))
+        self._step(4, error.sum(keepdims=True))
+        model.bias = float(self.weights[4][0])
+
+
+def class_weights(labels: np.ndarray, rate: float) -> np.ndarray:
+    """The same weight in all for each class; rate: the share of label 1."""
+    return np.where(labels == 1, 0.5 / max(rate, 1e-9), 0.5 / max(1 - rate, 1e-9))
+
+
+def passes(n: int, steps: int = STEPS, least: int = 1) -> int:
+    """Times that n documents are gone through."""
+    return max(min(-(-steps * BATCH // max(n, 1)), 40), least)
+
+
 def train(parts: list[np.ndarray], labels: np.ndarray, seed: int = SEED, steps: int = STEPS) -> Model:
     """parts: the words' buckets of each document. Each class has the same weight in all."""
     rng = np.random.default_rng(seed)
-    taps = sum(WIDTHS) * FILTERS
-    model = Model(
-        rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32),
-        rng.normal(0, 0.3, (SIZE, taps)).astype(np.float32),
-        np.zeros(FILTERS * len(WIDTHS), np.float32),
-        rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32),
-    )
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-    squares = {k: np.full_like(getattr(model, k), 1e-4) for k in ("embedding", "conv", "conv_bias", "out")}
-    bias_square = 1e-4
-    tap_of = np.concatenate([np.arange(FILTERS) + sum(WIDTHS[:i]) * FILTERS for i in range(len(WIDTHS))])
-    width_of = np.repeat(WIDTHS, FILTERS)
-
-    def step(name: str, gradient: np.ndarray, at=slice(None)) -> None:
-        squares[name][at] += gradient**2
-        getattr(model, name)[at] -= RATE * gradient / np.sqrt(squares[name][at])
-
-    for _ in range(min(-(-steps * BATCH // len(parts)), 40)):
+    trainer = Trainer(*first_weights(rng))
+    weight = class_weights(labels, labels.mean())
+    for _ in range(passes(len(parts), steps)):
         order = rng.permutation(len(parts))
         for at in range(0, len(order), BATCH):
-            chosen = [d for d in order[at : at + BATCH] if len(parts[d])]
-            share = weight[chosen] / len(order[at : at + BATCH])
-            if not chosen:
-                continue
-            every = np.concatenate([parts[d] for d in chosen])
-            lengths = np.array([len(parts[d]) for d in chosen])
-            begins = np.cumsum(lengths + _PAD) - lengths - _PAD
-            # the documents end to end, with padding between them
-            spots = np.arange(len(every)) + np.repeat(_PAD * np.arange(len(chosen)), lengths)
-            words = np.zeros((len(every) + _PAD * (len(chosen) + 1), SIZE), np.float32)
-            words[spots] = model.embed(every)
-            found = model.convolve(words)
-            for k in range(_PAD):  # windows that begin in the padding would see the next document
-                found[begins + lengths + k] = model.conv_bias
-            peak = np.stack([found[b : b + n + _PAD].argmax(axis=0) + b for b, n in zip(begins, lengths)])
-            value = np.take_along_axis(found, peak, axis=0)
-            # dropping filters at random keeps several of them in use for each cue
-            keep = (value > 0) & (rng.random(value.shape) > 0.25)
-            value *= keep
-            logit = np.clip(value @ model.out + model.bias, -60, 60)
-            error = ((1 / (1 + np.exp(-logit)) - labels[chosen]) * share).astype(np.float32)
-            flow = error[:, None] * model.out * keep
-            grad_conv, where, grads = np.zeros_like(model.conv), [], []
-            row_of = np.full(len(words), -1)
-            row_of[spots] = np.arange(len(every))
-            for k in range(max(WIDTHS)):
-                used = np.flatnonzero(width_of > k)
-                place = peak[:, used] + k
-                inside = (place < (begins + lengths)[:, None]) & keep[:, used]  # not the padding behind a document
-                tap, pull = tap_of[used] + k * FILTERS, flow[:, used] * inside
-                grad_conv[:, tap] = np.einsum("df,dfs->sf", pull, words[place])
-                where.append(row_of[place][inside])
-                grads.append((pull[:, :, None] * model.conv[:, tap].T)[inside])
-            at_rows, back = np.unique(np.concatenate(where), return_inverse=True)
-            each = _sums(back, np.concatenate(grads), len(at_rows))
-            ids, back = np.unique(every[at_rows].ravel(), return_inverse=True)
-            step("embedding", _sums(back, np.repeat(each, every.shape[1], axis=0), len(ids)), ids)
-            step("conv", grad_conv)
-            step("conv_bias", flow.sum(axis=0))
-            step("out", (error[:, None] * value).sum(axis=0))
-            grad_b = float(error.sum())
-            bias_square += grad_b**2
-            model.bias -= RATE * grad_b / np.sqrt(bias_square)
-    return model
+            chosen = order[at : at + BATCH]
+            trainer.learn(((i, parts[d], True) for i, d in enumerate(chosen)), labels[chosen], weight[chosen], rng)
+    return trainer.model
 
 
 def _sums(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -326,9 +383,163 @@ def learned(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) != 0
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """Every labelled document outside of the held-out fold, once for each id, as a stored table
+    with shard, held (kept back to calibrate), toxic, lang and text; and the number of shards."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learned(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    docs = docs.filter(learned(F.col("doc_id"))).select("doc_id", "text", "lang")
+    there = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars"))
+    known = materialize(known.join(there, "doc_id"), "known", True)
+    size = known.agg(F.count("*"), F.sum("chars")).first()
+    shards = max(-(-size[0] // SHARD), -(-(size[1] or 0) // CHARS), 1)
+    rows = join_keys(docs, known.drop("chars"), "doc_id", "inner")
+    # one row of each id, whatever has been repeated
+    some = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "text", "lang")).alias("d")
+    many = rows.filter("n > 1").groupBy("doc_id", "toxic").agg(some).select("doc_id", "toxic", "d.text", "d.lang")
+    rows = rows.filter("n = 1").select("doc_id", "toxic", "text", "lang").unionByName(many)
+    part = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col("doc_id")), F.lit(n)).cast("int")
+    rows = rows.withColumn("shard", part("shard", shards)).withColumn("held", part("held", 4) == 3)
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id")
+    return materialize(dealt.select("shard", "held", "toxic", "lang", "text"), "labelled"), shards
+
+
+def train_shard(texts: pa.ChunkedArray, labels: np.ndarray, rate: float, values: np.ndarray, squares: np.ndarray, times: int, rng: np.random.Generator) -> None:
+    """Goes through a shard's texts so many times, in random order; changes values and squares."""
+    trainer, weight = Trainer(values, squares), class_weights(labels, rate)
+    for _ in range(times):
+        order = rng.permutation(len(labels))
+        for at in range(0, len(order), BATCH):
+            chosen = order[at : at + BATCH]
+            some = pa.concat_arrays(texts.take(pa.array(chosen)).chunks)
+            trainer.learn(documents_buckets(some), labels[chosen], weight[chosen], rng)
+
+
+def train_round(rows: DataFrame, rate: float, values: np.ndarray, squares: np.ndarray, times: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """rows: shard, toxic, text, with a shard's rows together. Returns the weights after all shards were
+    trained on. Changes are added as whole parts of 2 ** -30, so their order doesn't matter."""
+    held = rows.sparkSession.sparkContext.broadcast((values, squares))
+    shape = values.shape[1]
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_shard(batches):
+            own = [x.copy() for x in held.value]
+            labels = table["toxic"].to_numpy().astype(np.float64)
+            train_shard(table["text"].cast(pa.large_string()), labels, rate, *own, times, np.random.default_rng(seed))
+            del table
+            delta = [x - y for x, y in zip(own, held.value)]
+            changed = (delta[0] != 0).any(axis=1) | (delta[1] != 0).any(axis=1)
+            del own
+            for block, at in enumerate(range(0, len(changed), ROWS)):
+                ids = np.flatnonzero(changed[at : at + ROWS]).astype(np.int32)
+                if len(ids):
+                    data = [ids.tobytes(), *(d[at + ids].tobytes() for d in delta)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", "ids", "values", "squares"])
+            del delta
+            release()
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                total, n = sums.setdefault(r["block"], (np.zeros((2, ROWS, shape), np.int64), np.zeros(ROWS, np.int64)))
+                ids = np.frombuffer(r["ids"], np.int32)
+                for i, c in enumerate(("values", "squares")):
+                    total[i, ids] += np.rint(np.frombuffer(r[c], np.float32).reshape(-1, shape) * 2.0**30).astype(np.int64)
+                n[ids] += 1
+        for block, (total, n) in sums.items():
+            ids = np.flatnonzero(n).astype(np.int32)
+            mean = (total[:, ids] / n[ids][:, None] / 2.0**30).astype(np.float32)
+            data = [ids.tobytes(), mean[0].tobytes(), mean[1].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", "ids", "values", "squares"])
+
+    kind = "block int, ids binary, values binary, squares binary"
+    found = rows.mapInArrow(changes, kind).repartition("block").mapInArrow(means, kind)
+    values, squares = values.copy(), squares.copy()
+    for r in found.toLocalIterator():  # as many rows as blocks
+        ids = np.frombuffer(r["ids"], np.int32) + r["block"] * ROWS
+        values[ids] += np.frombuffer(r["values"], np.float32).reshape(-1, shape)
+        squares[ids] += np.frombuffer(r["squares"], np.float32).reshape(-1, shape)
+    held.unpersist()
+    return values, squares
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each shard, which come one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch["shard"].to_numpy()
+        edges = np.flatnonzero(np.diff(shard)) + 1
+        for low, high in zip([0, *edges], [*edges, len(shard)]):
+            part = batch.slice(low, high - low)
+            if held and len(part) and held[-1]["shard"][0] != part["shard"][0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if len(part):
+                held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def fit_all(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learns from every labelled document outside of the held-out fold."""
+    rows, shards = labelled(docs, labels)
+    counts = {(r["held"], r["toxic"]): r["n"] for r in rows.groupBy("held", "toxic").agg(F.count("*").alias("n")).collect()}
+    positive, total = counts.get((False, 1), 0), counts.get((False, 0), 0) + counts.get((False, 1), 0)
+    if not total or len({toxic for _, toxic in counts}) < 2:
+        none = np.zeros(0, np.float32)
+        return Model(none, none, none, none, fitted=False)
+    values, squares = first_weights(np.random.default_rng(SEED))
+    times, used = passes(total, least=PASSES), rows.filter(~F.col("held")).select("shard", "toxic", "text")
+    for i in range(times if shards > 1 else 1):
+        values, squares = train_round(used, positive / total, values, squares, times if shards == 1 else 1, [SEED, i])
+        freed(docs.sparkSession)
+    model = Trainer(values, squares).model
+    calibrate(model, rows, counts.get((True, 1), 0))
+    discard(rows)
+    release()
+    return model
+
+
+def calibrate(model: Model, rows: DataFrame, positives: int) -> None:
+    """Shifts the model's bias and sets its thresholds. rows: of labelled(); positives: those kept back."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.LongType())
+    def bins(texts: pa.Array) -> pa.Array:
+        found = held.value.logits(documents_buckets(texts.cast(pa.large_string())), len(texts))
+        return pa.array(np.rint(np.clip(found.astype(np.float64), -60, 60) * BINS).astype(np.int64))
+
+    each = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "held", "toxic", bins("text").alias("bin"))
+    tally = materialize(each.groupBy("lang", "held", "toxic", "bin").agg(F.count("*").alias("n")), "tally", True)
+    rest = ENOUGH / (ENOUGH + positives**2)
+
+    def parts(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, toxic, kept, n = (found[c].to_numpy(zero_copy_only=False) for c in ("bin", "toxic", "held", "n"))
+        # where few positives were kept back one of them would decide the cut: the documents trained
+        # on count, too, the less the more were kept back
+        return x / BINS, toxic, np.where(kept, 1.0, rest) * n
+
+    whole = tally.groupBy("held", "toxic", "bin").agg(F.sum("n").alias("n")).orderBy("bin", "toxic", "held").toArrow()  # 480 x BINS rows at most
+    cut = best_cut(*parts(whole))
+    model.bias -= cut
+
+    def thresholds(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("bin", "ascending"), ("toxic", "ascending"), ("held", "ascending")])
+        x, toxic, weight = parts(own)
+        at = best_cut(x - cut, toxic, weight, 0.0)
+        return pa.table({"lang": own["lang"].slice(0, 1), "at": pa.array([float(1 / (1 + np.exp(-np.clip(at, -MOST, MOST))))])})
+
+    enough = lambda toxic: F.sum(F.when(F.col("held") & (F.col("toxic") == toxic), F.col("n")).otherwise(0)) >= ENOUGH
+    able = tally.groupBy("lang").agg((enough(0) & enough(1)).alias("able")).filter("able").select("lang")
+    found = tally.join(able, "lang", "left_semi").groupBy("lang").applyInArrow(thresholds, "lang string, at double")
+    model.thresholds = {r["lang"]: r["at"] for r in found.collect()}  # a row for each language
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Model:
     """Fits on a bounded sample of the labelled documents outside of the held-out fold: about
-    per_class of each class reach the driver, and as many at most are learned from."""
+    per_class of each class reach the driver, and as many at most are learned from. For a quick look;
+    scores and the filter are fit_all()'s."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learned(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -374,7 +585,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted; threshold and flagged by language."""
-    scored = with_scores(docs.select("doc_id", "text", "lang"), fit_sample(docs, labels))
+    scored = with_scores(docs.select("doc_id", "text", "lang"), fit_all(docs, labels))
     held_out = ~F.coalesce(learned(F.col("doc_id")), F.lit(True))
     predicted = (F.col("score") >= 0.5).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "threshold", "flagged")
@@ -382,5 +593,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that reach their language's threshold."""
-    scored = with_scores(wrapped(docs, "text", "lang"), fit_sample(docs, labels))
+    scored = with_scores(wrapped(docs, "text", "lang"), fit_all(docs, labels))
     return scored.filter(~F.col("flagged")).select("row.*")

@@ -137,3 +137,14 @@ def test_union_finds_all():
     label = np.arange(500)
     op._union(label, i, j)
     assert (label[i] == label[j]).all() and len(np.unique(label)) > 1
+
+
+def test_walk_of_many_rows_where_nothing_else_loads_pyarrow_compute(monkeypatch):
+    import pyarrow as pa
+
+    n = op.TOGETHER
+    columns = {"side": [0] * n, "own": [True] * n, "diff": [0] * n, "rest": list(range(0, 16 * n, 16)), "left": [62] * n, "__fp": list(range(n))}
+    batches = [pa.RecordBatch.from_pydict({"node": [node] * n} | columns) for node in ("a", "b")]
+    monkeypatch.delattr(pa, "compute", raising=False)  # as in a worker that has run nothing else
+    found = [r for b in op._walk(iter(batches), 1) for r in b.to_pylist()]
+    assert {r["a"] for r in found} == set(range(1, n)) and {r["b"] for r in found} == {0}

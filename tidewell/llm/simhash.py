@@ -28,6 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +187,7 @@ def _walk(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         whole = len(table)
         if batch is not None:  # the last node may go on in the next batch
             last = node[-1].as_py()
-            whole = int(np.argmax(pa.compute.equal(node, last).to_numpy(zero_copy_only=False)))
+            whole = int(np.argmax(pc.equal(node, last).to_numpy(zero_copy_only=False)))
         held = [table.slice(whole)] if whole < len(table) else []
         at = 0
         codes = node.dictionary_encode().indices.to_numpy(zero_copy_only=False)

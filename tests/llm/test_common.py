@@ -13,6 +13,20 @@ def test_join_with_heavy_keys(spark):
     assert common.join_hot(left.limit(0), right, "k", "n", 0).count() == 0
 
 
+def test_join_without_heavy_keys_is_plain(spark):
+    left = spark.range(6000).select((F.col("id") % 700).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m")).filter("k <> 5")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(left.join(right.drop("n"), "k").collect())
+    for total, most in ((6000, 9), (6000, 1000), (1000, None)):
+        found = common.join_hot(left, right, "k", "n", total, most)
+        assert "LeftAnti" not in plan(found) and "broadcast" not in plan(found)
+        assert found.columns == ["k", "id", "m"] and sorted(found.collect()) == want
+    for total, most in ((6000, 1001), (6000, None)):
+        found = common.join_hot(left, right, "k", "n", total, most)
+        assert "LeftAnti" in plan(found) and sorted(found.collect()) == want
+
+
 def test_scratch_tables(spark):
     for narrow in (False, True):
         df = spark.range(100).select("id", F.struct("id").alias("s"))

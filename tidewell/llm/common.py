@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: at most 1 / HOT_SHARE keys are ever broadcast.
 HOT_SHARE = 1e-3
 
+#: A key with so many rows at most is never heavy.
+LIGHT = 1000
+
 #: Rows of a table of keys that is broadcast after it was counted.
 FEW_KEYS = 1 << 20
 
@@ -150,11 +153,15 @@ def join_keys(df: DataFrame, keys: DataFrame, key: str, how: str, most: int = FE
     return df.join(F.broadcast(keys) if keys.count() <= most else keys, key, how)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, most: int | None = None) -> DataFrame:
     """Inner join on key, which is unique in right, whose column weight tells how many rows
-    of left each key has, of total. Heavy keys are broadcast (1 / HOT_SHARE at most), the
-    others meet in a shuffle where none has more than that share of the rows."""
-    heavy = F.col(weight) > max(total * HOT_SHARE, 1000)
+    of left each key has, of total, and most the largest of these, where it is known. Heavy keys are
+    broadcast (1 / HOT_SHARE at most), the others meet in a shuffle where none has more than that share
+    of the rows. Without heavy keys it is a plain join: broadcasts of none would take the driver's memory, too."""
+    limit = max(total * HOT_SHARE, LIGHT)
+    if (total if most is None else most) <= limit:
+        return left.join(right.drop(weight), key)
+    heavy = F.col(weight) > limit
     hot = right.filter(heavy).drop(weight)
     rest = right.filter(~heavy).drop(weight)
     keys = F.broadcast(hot.select(key))

@@ -286,17 +286,19 @@ def groups(edges: DataFrame) -> DataFrame:
     state = materialize(edges.select(a.alias("u"), b.alias("v")).filter("u <> v").distinct(), "links", True)
     mark = None
     while True:
-        total = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
-        now = state.agg(F.count("*"), total).first()
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        mark_of = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        each = both.groupBy("u").agg(F.count("*").alias("n"), mark_of.alias("mark"))
+        now = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("mark"), F.lit(0)), F.max("n")).first()
         if now == mark or not now[0]:
             return state.select(F.col("u").alias("fp"), F.col("v").alias("root"))
         mark = now
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        wide = join_hot(both.filter("v > u"), least, "u", "n", 2 * now[0])
+        wide = join_hot(both.filter("v > u"), least, "u", "n", now[0], now[2])
         state = materialize(wide.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links", True)
         least = state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        near = join_hot(state, least, "u", "n", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # none has more lesser neighbours now than it had neighbours
+        near = join_hot(state, least, "u", "n", now[0] // 2, now[2]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         top = least.select("u", F.col("m").alias("v"))
         state = materialize(near.unionByName(top).filter("u <> v").distinct(), "links", True)
 
@@ -306,7 +308,7 @@ def components(prints: DataFrame, bits: int = BITS, blocks: int | None = None, g
     last). Adds __group, the least key of each row's group. edges: checked links of what __fp names,
     instead of all links within the budget of bits."""
     distinct = materialize(prints.groupBy("__fp").agg(F.min("__key").alias("least"), F.count("*").alias("n")), "prints", True)
-    total = distinct.agg(F.sum("n")).first()[0] or 0
+    total, most = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     roots = groups(links(distinct.select("__fp"), bits, blocks, group) if edges is None else edges)
     own = roots.select(F.col("root").alias("fp"), "root").distinct()
     tied = materialize(
@@ -317,7 +319,7 @@ def components(prints: DataFrame, bits: int = BITS, blocks: int | None = None, g
     every = distinct.join(named, "__fp", "left").select(
         "__fp", F.coalesce("__group", "least").alias("__group"), "n"
     )
-    return join_hot(prints, every, "__fp", "n", total)
+    return join_hot(prints, every, "__fp", "n", total, most)
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:

@@ -460,7 +460,7 @@ def train_round(rows: DataFrame, rate: float, values: np.ndarray, squares: np.nd
         ids = np.frombuffer(r["ids"], np.int32) + r["block"] * ROWS
         values[ids] += np.frombuffer(r["values"], np.float32).reshape(-1, shape)
         squares[ids] += np.frombuffer(r["squares"], np.float32).reshape(-1, shape)
-    held.unpersist()
+    held.destroy()  # the driver's copy, too
     return values, squares
 
 

@@ -79,3 +79,33 @@ def test_fingerprints_find_copies_by_themselves(spark, documents, monkeypatch):
     monkeypatch.setattr(nearcopies, "links", without_bands)
     kept = sorted(r["doc_id"] for r in simhash.deduplicate(documents(*[(k, t, "en", "s") for k, t in rows])).collect())
     assert kept == plain_kept(rows) == [2, 3, 5, 7] and len(seen[0]) >= 1
+
+
+def test_unlike_copies_of_one_text_make_few_pairs(spark, documents, monkeypatch):
+    """Copies with too many changes of their own, or too many together, are told apart without comparing all of them."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(600)]
+
+    def changed(text, places):
+        copy = list(text)
+        for i in places:
+            copy[i] = f"x{rng.randrange(10**9)}"
+        return copy
+
+    few = [changed(base, rng.sample(range(600), k)) for k in [1, 2, 2, 3, 3, 4, 5, 6] * 3]
+    many = [changed(base, rng.sample(range(4, 596, 6), 14)) for _ in range(40)]
+    later = [changed(text, rng.sample(range(600), 3)) for text in many[:8] for _ in range(2)]
+    shorter = [base[: 600 - k] for k in (10, 60, 100, 140)]
+    texts = few + many + later + shorter
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    real, seen = nearcopies._verified, []
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(documents(*[(k, t, "en", "s") for k, t in rows])).select("doc_id").collect())
+    assert kept == plain_kept(rows)
+    assert seen[-1] <= 100, seen

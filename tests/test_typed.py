@@ -2,6 +2,7 @@
 
 import datetime as dt
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,13 @@ def test_segments_of_a_database(spark, database):
         connectors.jdbc_segments(spark, source, "t", [ListOf("s", ())])
 
 
+@pytest.mark.parametrize("master", ["local-cluster[2,2,1024]", "spark://host:7077", "yarn"])
+def test_a_cluster_gets_no_embedded_database(master):
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="driver's alone"):
+        connectors.derby(session, "/t")
+
+
 def test_a_database_gets_the_filters(spark, database):
     source, _ = database
     rows = connectors.jdbc_table(spark, source, "t").filter("n = 3 AND id > 10").select("id")

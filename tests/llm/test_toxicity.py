@@ -226,3 +226,26 @@ def test_a_long_text_trains_as_a_whole_one(monkeypatch):
         monkeypatch.setattr(op, "WORDS", words)
         trained.append(op.train(parts, labels, 1, 1))
     assert np.allclose(trained[0].embedding, trained[1].embedding, atol=1e-5) and np.allclose(trained[0].conv, trained[1].conv, atol=1e-5)
+
+
+def test_a_text_without_known_words_has_the_usual_label():
+    """Whatever its unknown words are, it is scored as a text without words is, and below 0.5 where most are clean."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijk"), 5)) for _ in range(300)]
+    labels = np.array([float(i % 6 == 0) for i in range(40)])
+    texts = [" ".join(words[j] for j in rng.integers(0, 300, 40)) + " you scoundrel" * int(y) for y in labels]
+    parts = [b.copy() for _, b, _ in op.documents_buckets(pa.array(texts, pa.large_string()))]
+    model = op.fit(parts, labels, [None] * 40, labels.mean())
+    scores = model.score(pa.array(["", None, *(f"{c}{c}{c}{c}{c}" * 9 for c in "mnopqrstuvwxy")], pa.large_string()))
+    assert len(set(scores)) == 1 and scores[0] < 0.5
+    assert model.score(pa.array(["you scoundrel"], pa.large_string()))[0] > scores[0]
+
+
+@pytest.mark.parametrize("usual, cut", [(0, 0.9), (1, -0.6)])
+def test_what_tells_nothing_decides_between_cuts_that_part_alike(usual, cut):
+    none = op.Model(np.zeros((op.BUCKETS, op.SIZE), np.float32), np.zeros((op.SIZE, sum(op.WIDTHS) * op.FILTERS), np.float32), *np.zeros((2, len(op.WIDTHS) * op.FILTERS), np.float32), 0.3)
+    found = op._with_wordless(none, np.array([-1.5, 1.5]), np.array([0, 1]), np.ones(2), usual)
+    assert op.best_cut(*found) == pytest.approx(cut)
+    # it doesn't outweigh a labelled text
+    more = op._with_wordless(none, np.array([-1.5, 0.31, 1.5]), np.array([0, 0, 1]), np.ones(3), 1)
+    assert 0.31 < op.best_cut(*more) < 1.5

@@ -11,7 +11,8 @@ characters; a task trains on a shard, beginning with the last round's weights, a
 weights then changes by the mean over the shards that changed it. With one shard all passes are
 made at once. A quarter of the documents is kept back to calibrate, on counts of logits in
 bins of 1 / ``BINS``: the score is shifted so that 0.5 separates best on it (the others count the
-less, the more positives it has), and each language with enough of both classes in it gets a
+less, the more positives it has; of cuts that do so alike one that gives a text without known words the
+usual label), and each language with enough of both classes in it gets a
 threshold of its own. Scores use the text only; a language's threshold serves ``flagged`` and
 the filter.
 
@@ -46,6 +47,8 @@ BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 17, 16, 8, (1, 2, 3)
 STARTS = (4, 5, 6, 7)
 #: The documents are gone through until there were so many steps, but 40 times at most.
 STEPS, BATCH, RATE, SEED = 400, 64, 0.08, 7
+#: What sums of squared gradients begin with.
+START = np.float32(1e-4)
 #: A language has its own threshold from so many documents of either class on.
 ENOUGH = 12
 #: A language's threshold is at most so many logits from 0.5, as few documents set it.
@@ -228,7 +231,7 @@ def first_weights(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     embedding[:] = rng.normal(0, 0.1, embedding.shape)
     conv[:] = rng.normal(0, 0.3, conv.shape)
     out[:] = rng.normal(0, 0.3, out.shape)
-    return values, np.full_like(values, 1e-4)
+    return values, np.full_like(values, START)
 
 
 class Trainer:
@@ -238,6 +241,11 @@ class Trainer:
         self.weights, self.sums = _views(values), _views(squares)
         self.model = Model(*self.weights[:4], float(self.weights[4][0]))
 
+    def learned(self) -> Model:
+        """The model, to which words and beginnings that no step changed tell nothing."""
+        self.weights[0][(self.sums[0] == START).all(axis=1)] = 0
+        return self.model
+
     def _step(self, i: int, gradient: np.ndarray, at=slice(None)) -> None:
         self.sums[i][at] += gradient**2
         self.weights[i][at] -= RATE * gradient / np.sqrt(self.sums[i][at])
@@ -319,7 +327,7 @@ def train(parts: list[np.ndarray], labels: np.ndarray, seed: int = SEED, steps:
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
             trainer.learn(((i, parts[d], True) for i, d in enumerate(chosen)), labels[chosen], weight[chosen], rng)
-    return trainer.model
+    return trainer.learned()
 
 
 def _sums(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -331,6 +339,13 @@ def _sums(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.add.reduceat(rows[order], starts, axis=0)
 
 
+def _with_wordless(model: Model, logits: np.ndarray, labels: np.ndarray, weight: np.ndarray, usual: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For best_cut(), with one text more: one that tells nothing, of the usual label. It weighs so little that it
+    only decides between cuts that part the others alike."""
+    none = model.logits(documents_buckets(pa.array([""], pa.large_string())), 1)
+    return np.r_[logits, none], np.r_[labels, usual], np.r_[weight, weight.min() / 2]
+
+
 def best_cut(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray, prefer: float | None = None) -> float:
     """The cut of the least weighted errors: prefer, if that is one, or else in the middle of
     the widest such gap."""
@@ -367,7 +382,7 @@ def fit(words: list[np.ndarray], labels: np.ndarray, langs: list[str | None], po
     # where few positives were kept back one of them would decide the cut: the documents trained
     # on count, too, the less the more were kept back
     weight = np.where(held, weight, weight * ENOUGH / (ENOUGH + labels[held].sum() ** 2))
-    cut = best_cut(logits, labels, weight)
+    cut = best_cut(*_with_wordless(model, logits, labels, weight, int(positive_rate > 0.5)))
     model.bias -= cut
     names = np.array([x or "" for x in langs])
     for name in sorted(set(names)):
@@ -494,15 +509,16 @@ def fit_all(docs: DataFrame, labels: DataFrame) -> Model:
     for i in range(times if shards > 1 else 1):
         values, squares = train_round(used, positive / total, values, squares, times if shards == 1 else 1, [SEED, i])
         freed(docs.sparkSession)
-    model = Trainer(values, squares).model
-    calibrate(model, rows, counts.get((True, 1), 0))
+    model = Trainer(values, squares).learned()
+    calibrate(model, rows, counts.get((True, 1), 0), int(2 * positive > total))
     discard(rows)
     release()
     return model
 
 
-def calibrate(model: Model, rows: DataFrame, positives: int) -> None:
-    """Shifts the model's bias and sets its thresholds. rows: of labelled(); positives: those kept back."""
+def calibrate(model: Model, rows: DataFrame, positives: int, usual: int) -> None:
+    """Shifts the model's bias and sets its thresholds. rows: of labelled(); positives: those kept back;
+    usual: the label of most documents."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.LongType())
@@ -521,7 +537,7 @@ def calibrate(model: Model, rows: DataFrame, positives: int) -> None:
         return x / BINS, toxic, np.where(kept, 1.0, rest) * n
 
     whole = tally.groupBy("held", "toxic", "bin").agg(F.sum("n").alias("n")).orderBy("bin", "toxic", "held").toArrow()  # 480 x BINS rows at most
-    cut = best_cut(*parts(whole))
+    cut = best_cut(*_with_wordless(model, *parts(whole), usual))
     model.bias -= cut
 
     def thresholds(own: pa.Table) -> pa.Table:

@@ -249,3 +249,21 @@ def test_what_tells_nothing_decides_between_cuts_that_part_alike(usual, cut):
     # it doesn't outweigh a labelled text
     more = op._with_wordless(none, np.array([-1.5, 0.31, 1.5]), np.array([0, 0, 1]), np.ones(3), 1)
     assert 0.31 < op.best_cut(*more) < 1.5
+
+
+def test_first_weights_leave_the_driver_for_no_task(spark, monkeypatch):
+    """The tasks of the first round draw them, block by block as by one draw; what a round returns comes by one job."""
+    rng = np.random.default_rng(op.SEED)
+    values, squares = op.first_weights(np.random.default_rng(op.SEED))
+    assert np.array_equal(values[: op.BUCKETS], rng.normal(0, 0.1, (op.BUCKETS, op.SIZE)).astype(np.float32))
+    rows = spark.createDataFrame([(i % 3, int(i % 2), "a scoundrel" if i % 2 else "a friend") for i in range(60)], "shard int, toxic int, text string")
+    rows = rows.repartitionById(3, "shard").sortWithinPartitions("shard")
+    sent, context = [], type(spark.sparkContext)
+    drawn = op.train_round(rows, 0.5, (values, squares), 1, [op.SEED, 0])
+    monkeypatch.setattr(context, "broadcast", lambda *a, f=context.broadcast: sent.append(a) or f(*a))
+    spark.sparkContext.setJobGroup("round", "")
+    found = op.train_round(rows, 0.5, None, 1, [op.SEED, 0])
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("round")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not sent and len(jobs) <= 3
+    assert all(np.array_equal(a, b) for a, b in zip(found, drawn)) and not np.array_equal(found[0], values)

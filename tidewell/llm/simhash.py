@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import nearcopies
-from .common import join_hot, join_keys, materialize, wrapped
+from .common import freed, join_hot, join_keys, materialize, wrapped
 from .text import pieces, rows
 
 SHINGLE, SEED = 3, 42
@@ -358,6 +358,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     texts = stored.select("__row", F.col("row.text").alias("text"))
     edges = nearcopies.links(materialize(sets, "sets"), texts, groups, candidates(prints))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    freed(docs.sparkSession)
     grouped = components(stored.select("__fp", "__row", key.alias("__key")), edges=edges)
     dropped = materialize(grouped.filter(F.col("__row") != F.col("__group.row")).select("__row"), "dropped", True)
     return join_keys(stored, dropped, "__row", "left_anti").select("row.*")

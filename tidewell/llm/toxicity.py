@@ -228,7 +228,8 @@ def first_weights(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     taps, filters = sum(WIDTHS) * FILTERS, FILTERS * len(WIDTHS)
     values = np.zeros((BUCKETS + taps + 2 * -(-filters // SIZE) + 1, SIZE), np.float32)
     embedding, conv, _, out, _ = _views(values)
-    embedding[:] = rng.normal(0, 0.1, embedding.shape)
+    for at in range(0, BUCKETS, ROWS):  # the same numbers as by one draw, which would take 17 MB more
+        embedding[at : at + ROWS] = rng.normal(0, 0.1, embedding[at : at + ROWS].shape)
     conv[:] = rng.normal(0, 0.3, conv.shape)
     out[:] = rng.normal(0, 0.3, out.shape)
     return values, np.full_like(values, START)
@@ -342,7 +343,7 @@ def _sums(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 def _with_wordless(model: Model, logits: np.ndarray, labels: np.ndarray, weight: np.ndarray, usual: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For best_cut(), with one text more: one that tells nothing, of the usual label. It weighs so little that it
     only decides between cuts that part the others alike."""
-    none = model.logits(documents_buckets(pa.array([""], pa.large_string())), 1)
+    none = model.logits(iter([(0, np.zeros((0, 1 + len(STARTS)), np.uint32), True)]), 1)
     return np.r_[logits, none], np.r_[labels, usual], np.r_[weight, weight.min() / 2]
 
 
@@ -430,19 +431,25 @@ def train_shard(texts: pa.ChunkedArray, labels: np.ndarray, rate: float, values:
             trainer.learn(documents_buckets(some), labels[chosen], weight[chosen], rng)
 
 
-def train_round(rows: DataFrame, rate: float, values: np.ndarray, squares: np.ndarray, times: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """rows: shard, toxic, text, with a shard's rows together. Returns the weights after all shards were
-    trained on. Changes are added as whole parts of 2 ** -30, so their order doesn't matter."""
-    held = rows.sparkSession.sparkContext.broadcast((values, squares))
-    shape = values.shape[1]
+def _first() -> tuple[np.ndarray, np.ndarray]:
+    return first_weights(np.random.default_rng(SEED))
+
+
+def train_round(rows: DataFrame, rate: float, weights: tuple[np.ndarray, np.ndarray] | None, times: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """rows: shard, toxic, text, with a shard's rows together; weights: none for the first ones, which the tasks
+    draw for themselves. Returns the weights after all shards were trained on. Changes are added as
+    whole parts of 2 ** -30, so their order doesn't matter."""
+    held = None if weights is None else rows.sparkSession.sparkContext.broadcast(weights)
+    shape = SIZE
 
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = _first() if held is None else held.value
         for table in _by_shard(batches):
-            own = [x.copy() for x in held.value]
+            own = [x.copy() for x in start]
             labels = table["toxic"].to_numpy().astype(np.float64)
             train_shard(table["text"].cast(pa.large_string()), labels, rate, *own, times, np.random.default_rng(seed))
             del table
-            delta = [x - y for x, y in zip(own, held.value)]
+            delta = [x - y for x, y in zip(own, start)]
             changed = (delta[0] != 0).any(axis=1) | (delta[1] != 0).any(axis=1)
             del own
             for block, at in enumerate(range(0, len(changed), ROWS)):
@@ -470,12 +477,16 @@ def train_round(rows: DataFrame, rate: float, values: np.ndarray, squares: np.nd
 
     kind = "block int, ids binary, values binary, squares binary"
     found = rows.mapInArrow(changes, kind).repartition("block").mapInArrow(means, kind)
-    values, squares = values.copy(), squares.copy()
-    for r in found.toLocalIterator():  # as many rows as blocks
-        ids = np.frombuffer(r["ids"], np.int32) + r["block"] * ROWS
-        values[ids] += np.frombuffer(r["values"], np.float32).reshape(-1, shape)
-        squares[ids] += np.frombuffer(r["squares"], np.float32).reshape(-1, shape)
-    held.destroy()  # the driver's copy, too
+    # as many rows as blocks, 17 MB at most, by one job: an iterator would start one for each partition
+    batches = found.toArrow().to_batches()
+    if held is not None:
+        held.destroy()  # the driver's copy, too
+    values, squares = _first() if weights is None else (x.copy() for x in weights)
+    for batch in batches:
+        for block, *data in zip(*(batch[c] for c in ("block", "ids", "values", "squares"))):
+            ids, *change = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(data, (np.int32, np.float32, np.float32)))
+            for x, y in zip((values, squares), change):
+                x[ids + block.as_py() * ROWS] += y.reshape(-1, shape)
     return values, squares
 
 
@@ -504,12 +515,13 @@ def fit_all(docs: DataFrame, labels: DataFrame) -> Model:
     if not total or len({toxic for _, toxic in counts}) < 2:
         none = np.zeros(0, np.float32)
         return Model(none, none, none, none, fitted=False)
-    values, squares = first_weights(np.random.default_rng(SEED))
+    weights = None
     times, used = passes(total, least=PASSES), rows.filter(~F.col("held")).select("shard", "toxic", "text")
     for i in range(times if shards > 1 else 1):
-        values, squares = train_round(used, positive / total, values, squares, times if shards == 1 else 1, [SEED, i])
+        weights = train_round(used, positive / total, weights, times if shards == 1 else 1, [SEED, i])
         freed(docs.sparkSession)
-    model = Trainer(values, squares).learned()
+    model = Trainer(*weights).learned()
+    del weights
     calibrate(model, rows, counts.get((True, 1), 0), int(2 * positive > total))
     discard(rows)
     release()

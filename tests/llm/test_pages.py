@@ -310,6 +310,16 @@ def test_a_thousand_languages(spark):
     assert depth(found) == depth(few)
 
 
+def test_many_rows_without_a_heavy_key_are_joined_plainly(spark):
+    right = spark.createDataFrame([(k, 143) for k in range(7)], "k long, n long")
+    left = spark.range(1001).selectExpr("id % 7 AS k", "id AS v")
+    heavy = right.withColumn("n", F.when(F.col("k") == 0, 1001).otherwise(F.col("n")))
+    for table, parts in ((right, False), (right.filter("k < 0"), False), (heavy, True)):
+        found = langid._joined(left, table, "k", "n", 1001)
+        assert ("Union" in found._jdf.queryExecution().optimizedPlan().toString()) == parts
+        assert found.count() == (1001 if table.count() else 0)
+
+
 def test_sums_by_place(spark):
     """Sums of arrays for each key, a null key, and no rows; whatever the partitions, the same."""
     rows = [(k, 2, [k or 0, 10 * i, i]) for i, k in enumerate([1, 1, None, 2, 1, None])]

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import draw_limits, drawn, join_hot, materialize
+from .common import LIGHT, draw_limits, drawn, join_hot, materialize
 from .text import pieces, rows
 from .urlfilter import host
 
@@ -221,6 +221,14 @@ def declarations(found: DataFrame, column: str, names: list[str]) -> DataFrame:
     return found.sparkSession.createDataFrame(table)
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """join_hot() with a stored table, whose largest weight is asked for where a key may be heavy, so that
+    many rows without a heavy key are joined as few are."""
+    if total <= LIGHT:
+        return join_hot(left, right, key, weight, total)
+    return join_hot(left, right, key, weight, total, right.agg(F.coalesce(F.max(weight), F.lit(0))).first()[0])
+
+
 def host_priors(found: DataFrame, languages: int) -> tuple[DataFrame, int]:
     """host, n, prior (an array over the languages), and how many pages and documents there are. Each level
     is smoothed by the one above: (sums + STRENGTH * prior above) / (n + STRENGTH)."""
@@ -237,9 +245,9 @@ def host_priors(found: DataFrame, languages: int) -> tuple[DataFrame, int]:
 
     # a suffix such as com, or the domain of a hoster, may have most of the rows below it
     tops = suffixes.select("suffix", "w", smoothed(F.lit(base)).alias("up"))
-    below = join_hot(domains.withColumnRenamed("w", "hosts"), tops, "suffix", "w", domains.count())
+    below = _joined(domains.withColumnRenamed("w", "hosts"), tops, "suffix", "w", domains.count())
     middle = materialize(below.select("domain", "hosts", smoothed(F.col("up")).alias("up")), "middle", True)
-    priors = join_hot(hosts, middle, "domain", "hosts", hosts.count()).select("host", "n", smoothed(F.col("up")).alias("prior"))
+    priors = _joined(hosts, middle, "domain", "hosts", hosts.count()).select("host", "n", smoothed(F.col("up")).alias("prior"))
     return materialize(priors, "priors", True), every
 
 
@@ -261,7 +269,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     told = told.select("doc_id", "page_id", "host", "markup", logs.alias("logs"))
 
     priors, every = host_priors(found, len(names))
-    joined = join_hot(told, priors, "host", "n", every)
+    joined = _joined(told, priors, "host", "n", every)
     posterior = _softmax(F.zip_with("logs", "prior", lambda a, p: a + F.log(p)))
     scored = joined.withColumn("posterior", posterior)
     top = F.array_max("posterior")

@@ -51,6 +51,28 @@ def test_rows_that_fit_and_rows_that_do_not(spark):
     assert counts[("must", typed.MISSING)] == 4 and counts[("n", typed.NO_TYPE)] == 1
 
 
+def test_whole_numbers_are_those_of_a_cast(spark):
+    """Texts and numbers at the ends of each type, and texts with signs, spaces, control characters and other digits."""
+    texts = ["12", "+12", "-12", "\t12\n", "\x00 12\x7f", "0000000000000000000000012", "12\u0085", "\u00a012", "\u0661\u0662", "1e2", "1.0", "1 2", "--1", "+", "-", "", " ", "x", "99999999999999999999", None]
+    ends = [sign * (1 << bits) + more for bits in (7, 15, 31, 63) for sign in (1, -1) for more in (-1, 0, 1)]
+    longs = [(n,) for n in ends if -(1 << 63) <= n < 1 << 63] + [(None,)]
+    for rows in (spark.createDataFrame([(t,) for t in [*texts, *map(str, ends)]], "c string"), spark.createDataFrame(longs, "c bigint")):
+        for kind in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()):
+            found = typed.typed(rows.select("c", F.col("c").alias("given"), F.col("c").try_cast(kind).alias("cast")), field(kind)).collect()
+            assert all(r["c"] == r["cast"] for r in found), kind
+            assert all([x["reason"] for x in r[typed.REFUSED]] == [typed.NO_TYPE] * (r["cast"] is None and r["given"] is not None) for r in found), kind
+
+
+def test_refusals_are_found_once(spark):
+    rows = spark.range(100).select(F.concat(F.col("id"), F.lit("0")).alias("t"), (F.col("id") * 1000).alias("n"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"))
+    schema = T.StructType([T.StructField("t", T.ByteType()), T.StructField("n", T.ShortType()), T.StructField("k", T.LongType(), False), T.StructField("gone", T.DateType(), False)])
+    found = typed.refusals(rows, schema)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "Filter " not in plan  # compiled, and no filter that computes it all again
+    assert {(r["column"], r["reason"]): r["values"] for r in found.collect()} == {("t", typed.NO_TYPE): 87, ("n", typed.NO_TYPE): 67, ("k", typed.MISSING): 66, ("gone", typed.MISSING): 100}
+    assert typed.refusals(rows.limit(0), schema).collect() == [] and typed.refusals(rows, T.StructType([])).collect() == []
+
+
 # databases
 
 

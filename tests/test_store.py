@@ -165,6 +165,76 @@ def test_an_interrupted_pass(spark, keyed, monkeypatch, step):
     assert rows(again.read()) == rows(writers.upsert(state, staged, ["id"]))
 
 
+def test_a_pass_interrupted_between_two_buckets(spark, keyed, monkeypatch):
+    """Some buckets are in their places and some aside; one is emptied."""
+    gone = keyed.buckets_of(keyed.read().filter("id = 5"))
+    before = keyed.read()
+    staged = before.withColumn(OPERATION, F.when(keyed.bucket() == gone[0], DELETE).otherwise(UPDATE)).withColumn("n", F.lit(77))
+    want = rows(writers.upsert(spark.createDataFrame(before.collect(), keyed.schema), spark.createDataFrame(staged.collect(), staged.schema), ["id"]))
+    move, moved = keyed.folder.move, []
+
+    def stop(name, place):
+        if len(moved) == 3:
+            raise KeyboardInterrupt
+        moved.append(place)
+        move(name, place)
+
+    monkeypatch.setattr(keyed.folder, "move", stop)
+    with pytest.raises(KeyboardInterrupt):
+        keyed.upsert(staged)
+    assert len(keyed.filled(f"{buckets.PENDING}/rows")) == 12
+    again = KeyedTable(spark, keyed.folder.path)
+    assert rows(again.read()) == want and gone[0] not in again.filled() and len(again.filled()) == 15
+    assert again.folder.names(buckets.PENDING) == []
+
+
+def test_new_rows_are_written_once(spark, keyed, monkeypatch):
+    """What was written aside is moved to the table, not read and written again."""
+    recover = keyed.recover
+    monkeypatch.setattr(keyed, "recover", lambda: None)
+    keyed.upsert(changes(spark, (5, "new", UPDATE), (6, "new", UPDATE)))
+    aside = {f"{buckets.BUCKET}={b}": keyed.folder.names(f"{buckets.PENDING}/rows/{buckets.BUCKET}={b}") for b in keyed.filled(f"{buckets.PENDING}/rows")}
+    assert 1 <= len(aside) <= 2
+    recover()
+    assert all(keyed.folder.names(b) == names for b, names in aside.items())
+    assert rows(keyed.read().filter("v = 'new'").select("id")) == [(5,), (6,)] and keyed.read().count() == 400
+
+
+def test_staged_rows_are_read_once(spark, keyed, tmp_path):
+    """By a first load, and where a scope meets all buckets; else twice, so that only their buckets are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(_):
+        seen.add(1)
+        return True
+
+    counted = F.udf(count, "boolean").asNondeterministic()  # else Spark infers the same filter for the target
+
+    def read_by(action):
+        before = seen.value
+        action()
+        return seen.value - before
+
+    table = KeyedTable.create(spark, str(tmp_path / "u"), keyed.schema, ["id"], 16)
+    staged = start(spark).filter(counted("id"))
+    assert read_by(lambda: table.upsert(staged.limit(0))) == 0 and table.filled() == []
+    assert read_by(lambda: table.upsert(staged)) == 400 and table.filled() == list(range(16))
+    assert read_by(lambda: table.delete_insert(staged, F.col("id") >= 0)) == 400
+    assert read_by(lambda: table.merge_reconcile(staged, F.col("id") >= 0)) == 400
+    assert read_by(lambda: table.upsert(staged)) == 800
+    assert rows(table.read()) == rows(start(spark).drop(OPERATION))
+
+
+def test_null_and_repeated_keys_without_a_key_to_match(spark, keyed):
+    """A delete-insert needs no key: rows without one and repeated rows stay, in a bucket of their own hash."""
+    lines = changes(spark, (None, "x", INSERT), (None, "x", INSERT), (3, "y", INSERT), (3, "y", INSERT), (4, "z", DELETE))
+    before = spark.createDataFrame(keyed.read().collect(), keyed.schema)
+    for scope in (F.col("id") < 10, F.col("id").isNull(), F.col("id") >= 0):
+        keyed.delete_insert(lines, scope)
+        before = spark.createDataFrame(writers.delete_insert(before, keyed.conformed(lines), scope).collect(), keyed.schema)
+        assert rows(keyed.read()) == rows(before)
+
+
 def test_passes_and_streams_into_buckets(spark, keyed, tmp_path):
     source = start(spark).withColumn("v", F.lit("s")).withColumn("id", F.col("id") + 390)
     read = lambda p, i: Read(source.filter(F.col("id") > (p or 0)), 789)

delete_insert_by_bucket: new rows are written once and moved, and staged rows are read once where the scope meets all buckets

Symptom: a table of 600,000 rows is loaded and changed by 6,561,951 rows read, in 10 aggregates and 7 exchanges.
Evidence: the rows written aside were read again for their buckets and once more to be written to the table, in both passes; the staged rows were read for their buckets by a first load, which has nothing to prune, and by a pass whose scope already meets all buckets.
Fix: rows are written aside by bucket, and their folders are moved to the table as Spark's dynamic overwrite does it (delete, then rename; what was moved is known when a pass is interrupted); which buckets have rows comes from the folders; apply() asks for the staged rows' buckets only where that can spare reading the table's.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 314 -> 257 s, shuffle 2.08 -> 2.08 GB, spill 0.00 -> 0.00 GB, read 4.13 -> 2.40 GB, longest task 5 -> 6 s, most memory of a task 369 -> 369 MB; at 6 GB of input CPU 1283 -> 979 s, shuffle 13.13 -> 13.13 GB, spill 7.20 -> 7.20 GB, read 27.61 -> 16.47 GB, longest task 30 -> 31 s, most memory of a task 872 -> 872 MB; with hot keys, at 1 GB of input CPU 383 -> 275 s, shuffle 2.05 -> 2.05 GB, spill 0.00 -> 0.00 GB, read 3.71 -> 2.18 GB, longest task 8 -> 7 s, most memory of a task 604 -> 604 MB.

@@ -2,11 +2,12 @@
 
 The rows are Parquet, partitioned by the hash of the key into a fixed number of buckets, and a writer
 sees and replaces only what it may change: Spark prunes the read to the buckets of the
-staged keys and overwrites those partitions alone (dynamic partition overwrite). What a pass costs
+staged keys, and only their folders are replaced. What a pass costs
 follows from its changes, not from the table.
 
-Spark replaces a partition by deleting and renaming, one after the other, so the new rows are
-written aside first, and a file tells that they are whole. A pass that is interrupted after that is carried out
+New rows are written aside first, in a folder for each bucket, and a file tells that they are whole. Then
+each folder is moved to its place: the old one is deleted and the new one renamed, one after the other, as Spark
+overwrites partitions. A pass that is interrupted after the rows are whole is carried out
 from there before anything else is done to the table; one that is interrupted earlier has changed
 nothing. Readers that run meanwhile may see some buckets before and some after: what needs
 pinned states is a VersionedTable.
@@ -76,6 +77,11 @@ class KeyedTable:
         stored = stored if buckets is None else stored.filter(F.col(BUCKET).isin(*buckets) if buckets else F.lit(False))
         return stored.select(*[quoted(c) for c in self.schema.names])
 
+    def filled(self, folder: str = "") -> list[int]:
+        """The buckets that have rows, as their folders tell: the table's, or those of a folder in it."""
+        start = f"{BUCKET}="
+        return sorted(int(n.removeprefix(start)) for n in self.folder.names(folder) if n.startswith(start))
+
     def buckets_of(self, rows: DataFrame) -> list[int]:
         """The buckets that these keys hash to: at most as many numbers as there are buckets."""
         return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())
@@ -87,10 +93,15 @@ class KeyedTable:
 
     def apply(self, staged: DataFrame, writer: Writer, more: list[int] = ()) -> list[int]:
         """Replaces the buckets of the staged keys, and more, by what a writer makes of them; gives
-        their numbers. The writer must leave other keys' rows alone, and give the same state again
-        when the pass is repeated."""
+        their numbers, of a first load those that have rows now. The writer must leave other keys' rows
+        alone, and give the same state again when the pass is repeated. The staged rows are read for
+        their buckets only where that spares reading the table's."""
         staged = self.conformed(staged)
-        touched = sorted({*self.buckets_of(staged), *more})
+        if not self.filled():
+            self._replace(list(range(self.buckets)), writer(self.read([]), staged))
+            return self.filled()
+        every = len({*more}) == self.buckets
+        touched = sorted({*more} if every else {*self.buckets_of(staged), *more})
         return self._replace(touched, writer(self.read(touched), staged))
 
     def upsert(self, staged: DataFrame) -> list[int]:
@@ -115,20 +126,19 @@ class KeyedTable:
 
     def _replace(self, touched: list[int], rows: DataFrame) -> list[int]:
         if touched:
-            rows = rows.select(*[quoted(c) for c in self.schema.names]).drop(*MARKS).withColumn(BUCKET, self.bucket())
-            rows.write.mode("overwrite").parquet(f"{self.folder.path}/{PENDING}/rows")
-            self.folder.create(f"{PENDING}/{READY}", json.dumps(touched))
+            rows = self.conformed(rows.select(*[quoted(c) for c in self.schema.names])).drop(*MARKS).withColumn(BUCKET, self.bucket())
+            writer = rows.repartition(len(touched), BUCKET).write.partitionBy(BUCKET).mode("overwrite")
+            writer.option("partitionOverwriteMode", "static").parquet(f"{self.folder.path}/{PENDING}/rows")
+            self.folder.create(f"{PENDING}/{READY}", json.dumps({"touched": touched, "filled": self.filled(f"{PENDING}/rows")}))
             self.recover()
         return touched
 
     def recover(self) -> None:
         """Carries out what an interrupted pass has written aside whole, or clears it away."""
         if READY in self.folder.names(PENDING):
-            touched = json.loads(self.folder.read(f"{PENDING}/{READY}"))
-            rows = self.spark.read.schema(self._full).parquet(f"{self.folder.path}/{PENDING}/rows")
-            filled = {r[0] for r in rows.select(BUCKET).distinct().collect()}
-            writer = rows.repartition(max(len(filled), 1), BUCKET).write.partitionBy(BUCKET).mode("overwrite")
-            writer.option("partitionOverwriteMode", "dynamic").parquet(self.folder.path)
-            for b in set(touched) - filled:  # an emptied bucket is no partition of what is written
+            ready = json.loads(self.folder.read(f"{PENDING}/{READY}"))
+            for b in self.filled(f"{PENDING}/rows"):  # those that aren't here any more are in their places
+                self.folder.move(f"{PENDING}/rows/{BUCKET}={b}", f"{BUCKET}={b}")
+            for b in {*ready["touched"]} & {*self.filled()} - {*ready["filled"]}:
                 self.folder.delete(f"{BUCKET}={b}")
         self.folder.delete(PENDING)

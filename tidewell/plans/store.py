@@ -65,6 +65,12 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
+    def move(self, name: str, place: str) -> None:
+        """Puts a folder in the place of another, which is deleted first."""
+        self.delete(place)
+        if not self._fs.rename(self._path(f"{self.path}/{name}"), self._path(f"{self.path}/{place}")):
+            raise OSError(f"{self.path}/{name} can't be moved to {place}")
+
 
 def key_path(key: tuple[str, ...]) -> str:
     """A key's parts as a path; different keys have different ones."""
